@@ -77,11 +77,11 @@ class BetaTargetEncoder(Estimator, _BetaParams):
     def _fit(self, dataset: DataFrame) -> "BetaTargetEncoderModel":
         g, t = self.getOrDefault("groupCol"), self.getOrDefault("targetCol")
         stats = materialize(dataset.groupBy(g).agg(
-            F.sum(F.col(t).cast("double")).alias("_n"),
-            F.count(t).cast("double").alias("_N")))
+            F.sum(F.col(t).cast("double")).alias("_sum"),
+            F.count(t).cast("double").alias("_cnt")))
         # Prior = mean target over all non-null targets (every group, the
         # null group included), read from the small group table.
-        tot = stats.agg(F.sum("_n").alias("n"), F.sum("_N").alias("N"),
+        tot = stats.agg(F.sum("_sum").alias("n"), F.sum("_cnt").alias("N"),
                         F.count(F.lit(1)).alias("groups")).first()
         prior = float(tot["n"] / tot["N"]) if tot["N"] else float("nan")
         model = BetaTargetEncoderModel(stats=stats.where(F.col(g).isNotNull()),
@@ -117,7 +117,7 @@ class BetaTargetEncoderModel(Model, _BetaParams):
         out = self.getOrDefault("outputCol")
         lookup = self._lookup()
         keyed = dataset.join(lookup, g, "left")
-        v = self._value(F.col("_n"), F.col("_N"))
+        v = self._value(F.col("_sum"), F.col("_cnt"))
         # Median of the non-NaN values over the rows of ``dataset``,
         # weighted by rows per group.
         per_group = (dataset.groupBy(g).agg(F.count(F.lit(1)).alias("_rows"))
@@ -127,4 +127,4 @@ class BetaTargetEncoderModel(Model, _BetaParams):
         median = per_group.select(F.percentile("_v", 0.5, F.col("_rows"))).scalar()
         return (keyed.withColumn("_v", v)
                 .withColumn(out, F.when(F.isnan("_v"), median).otherwise(F.col("_v")))
-                .drop("_n", "_N", "_v"))
+                .drop("_sum", "_cnt", "_v"))

@@ -74,7 +74,18 @@ def frame_columns(features: DataFrame) -> list:
              "hour", "minute"] + feats + ["in_nums", "out_nums", "today_is_holiday"])
 
 
+def round_double(c, digits: int = 6):
+    """Round half away from zero on the binary value: ``round(x * 10^d) / 10^d``.
+
+    Spark's ``round(x, d)`` rounds the shortest decimal text of ``x``, so a
+    value printed as ``...5`` in the 7th place can round differently from an
+    engine that rounds the binary value; scaling first makes both agree."""
+    scale = float(10 ** digits)
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col * scale, 0) / scale
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (for order-insensitive comparisons)."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
+    return df.select(*[round_double(c, digits).alias(c) if t == "double" else F.col(c)
                        for c, t in df.dtypes])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tapcast.functions.calendar import (DEFAULT_CALENDAR, Calendar, day_of_month,
                                          is_holiday, iso_weekday)
 from tapcast.functions.slots import SLOT_MINUTES, slot_hour, slot_minute
+from tapcast.operators.dimension import dimension_join
 
 KEYS = ["station_id", "service_date", "slot"]
 # Station-level attributes of the feature day, copied onto template-only
@@ -57,14 +58,25 @@ def shift_to_target_day(df: DataFrame, calendar: Calendar = DEFAULT_CALENDAR) ->
             }))
 
 
+def observed_dates(taps: DataFrame) -> DataFrame:
+    """Distinct service dates of the taps: one column scanned, aggregated
+    map-side; at most one row per day of history."""
+    return taps.select(F.to_date("time").alias("service_date")).distinct()
+
+
 def train_frame(features: DataFrame, target_date, calendar: Calendar = DEFAULT_CALENDAR,
-                in_col: str = "in_now", out_col: str = "out_now") -> DataFrame:
-    """Rows whose target day was observed and is not the target date (F1)."""
+                in_col: str = "in_now", out_col: str = "out_now",
+                observed: DataFrame | None = None) -> DataFrame:
+    """Rows whose target day was observed and is not the target date (F1).
+
+    ``observed``: the dates that have taps (``observed_dates(taps)``); taken
+    from the features when omitted, which re-runs the feature plan."""
     target_date = _as_date(target_date)
-    observed = features.select("service_date").distinct()
+    if observed is None:
+        observed = features.select("service_date").distinct()
     shifted = shift_to_target_day(with_next_day_target(features, in_col, out_col), calendar)
-    return (shifted.where(F.col("service_date") != F.lit(target_date))
-            .join(observed, "service_date", "left_semi"))
+    return dimension_join(shifted.where(F.col("service_date") != F.lit(target_date)),
+                          observed.select("service_date"), "service_date", "left_semi")
 
 
 def score_frame(features: DataFrame, grid: DataFrame, target_date,

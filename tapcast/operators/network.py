@@ -1,9 +1,9 @@
 """Station attributes from the network.
 
 Every output here is one row per station, so joining it onto the slot
-table cannot fan out. The tables are small (one row per station) but are
-derived from data, so no broadcast hint is forced: AQE measures the
-runtime size of the aggregated side and picks a broadcast join itself.
+table cannot fan out. The tables are derived from data, so they are joined
+through ``dimension_join``: broadcast after a row-count check, shuffled
+beyond it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapcast.functions.calendar import service_date
+from tapcast.operators.dimension import dimension_join
 
 
 def station_lines(taps: DataFrame, on_date=None, first_day_only: bool = True) -> DataFrame:
@@ -40,7 +41,7 @@ def line_size(station_line: DataFrame) -> DataFrame:
 
 
 def add_line_size(df: DataFrame, sizes: DataFrame) -> DataFrame:
-    return (df.join(sizes.select("station_id", "line_size"), "station_id", "left")
+    return (dimension_join(df, sizes.select("station_id", "line_size"), "station_id")
             .withColumn("line_size", F.coalesce("line_size", F.lit(0)).cast("bigint")))
 
 
@@ -59,7 +60,7 @@ def degree_from_groups(groups: DataFrame, group_col: str = "group_id") -> DataFr
 
 
 def add_station_type(df: DataFrame, degrees: DataFrame) -> DataFrame:
-    return (df.join(degrees.select("station_id", "station_type"), "station_id", "left")
+    return (dimension_join(df, degrees.select("station_id", "station_type"), "station_id")
             .withColumn("station_type", F.coalesce("station_type", F.lit(0)).cast("bigint")))
 
 
@@ -70,7 +71,7 @@ def add_roadmap_row(df: DataFrame, edges: DataFrame, stations: list) -> DataFram
             .agg(F.max("weight")).na.fill(0))
     wide = wide.select("station_id", *[F.col(f"`{s}`").cast("int").alias(f"adj_{s}") for s in stations])
     filled = {f"adj_{s}": F.coalesce(f"adj_{s}", F.lit(0)) for s in stations}
-    return df.join(wide, "station_id", "left").withColumns(filled)
+    return dimension_join(df, wide, "station_id").withColumns(filled)
 
 
 def special_flag(station: Column | str = "station_id", special_ids=(15,)) -> Column:
@@ -80,3 +81,23 @@ def special_flag(station: Column | str = "station_id", special_ids=(15,)) -> Col
 
 def add_special_flag(df: DataFrame, special_ids=(15,)) -> DataFrame:
     return df.withColumn("is_special", special_flag("station_id", special_ids))
+
+
+def station_attributes(sizes: DataFrame, degrees: DataFrame, special_ids=(15,)) -> DataFrame:
+    """line_size, station_type and is_special in one row per station, so the
+    slot table takes all three in a single join."""
+    return (sizes.select("station_id", "line_size")
+            .join(degrees.select("station_id", "station_type"), "station_id", "full_outer")
+            .select("station_id",
+                    F.coalesce("line_size", F.lit(0)).cast("bigint").alias("line_size"),
+                    F.coalesce("station_type", F.lit(0)).cast("bigint").alias("station_type"),
+                    special_flag("station_id", special_ids).alias("is_special")))
+
+
+def add_station_attributes(df: DataFrame, attrs: DataFrame, special_ids=(15,)) -> DataFrame:
+    """Join the station table; stations missing from it get 0 for line size
+    and degree and their own special flag."""
+    return (dimension_join(df, attrs.drop("is_special"), "station_id")
+            .withColumns({"line_size": F.coalesce("line_size", F.lit(0)).cast("bigint"),
+                          "station_type": F.coalesce("station_type", F.lit(0)).cast("bigint"),
+                          "is_special": special_flag("station_id", special_ids)}))

@@ -18,8 +18,8 @@ from tapcast.functions.calendar import DEFAULT_CALENDAR, Calendar
 from tapcast.functions.slots import SLOT_MINUTES
 from tapcast.operators.base import slot_table
 from tapcast.operators.neighbors import add_neighbor_slots
-from tapcast.operators.network import (add_line_size, add_special_flag, add_station_type,
-                                       line_size, station_lines)
+from tapcast.operators.network import (add_station_attributes, line_size, station_attributes,
+                                       station_lines)
 from tapcast.operators.peak import add_peak_type
 from tapcast.operators.seasonal import add_week_flow
 
@@ -59,9 +59,8 @@ def slot_features(taps: DataFrame, degrees: DataFrame, cfg: FeatureConfig = Feat
          else f.repartition("station_id", "hour"))
     f = add_week_flow(f, before=cfg.week_flow_before)
     sizes = line_size(lines if lines is not None else station_lines(taps))
-    f = add_line_size(f, sizes)
-    f = add_station_type(f, degrees)
-    f = add_special_flag(f, cfg.special_ids)
+    attrs = station_attributes(sizes, degrees, cfg.special_ids)
+    f = add_station_attributes(f, attrs, cfg.special_ids)
     cols = [c for c in FEATURE_COLS if c in f.columns]
     return f.select(*cols, *[c for c in f.columns if c not in cols])
 

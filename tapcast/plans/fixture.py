@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapcast.operators.encoding import BetaTargetEncoder
-from tapcast.operators.frame import exclude_dates, score_frame, train_frame
+from tapcast.operators.frame import exclude_dates, observed_dates, score_frame, train_frame
 from tapcast.operators.network import degree_from_groups
 from tapcast.plans.features import FeatureConfig, frame_columns, slot_features
 from tapcast.sources.grid import slot_grid
+from tapcast.session import materialize
 from tapcast.sources.taps import taps_from_events
 
 # Fixed values of the fixture binding.
@@ -61,7 +62,7 @@ def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, feats=None)
     """(train, score) supervised frames with a fixed column order."""
     f = feats if feats is not None else features(spark, sf_dir, slot_minutes)
     cols = frame_columns(f)
-    tr = train_frame(f, TARGET_DATE).select(*cols)
+    tr = train_frame(f, TARGET_DATE, observed=observed_dates(taps(spark, sf_dir))).select(*cols)
     sc = score_frame(f, grid(spark, sf_dir, slot_minutes), TARGET_DATE,
                      slot_minutes=slot_minutes).select(*cols)
     return tr, sc
@@ -72,7 +73,11 @@ def encoded_frame(spark: SparkSession, sf_dir: str, stat_type: str = "mean",
     """All rows (train + score) with ``in_slot_enc``/``out_slot_enc`` fitted
     on the train rows (E10)."""
     tr, sc = frames_ if frames_ is not None else frames(spark, sf_dir, slot_minutes)
-    all_rows = tr.unionByName(sc)
+    # Both encoders fit on the train rows and scan all rows for their
+    # medians: write the frame once to the checkpoint folder and read it
+    # back, instead of re-running the feature plan for every pass.
+    all_rows = materialize(tr.unionByName(sc))
+    tr = all_rows.where(F.col("service_date") != F.lit(TARGET_DATE))
     for target, out in (("in_nums", "in_slot_enc"), ("out_nums", "out_slot_enc")):
         enc = BetaTargetEncoder(groupCol="slot", targetCol=target, outputCol=out,
                                 statType=stat_type, nMin=N_MIN).fit(tr)

@@ -124,7 +124,9 @@ class BetaTargetEncoderModel(Model, _BetaParams):
                      .join(lookup, g, "left")
                      .select(v.alias("_v"), "_rows")
                      .where(~F.isnan("_v")))
-        median = per_group.select(F.percentile("_v", 0.5, F.col("_rows"))).scalar()
+        # All values NaN: the median of nothing is NaN, as in NumPy.
+        median = per_group.select(F.coalesce(F.percentile("_v", 0.5, F.col("_rows")),
+                                             F.lit(float("nan")))).scalar()
         return (keyed.withColumn("_v", v)
                 .withColumn(out, F.when(F.isnan("_v"), median).otherwise(F.col("_v")))
                 .drop("_sum", "_cnt", "_v"))

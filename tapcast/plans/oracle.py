@@ -394,7 +394,7 @@ v_{out} AS (SELECT station_id, service_date, slot, {beta_sql(stat)} AS v FROM ab
 med_{out} AS (SELECT median(v) AS m FROM v_{out} WHERE NOT isnan(v)),
 e_{out} AS (
   SELECT v.station_id, v.service_date, v.slot,
-         CASE WHEN isnan(v.v) THEN m.m ELSE v.v END AS {out}
+         CASE WHEN isnan(v.v) THEN COALESCE(m.m, 'nan'::DOUBLE) ELSE v.v END AS {out}
   FROM v_{out} v, med_{out} m
 )""")
     return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES, *parts) + """

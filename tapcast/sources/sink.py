@@ -16,7 +16,7 @@ def submission(grid: DataFrame, predictions: DataFrame, in_col: str = "in_pred",
     p = predictions.select(*keys, F.col(in_col).alias("inNums"), F.col(out_col).alias("outNums"))
     start = F.timestamp_add("MINUTE", F.col("slot") * slot_minutes,
                             F.col("service_date").cast("timestamp_ntz"))
-    end = F.timestamp_add("MINUTE", slot_minutes, start)
+    end = F.timestamp_add("MINUTE", F.lit(slot_minutes), start)
     fmt = "yyyy-MM-dd HH:mm:ss"
     return (grid.select(*keys).join(p, keys, "left")
             .select(F.col("station_id").alias("stationID"),

@@ -10,6 +10,7 @@ predictions are averaged; two presets can be blended.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import VectorAssembler
@@ -73,21 +74,44 @@ def fit_best_rounds(spec: BoosterSpec, train: DataFrame, valid: DataFrame, label
     return best + 1, float(errs[best])
 
 
-def fold_average(spec: BoosterSpec, rows: DataFrame, score: DataFrame, origins, label: str,
-                 pred_col: str, refit: bool = True):
-    """Score rows with ``pred_col`` = mean over origins of the refitted
-    model's prediction; also returns the per-origin (origin, rounds, mae)."""
-    out, report, cols = score, [], []
+def _fit_fold(spec: BoosterSpec, rows: DataFrame, origin, label: str, refit: bool):
+    tr, va = fold(rows, origin)
+    rounds, err = fit_best_rounds(spec, tr, va, label)
+    final = spec.estimator(label, rounds).fit(rows if refit else tr)
+    return final, rounds, err
+
+
+def fit_fold_models(jobs, rows: DataFrame, refit: bool = True, workers: int = 4) -> dict:
+    """Fit every (spec, label, origin) job; independent jobs are submitted
+    from driver threads so their Spark jobs overlap on the cluster.
+    Returns {(spec name, label, origin): (model, rounds, valid MAE)}."""
+    jobs = list(jobs)
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(jobs)))) as ex:
+        futs = {(s.name, lab, o): ex.submit(_fit_fold, s, rows, o, lab, refit)
+                for s, lab, o in jobs}
+        return {k: f.result() for k, f in futs.items()}
+
+
+def apply_fold_average(score: DataFrame, models: dict, spec_name: str, label: str, origins,
+                       pred_col: str) -> DataFrame:
+    """``pred_col`` = mean of the origin models' predictions."""
+    out, cols = score, []
     for i, o in enumerate(origins):
-        tr, va = fold(rows, o)
-        rounds, err = fit_best_rounds(spec, tr, va, label)
-        final = spec.estimator(label, rounds).fit(rows if refit else tr)
         c = f"_{pred_col}_{i}"
-        out = final.transform(out).withColumnRenamed("prediction", c)
+        out = models[(spec_name, label, o)][0].transform(out).withColumnRenamed("prediction", c)
         cols.append(c)
-        report.append((o, rounds, err))
     avg = sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols)
-    return out.withColumn(pred_col, avg).drop(*cols), report
+    return out.withColumn(pred_col, avg).drop(*cols)
+
+
+def fold_average(spec: BoosterSpec, rows: DataFrame, score: DataFrame, origins, label: str,
+                 pred_col: str, refit: bool = True, workers: int = 4):
+    """Score rows with ``pred_col`` = mean over origins of the refitted
+    model's prediction; also returns the per-origin (origin, rounds, mae)."""
+    models = fit_fold_models([(spec, label, o) for o in origins], rows, refit, workers)
+    report = [(o, models[(spec.name, label, o)][1], models[(spec.name, label, o)][2])
+              for o in origins]
+    return apply_fold_average(score, models, spec.name, label, origins, pred_col), report
 
 
 def prepare(all_rows: DataFrame, model_rows: DataFrame, score_rows: DataFrame):
@@ -99,24 +123,30 @@ def prepare(all_rows: DataFrame, model_rows: DataFrame, score_rows: DataFrame):
 
 
 def forecast(rows: DataFrame, score: DataFrame, origins, spec: BoosterSpec = L1_DEPTH6,
-             targets=(("in_nums", "in_pred"), ("out_nums", "out_pred"))) -> DataFrame:
+             targets=(("in_nums", "in_pred"), ("out_nums", "out_pred")),
+             workers: int = 4) -> DataFrame:
     """Fold-averaged predictions of one preset for both targets."""
+    models = fit_fold_models([(spec, lab, o) for lab, _ in targets for o in origins],
+                             rows, workers=workers)
     out = score
     for label, pred in targets:
-        out, _ = fold_average(spec, rows, out, origins, label, pred)
+        out = apply_fold_average(out, models, spec.name, label, origins, pred)
     return out
 
 
 def blend(rows: DataFrame, score: DataFrame, origins, specs=(L1_DEPTH5, L1_DEPTH6),
-          weights=None, targets=(("in_nums", "in_pred"), ("out_nums", "out_pred"))) -> DataFrame:
+          weights=None, targets=(("in_nums", "in_pred"), ("out_nums", "out_pred")),
+          workers: int = 4) -> DataFrame:
     """Weighted mean of several presets' fold-averaged predictions (M8)."""
     weights = list(weights or [1.0 / len(specs)] * len(specs))
+    models = fit_fold_models([(s, lab, o) for s in specs for lab, _ in targets for o in origins],
+                             rows, workers=workers)
     out = score
     for label, pred in targets:
         parts = []
         for spec in specs:
             col = f"{pred}_{spec.name}"
-            out, _ = fold_average(spec, rows, out, origins, label, col)
+            out = apply_fold_average(out, models, spec.name, label, origins, col)
             parts.append(col)
         out = out.withColumn(pred, sum((F.col(c) * w for c, w in zip(parts, weights)),
                                        F.lit(0.0)))

@@ -10,6 +10,8 @@ then the meta model combines them.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -22,21 +24,27 @@ from tapcast.operators.validation import fold
 
 class StackedBoosters(Estimator):
     def __init__(self, label: str, origins, bases=(L1_DEPTH6, L1_DEPTH5, L2_DEPTH9),
-                 output_col: str = "prediction", reg_param: float = 0.0):
+                 output_col: str = "prediction", reg_param: float = 0.0, workers: int = 4):
         super().__init__()
         self.label, self.origins, self.bases = label, list(origins), list(bases)
+        self.workers = workers
         self.output_col, self.reg_param = output_col, reg_param
 
     def _fit(self, rows: DataFrame) -> "StackedBoostersModel":
-        base_models = {b.name: [] for b in self.bases}
+        # Base fits per (preset, origin) are independent: submit them from
+        # driver threads so their jobs overlap.
+        jobs = [(b, o) for o in self.origins for b in self.bases]
+        with ThreadPoolExecutor(max_workers=min(self.workers, len(jobs))) as ex:
+            futs = {(b.name, o): ex.submit(lambda b=b, o=o: b.estimator(self.label)
+                                           .fit(fold(rows, o)[0])) for b, o in jobs}
+            fitted = {k: f.result() for k, f in futs.items()}
+        base_models = {b.name: [fitted[(b.name, o)] for o in self.origins] for b in self.bases}
         oof_parts = []
         for o in self.origins:
-            tr, va = fold(rows, o)
-            part = va
+            part = fold(rows, o)[1]
             for b in self.bases:
-                m = b.estimator(self.label).fit(tr)
-                base_models[b.name].append(m)
-                part = m.transform(part).withColumnRenamed("prediction", f"pred_{b.name}")
+                part = (fitted[(b.name, o)].transform(part)
+                        .withColumnRenamed("prediction", f"pred_{b.name}"))
             oof_parts.append(part)
         oof = oof_parts[0]
         for p in oof_parts[1:]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,10 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Cut lineage: write the frame once as a Parquet table under the shared
+    checkpoint folder and return a DataFrame reading it back.
 
-    Used before a frame is read many times (model folds), so a lost
-    executor re-reads checkpoint files instead of recomputing the scan.
+    Used before a frame is read many times (encoder passes, model folds):
+    a lost executor re-reads files instead of recomputing the plan, the plan
+    runs once (an eager ``checkpoint()`` of an unpersisted frame runs it
+    twice), and later readers get column pruning and filter pushdown.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

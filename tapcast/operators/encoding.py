@@ -130,3 +130,16 @@ class BetaTargetEncoderModel(Model, _BetaParams):
         return (keyed.withColumn("_v", v)
                 .withColumn(out, F.when(F.isnan("_v"), median).otherwise(F.col("_v")))
                 .drop("_sum", "_cnt", "_v"))
+
+
+def encode_frame(all_rows: DataFrame, train_rows: DataFrame, group_col: str = "slot",
+                 targets=(("in_nums", "in_slot_enc"), ("out_nums", "out_slot_enc")),
+                 stat_type: str = "mean", n_min: float = 300.0) -> DataFrame:
+    """One encoder per target, fitted on the train rows and applied to
+    every row."""
+    out = all_rows
+    for target, col in targets:
+        enc = BetaTargetEncoder(groupCol=group_col, targetCol=target, outputCol=col,
+                                statType=stat_type, nMin=float(n_min)).fit(train_rows)
+        out = enc.transform(out)
+    return out

@@ -149,3 +149,12 @@ def add_ratio_features(df: DataFrame) -> DataFrame:
         "in_vs_week": F.try_divide(F.col("in_now").cast("double"), F.col("in_whm_mean")),
         "out_vs_week": F.try_divide(F.col("out_now").cast("double"), F.col("out_whm_mean")),
     })
+
+
+def frame_columns_for(features: DataFrame) -> list:
+    """Supervised-frame column order for a feature frame: keys, calendar,
+    feature values, targets, target-day holiday flag."""
+    head = ["station_id", "service_date", "slot", "weekday", "is_holiday", "day", "hour", "minute"]
+    vals = [c for c in features.columns if c not in head]
+    return (["station_id", "service_date", "slot", "weekday", "yesterday_is_holiday", "day",
+             "hour", "minute"] + vals + TARGETS + ["today_is_holiday"])

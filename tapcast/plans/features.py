@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tapcast.functions.calendar import DEFAULT_CALENDAR, Calendar
 from tapcast.functions.slots import SLOT_MINUTES
 from tapcast.operators.base import slot_table
+from tapcast.operators.frame import frame_columns_for
 from tapcast.operators.neighbors import add_neighbor_slots
 from tapcast.operators.network import (add_station_attributes, line_size, station_attributes,
                                        station_lines)
@@ -66,11 +67,7 @@ def slot_features(taps: DataFrame, degrees: DataFrame, cfg: FeatureConfig = Feat
 
 
 def frame_columns(features: DataFrame) -> list:
-    feats = [c for c in features.columns
-             if c not in ("station_id", "service_date", "slot", "weekday", "is_holiday",
-                          "day", "hour", "minute")]
-    return (["station_id", "service_date", "slot", "weekday", "yesterday_is_holiday", "day",
-             "hour", "minute"] + feats + ["in_nums", "out_nums", "today_is_holiday"])
+    return frame_columns_for(features)
 
 
 def round_double(c, digits: int = 6):

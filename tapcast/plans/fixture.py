@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapcast.operators.encoding import BetaTargetEncoder
+from tapcast.operators.encoding import encode_frame
 from tapcast.operators.frame import exclude_dates, observed_dates, score_frame, train_frame
 from tapcast.operators.network import degree_from_groups
 from tapcast.plans.features import FeatureConfig, frame_columns, slot_features
@@ -78,11 +78,7 @@ def encoded_frame(spark: SparkSession, sf_dir: str, stat_type: str = "mean",
     # back, instead of re-running the feature plan for every pass.
     all_rows = materialize(tr.unionByName(sc))
     tr = all_rows.where(F.col("service_date") != F.lit(TARGET_DATE))
-    for target, out in (("in_nums", "in_slot_enc"), ("out_nums", "out_slot_enc")):
-        enc = BetaTargetEncoder(groupCol="slot", targetCol=target, outputCol=out,
-                                statType=stat_type, nMin=N_MIN).fit(tr)
-        all_rows = enc.transform(all_rows)
-    return all_rows
+    return encode_frame(all_rows, tr, "slot", stat_type=stat_type, n_min=N_MIN)
 
 
 def model_rows(all_rows: DataFrame) -> DataFrame:

@@ -74,7 +74,9 @@ def train_frame(features: DataFrame, target_date, calendar: Calendar = DEFAULT_C
     target_date = _as_date(target_date)
     if observed is None:
         observed = features.select("service_date").distinct()
-    shifted = shift_to_target_day(with_next_day_target(features, in_col, out_col), calendar)
+    if not set(TARGETS) <= set(features.columns):
+        features = with_next_day_target(features, in_col, out_col)
+    shifted = shift_to_target_day(features, calendar)
     return dimension_join(shifted.where(F.col("service_date") != F.lit(target_date)),
                           observed.select("service_date"), "service_date", "left_semi")
 
@@ -115,12 +117,26 @@ def score_frame(features: DataFrame, grid: DataFrame, target_date,
     return joined.na.fill(0, subset=fill)
 
 
+def stage_features(features: DataFrame) -> DataFrame:
+    """Features with their next-day targets, written once (``materialize``).
+
+    Train and score rows both derive from the features; staging them keeps
+    a union of the two from running the feature plan (and the raw scan)
+    twice. The target window runs before the write, inside the partitioning
+    the feature plan already has; the score side then reads one day through
+    a pushed-down date filter."""
+    from tapcast.session import materialize
+    return materialize(with_next_day_target(features), sort_within=["service_date"])
+
+
 def supervised_frames(features: DataFrame, grid: DataFrame, target_date,
                       calendar: Calendar = DEFAULT_CALENDAR, slot_minutes: int = SLOT_MINUTES,
-                      recompute_peak: bool = False):
-    """(all rows, train rows): train and score frames stacked by name (U4)."""
-    train = train_frame(features, target_date, calendar)
-    score = score_frame(features, grid, target_date, calendar, slot_minutes,
+                      recompute_peak: bool = False, observed: DataFrame | None = None):
+    """(all rows, train rows): train and score frames stacked by name (U4),
+    from one staged copy of the features."""
+    staged = stage_features(features)
+    train = train_frame(staged, target_date, calendar, observed=observed)
+    score = score_frame(staged, grid, target_date, calendar, slot_minutes,
                         recompute_peak=recompute_peak)
     cols = train.columns
     return train.unionByName(score.select(*cols)), train

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapcast.operators.encoding import encode_frame
-from tapcast.operators.frame import exclude_dates, observed_dates, score_frame, train_frame
+from tapcast.operators.frame import (exclude_dates, observed_dates, score_frame, stage_features,
+                                     train_frame)
 from tapcast.operators.network import degree_from_groups
 from tapcast.plans.features import FeatureConfig, frame_columns, slot_features
 from tapcast.sources.grid import slot_grid
@@ -58,10 +59,16 @@ def features(spark: SparkSession, sf_dir: str, slot_minutes: int = 10) -> DataFr
     return slot_features(taps(spark, sf_dir), degrees(spark, sf_dir), cfg)
 
 
-def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, feats=None):
-    """(train, score) supervised frames with a fixed column order."""
+def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, feats=None,
+           staged: bool = False):
+    """(train, score) supervised frames with a fixed column order.
+
+    ``staged``: write the features once (with next-day targets) when both
+    frames will be consumed together, so the feature plan runs once."""
     f = feats if feats is not None else features(spark, sf_dir, slot_minutes)
     cols = frame_columns(f)
+    if staged:
+        f = stage_features(f)
     tr = train_frame(f, TARGET_DATE, observed=observed_dates(taps(spark, sf_dir))).select(*cols)
     sc = score_frame(f, grid(spark, sf_dir, slot_minutes), TARGET_DATE,
                      slot_minutes=slot_minutes).select(*cols)
@@ -72,7 +79,7 @@ def encoded_frame(spark: SparkSession, sf_dir: str, stat_type: str = "mean",
                   slot_minutes: int = 10, frames_=None) -> DataFrame:
     """All rows (train + score) with ``in_slot_enc``/``out_slot_enc`` fitted
     on the train rows (E10)."""
-    tr, sc = frames_ if frames_ is not None else frames(spark, sf_dir, slot_minutes)
+    tr, sc = frames_ if frames_ is not None else frames(spark, sf_dir, slot_minutes, staged=True)
     # Both encoders fit on the train rows and scan all rows for their
     # medians: write the frame once to the checkpoint folder and read it
     # back, instead of re-running the feature plan for every pass.

@@ -19,7 +19,7 @@ KEYS = ["station_id", "service_date", "slot"]
 
 
 def _prepared(spark: SparkSession, sf: str):
-    tr, sc = fx.frames(spark, sf, FORECAST_SLOT_MINUTES)
+    tr, sc = fx.frames(spark, sf, FORECAST_SLOT_MINUTES, staged=True)
     all_rows = fx.encoded_frame(spark, sf, "mean", FORECAST_SLOT_MINUTES, frames_=(tr, sc))
     rows = fx.model_rows(all_rows)
     score = all_rows.where(all_rows.service_date == fx.TARGET_DATE)

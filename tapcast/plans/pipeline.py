@@ -22,7 +22,8 @@ from tapcast.functions.calendar import DEFAULT_CALENDAR, Calendar
 from tapcast.functions.slots import SLOT_MINUTES
 from tapcast.models.boosting import L1_DEPTH5, L1_DEPTH6, blend, prepare, with_rounds
 from tapcast.operators.encoding import encode_frame
-from tapcast.operators.frame import exclude_dates, observed_dates, score_frame, train_frame
+from tapcast.operators.frame import (exclude_dates, observed_dates, score_frame, stage_features,
+                                     train_frame)
 from tapcast.operators.network import degree_from_edges
 from tapcast.operators.validation import same_weekday_origins
 from tapcast.plans.features import FeatureConfig, frame_columns, slot_features
@@ -56,6 +57,7 @@ def forecast_frame(taps: DataFrame, degrees: DataFrame, grid: DataFrame,
                          special_ids=cfg.special_ids)
     feats = slot_features(taps, degrees, fcfg)
     cols = frame_columns(feats)
+    feats = stage_features(feats)
     tr = train_frame(feats, cfg.target_date, cfg.calendar,
                      observed=observed_dates(taps)).select(*cols)
     sc = score_frame(feats, grid, cfg.target_date, cfg.calendar, cfg.slot_minutes,

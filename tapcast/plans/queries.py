@@ -112,7 +112,7 @@ def _encode(stat):
 
 
 def q_rolling_folds(spark: SparkSession, sf: str) -> DataFrame:
-    tr, sc = fx.frames(spark, sf)
+    tr, sc = fx.frames(spark, sf, staged=True)
     return fold_sizes(fx.model_rows(tr.unionByName(sc)), fx.ORIGINS)
 
 

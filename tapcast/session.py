@@ -59,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return fallback
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, sort_within: list | None = None) -> DataFrame:
     """Cut lineage: write the frame once as a Parquet table under the shared
     checkpoint folder and return a DataFrame reading it back.
 
@@ -71,5 +71,9 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
+    if sort_within:
+        # Local sort (no exchange): row groups get narrow min/max ranges on
+        # these columns, so later equality filters skip most of the file.
+        df = df.sortWithinPartitions(*sort_within)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def prepared(spark):
-    tr, sc = fx.frames(spark, SF, 60)
+    tr, sc = fx.frames(spark, SF, 60, staged=True)
     all_rows = fx.encoded_frame(spark, SF, "mean", 60, frames_=(tr, sc))
     rows = fx.model_rows(all_rows)
     score = all_rows.where(F.col("service_date") == fx.TARGET_DATE)

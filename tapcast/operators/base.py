@@ -55,46 +55,54 @@ def slot_table(taps: DataFrame, calendar: Calendar = DEFAULT_CALENDAR,
     minute, in_nums, out_nums and, with ``with_devices``, the distinct device
     counts per station-day, station-hour and station-slot.
     """
-    cells = device_slot_cells(taps, slot_minutes)
-    if partitions:
-        cells = cells.repartition(partitions, "station_id", "service_date")
+    if not with_devices:
+        # Counts only: one aggregation with map-side combine, no device grain.
+        slots = (taps.select("station_id", service_date("time").alias("service_date"),
+                             slot_of("time", slot_minutes).alias("slot"), "status")
+                 .groupBy("station_id", "service_date", "slot")
+                 .agg(F.count("status").alias("n_taps"), F.sum("status").alias("n_in")))
     else:
-        cells = cells.repartition("station_id", "service_date")
-    cells = cells.withColumn("hour", slot_hour("slot", slot_minutes))
-    if with_devices:
-        # A device's first cell of the day / of an hour marks one distinct
-        # device; summing the marks over windows replaces count(distinct),
-        # which windows do not support. One sort order serves both marks.
-        known = F.col("device_id").isNotNull()
-        by_dev = Window.partitionBy("station_id", "service_date", "device_id").orderBy("slot")
-        prev_hour = F.lag("hour").over(by_dev)
-        cells = cells.withColumns({
-            "first_day": (known & (F.row_number().over(by_dev) == 1)).cast("int"),
-            "first_hour": (known & (prev_hour.isNull() | (prev_hour != F.col("hour")))).cast("int"),
-        })
-        slots = (cells.groupBy("station_id", "service_date", "slot", "hour")
-                 .agg(F.sum("n_taps").alias("n_taps"),
-                      F.sum("n_in").alias("n_in"),
-                      F.count("device_id").alias("nuni_device_station_slot"),
-                      F.sum("first_day").alias("d_first"),
-                      F.sum("first_hour").alias("h_first")))
-        # Same partition and order for both totals: one sort.
-        by_hour = Window.partitionBy("station_id", "service_date").orderBy("hour")
-        slots = slots.withColumns({
-            "nuni_device_station": F.sum("d_first").over(
-                by_hour.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-            "nuni_device_station_hour": F.sum("h_first").over(by_hour.rangeBetween(0, 0)),
-        })
-    else:
-        slots = (cells.groupBy("station_id", "service_date", "slot", "hour")
-                 .agg(F.sum("n_taps").alias("n_taps"), F.sum("n_in").alias("n_in")))
+        slots = _slots_with_devices(taps, slot_minutes, partitions)
     in_nums = F.coalesce(F.col("n_in"), F.lit(0)).cast("bigint")
     slots = slots.withColumns({
         "in_nums": in_nums,
         "out_nums": (F.col("n_taps") - in_nums).cast("bigint"),
-    }).drop("hour")
+    }).drop("d_first", "h_first", "n_taps", "n_in")
     slots = with_calendar(slots, calendar, slot_minutes)
     cols = KEYS + ["weekday", "is_holiday", "day", "hour", "minute", "in_nums", "out_nums"]
     if with_devices:
         cols += ["nuni_device_station", "nuni_device_station_hour", "nuni_device_station_slot"]
     return slots.select(*cols)
+
+
+def _slots_with_devices(taps: DataFrame, slot_minutes: int, partitions: int | None) -> DataFrame:
+    """Slot totals plus distinct devices per station-day, -hour and -slot."""
+    cells = device_slot_cells(taps, slot_minutes)
+    if partitions:
+        cells = cells.repartition(partitions, "station_id", "service_date")
+    else:
+        cells = cells.repartition("station_id", "service_date")
+    cells = cells.withColumn("hour", slot_hour("slot", slot_minutes))
+    # A device's first cell of the day / of an hour marks one distinct
+    # device; summing the marks over windows replaces count(distinct),
+    # which windows do not support. One sort order serves both marks.
+    known = F.col("device_id").isNotNull()
+    by_dev = Window.partitionBy("station_id", "service_date", "device_id").orderBy("slot")
+    prev_hour = F.lag("hour").over(by_dev)
+    cells = cells.withColumns({
+        "first_day": (known & (F.row_number().over(by_dev) == 1)).cast("int"),
+        "first_hour": (known & (prev_hour.isNull() | (prev_hour != F.col("hour")))).cast("int"),
+    })
+    slots = (cells.groupBy("station_id", "service_date", "slot", "hour")
+             .agg(F.sum("n_taps").alias("n_taps"),
+                  F.sum("n_in").alias("n_in"),
+                  F.count("device_id").alias("nuni_device_station_slot"),
+                  F.sum("first_day").alias("d_first"),
+                  F.sum("first_hour").alias("h_first")))
+    # Same partition and order for both totals: one sort.
+    by_hour = Window.partitionBy("station_id", "service_date").orderBy("hour")
+    return slots.withColumns({
+        "nuni_device_station": F.sum("d_first").over(
+            by_hour.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "nuni_device_station_hour": F.sum("h_first").over(by_hour.rangeBetween(0, 0)),
+    })

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapcast.operators.dimension import checked_small, dimension_join
+
 
 def add_neighbor_slots(slots: DataFrame, lags=(1, 2), leads=(1, 2),
                        in_col: str = "in_nums", out_col: str = "out_nums") -> DataFrame:
@@ -44,7 +46,7 @@ def neighbor_station_flow_by_group(df: DataFrame, groups: DataFrame,
     formed. A (group, date) partition holds at most stations x slots rows.
     """
     g = groups.select("station_id", F.col(group_col).alias("_grp")).dropDuplicates(["station_id"])
-    x = df.join(g, "station_id", "left")
+    x = dimension_join(df, g, "station_id")
     w = Window.partitionBy("_grp", "service_date").orderBy("slot")
     own = Window.partitionBy("station_id", "service_date").orderBy("slot")
     cols = {}
@@ -63,7 +65,7 @@ def neighbor_station_flow_by_edges(df: DataFrame, edges: DataFrame, offsets=(0,)
     """Same features from an explicit road-map edge list ``(station_id,
     neighbor_id)``. A metro map has a small bounded degree, so the edge join
     multiplies the slot rows by at most that degree before the re-aggregation."""
-    e = edges.select("station_id", "neighbor_id").dropDuplicates()
+    e = checked_small(edges.select("station_id", "neighbor_id").dropDuplicates())
     flows = df.select(F.col("station_id").alias("neighbor_id"), "service_date",
                       F.col("slot").alias("nslot"), F.col(in_col).alias("_in"),
                       F.col(out_col).alias("_out"))

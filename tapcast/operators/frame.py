@@ -97,11 +97,15 @@ def score_frame(features: DataFrame, grid: DataFrame, target_date,
                                "out_nums": F.lit(None).cast("bigint")})
     g = grid.where(F.col("service_date") == F.lit(target_date)).select(*KEYS)
     static = [c for c in static_cols if c in feats.columns]
+    joined = feats.join(g, KEYS, "full_outer")
+    # Static attributes of the station's complete feature rows, spread to
+    # every row of that station (template-only slots included). A window
+    # over one station's rows of one day replaces a second read of the
+    # features for a per-station aggregate.
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in static])
-    per_station = (feats.where(complete)
-                   .groupBy("station_id").agg(*[F.max(c).alias(c) for c in static]))
-    joined = (feats.join(g, KEYS, "full_outer").drop(*static)
-              .join(per_station, "station_id", "left"))
+    by_station = Window.partitionBy("station_id")
+    joined = joined.withColumns({c: F.max(F.when(complete, F.col(c))).over(by_station)
+                                 for c in static})
     joined = joined.withColumns({
         "hour": slot_hour("slot", slot_minutes),
         "minute": slot_minute("slot", slot_minutes),

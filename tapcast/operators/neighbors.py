@@ -48,7 +48,9 @@ def neighbor_station_flow_by_group(df: DataFrame, groups: DataFrame,
     g = groups.select("station_id", F.col(group_col).alias("_grp")).dropDuplicates(["station_id"])
     x = dimension_join(df, g, "station_id")
     w = Window.partitionBy("_grp", "service_date").orderBy("slot")
-    own = Window.partitionBy("station_id", "service_date").orderBy("slot")
+    # The station determines its group, so (group, station, date) is the same
+    # split as (station, date) and reuses the (group, date) partitioning.
+    own = Window.partitionBy("_grp", "station_id", "service_date").orderBy("slot")
     cols = {}
     for k in offsets:
         name = "now" if k == 0 else (f"before{-k}" if k < 0 else f"after{k}")

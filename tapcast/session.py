@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +49,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Use the session's ``spark.checkpoint.dir``; set ``fallback`` only when
-    none is configured (local tests). Raises when neither exists, so a
-    cluster job never silently writes to a machine-local folder."""
+    none is configured. Without a fallback, a ``local[...]`` session gets a
+    fresh temporary folder (single machine, so local is shared); any other
+    master raises, so a cluster job never writes to a machine-local folder."""
     d = checkpoint_dir(spark)
     if d:
         return d
     if fallback is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
+        fallback = tempfile.mkdtemp(prefix="tapcast-ckpt-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 

@@ -78,7 +78,8 @@ def round_double(c, digits: int = 6):
     engine that rounds the binary value; scaling first makes both agree."""
     scale = float(10 ** digits)
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col * scale, 0) / scale
+    # ``+ 0.0`` turns -0.0 into 0.0, so equal values also print the same.
+    return F.round(col * scale, 0) / scale + F.lit(0.0)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

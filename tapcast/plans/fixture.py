@@ -76,16 +76,20 @@ def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, feats=None,
 
 
 def encoded_frame(spark: SparkSession, sf_dir: str, stat_type: str = "mean",
-                  slot_minutes: int = 10, frames_=None) -> DataFrame:
+                  slot_minutes: int = 10, frames_=None, group_col: str = "slot",
+                  n_min: float = N_MIN) -> DataFrame:
     """All rows (train + score) with ``in_slot_enc``/``out_slot_enc`` fitted
     on the train rows (E10)."""
     tr, sc = frames_ if frames_ is not None else frames(spark, sf_dir, slot_minutes, staged=True)
     # Both encoders fit on the train rows and scan all rows for their
     # medians: write the frame once to the checkpoint folder and read it
     # back, instead of re-running the feature plan for every pass.
-    all_rows = materialize(tr.unionByName(sc))
+    union = tr.unionByName(sc)
+    if group_col not in union.columns and group_col == "station_slot":
+        union = union.withColumn("station_slot", F.col("station_id") * 1000 + F.col("slot"))
+    all_rows = materialize(union)
     tr = all_rows.where(F.col("service_date") != F.lit(TARGET_DATE))
-    return encode_frame(all_rows, tr, "slot", stat_type=stat_type, n_min=N_MIN)
+    return encode_frame(all_rows, tr, group_col, stat_type=stat_type, n_min=n_min)
 
 
 def model_rows(all_rows: DataFrame) -> DataFrame:

@@ -240,8 +240,14 @@ def with_ctes(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def _r6(x: str) -> str:
+    """Round to 6 places; ``+ 0.0`` turns -0.0 into 0.0 (Spark's rounding
+    goes through a decimal, which has no negative zero)."""
+    return f"(round({x}, 6) + 0.0)"
+
+
 def _round(cols, doubles) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" if c in doubles else c for c in cols)
+    return ", ".join(f"{_r6(c)} AS {c}" if c in doubles else c for c in cols)
 
 
 FEATURE_DOUBLES = {"in_whm_mean", "out_whm_mean", "in_wh_mean", "out_wh_mean"}
@@ -369,25 +375,27 @@ def cohort_workday_sql() -> str:
     return _frame_sql("WHERE today_is_holiday = 0")
 
 
-def encode_sql(stat: str) -> str:
-    parts = []
+def encode_sql(stat: str, group: str = "slot", n_min: float = float(fx.N_MIN)) -> str:
+    parts = [f"""
+train_g AS (SELECT *, {group} AS grp FROM train),
+allf_g AS (SELECT *, {group} AS grp FROM allf)"""]
     for tgt, out in (("in_nums", "in_slot_enc"), ("out_nums", "out_slot_enc")):
         parts.append(f"""
 st_{out} AS (
-  SELECT slot, CAST(SUM(CAST({tgt} AS DOUBLE)) AS DOUBLE) AS n, CAST(COUNT({tgt}) AS DOUBLE) AS cnt
-  FROM train GROUP BY slot
+  SELECT grp, CAST(SUM(CAST({tgt} AS DOUBLE)) AS DOUBLE) AS n, CAST(COUNT({tgt}) AS DOUBLE) AS cnt
+  FROM train_g GROUP BY grp
 ),
 pr_{out} AS (SELECT SUM(n) / SUM(cnt) AS p FROM st_{out}),
 nn_{out} AS (
   SELECT a.station_id, a.service_date, a.slot, pr.p,
          CASE WHEN st.n IS NULL THEN pr.p ELSE st.n END AS n,
          CASE WHEN st.n IS NULL THEN 1.0 ELSE st.cnt END AS cnt
-  FROM allf a LEFT JOIN st_{out} st ON st.slot = a.slot, pr_{out} pr
+  FROM allf_g a LEFT JOIN st_{out} st ON st.grp = a.grp, pr_{out} pr
 ),
 ab_{out} AS (
   SELECT station_id, service_date, slot, p,
-         p * greatest({float(fx.N_MIN)} - cnt, 0.0) + n AS a,
-         (1 - p) * greatest({float(fx.N_MIN)} - cnt, 0.0) + cnt - n AS b
+         p * greatest({float(n_min)} - cnt, 0.0) + n AS a,
+         (1 - p) * greatest({float(n_min)} - cnt, 0.0) + cnt - n AS b
   FROM nn_{out}
 ),
 v_{out} AS (SELECT station_id, service_date, slot, {beta_sql(stat)} AS v FROM ab_{out}),
@@ -397,9 +405,9 @@ e_{out} AS (
          CASE WHEN isnan(v.v) THEN COALESCE(m.m, 'nan'::DOUBLE) ELSE v.v END AS {out}
   FROM v_{out} v, med_{out} m
 )""")
-    return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES, *parts) + """
-SELECT i.station_id, i.service_date, i.slot, round(i.in_slot_enc, 6) AS in_slot_enc,
-       round(o.out_slot_enc, 6) AS out_slot_enc
+    return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES, *parts) + f"""
+SELECT i.station_id, i.service_date, i.slot, {_r6('i.in_slot_enc')} AS in_slot_enc,
+       {_r6('o.out_slot_enc')} AS out_slot_enc
 FROM e_in_slot_enc i JOIN e_out_slot_enc o
   ON o.station_id = i.station_id AND o.service_date = i.service_date AND o.slot = i.slot"""
 
@@ -422,14 +430,14 @@ mrows AS (SELECT * FROM allf WHERE service_date <> {TARGET} AND service_date NOT
 
 
 def naive_mae_sql() -> str:
-    return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES) + """
+    return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES) + f"""
 , m AS (
   SELECT service_date, avg(abs(CAST(in_nums AS DOUBLE) - in_now)) AS mae_in,
          avg(abs(CAST(out_nums AS DOUBLE) - out_now)) AS mae_out
   FROM train GROUP BY service_date
 )
-SELECT service_date, round(mae_in, 6) AS mae_in, round(mae_out, 6) AS mae_out,
-       round((mae_in + mae_out) / 2, 6) AS score
+SELECT service_date, {_r6('mae_in')} AS mae_in, {_r6('mae_out')} AS mae_out,
+       {_r6('(mae_in + mae_out) / 2')} AS score
 FROM m"""
 
 
@@ -454,4 +462,9 @@ def all_sql() -> dict:
     }
     for stat in ("mean", "mode", "median", "var", "skewness", "kurtosis", "prior"):
         out[f"encode_{stat}"] = encode_sql(stat)
+    # Fine groups, no pseudo-counts: infinities and NaN repair on real rows.
+    out["encode_mode_station_slot"] = encode_sql("mode", FINE_GROUP_SQL, 1.0)
     return out
+
+
+FINE_GROUP_SQL = "station_id * 1000 + slot"

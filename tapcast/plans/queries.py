@@ -144,4 +144,13 @@ def relational_queries() -> dict:
     }
     for stat in ("mean", "mode", "median", "var", "skewness", "kurtosis", "prior"):
         q[f"encode_{stat}"] = _encode(stat)
+    q["encode_mode_station_slot"] = q_encode_mode_station_slot
     return q
+
+
+def q_encode_mode_station_slot(spark: SparkSession, sf: str) -> DataFrame:
+    """Mode over (station, slot) groups with no pseudo-counts: groups of two
+    rows give 0/0 (NaN, replaced by the median of the rest) or x/0 (+-inf,
+    kept), so the repair runs on real rows."""
+    out = fx.encoded_frame(spark, sf, "mode", group_col="station_slot", n_min=1.0)
+    return round_doubles(out.select(*KEYS, "in_slot_enc", "out_slot_enc"))

@@ -59,8 +59,11 @@ def shift_to_target_day(df: DataFrame, calendar: Calendar = DEFAULT_CALENDAR) ->
 
 
 def observed_dates(taps: DataFrame) -> DataFrame:
-    """Distinct service dates of the taps: one column scanned, aggregated
-    map-side; at most one row per day of history."""
+    """Distinct service dates of the taps: one column scanned (the partition
+    column when the taps are date-partitioned), aggregated map-side; at most
+    one row per day of history."""
+    if "service_date" in taps.columns:
+        return taps.select("service_date").distinct()
     return taps.select(F.to_date("time").alias("service_date")).distinct()
 
 

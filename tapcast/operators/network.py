@@ -22,11 +22,14 @@ def station_lines(taps: DataFrame, on_date=None, first_day_only: bool = True) ->
     from one day of taps); ``on_date`` picks another day, and
     ``first_day_only=False`` uses every day."""
     t = taps.where(F.col("line_id").isNotNull())
+    # Date-partitioned taps carry the partition column: filtering on it
+    # prunes to one directory.
+    day = F.col("service_date") if "service_date" in taps.columns else service_date("time")
     if on_date is not None:
-        t = t.where(service_date("time") == F.lit(on_date))
+        t = t.where(day == F.lit(on_date))
     elif first_day_only:
-        first = taps.select(F.min(service_date("time"))).scalar()
-        t = t.where(service_date("time") == first)
+        first = taps.select(F.min(day)).scalar()
+        t = t.where(day == first)
     return t.select("line_id", "station_id").distinct()
 
 

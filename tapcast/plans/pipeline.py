@@ -31,7 +31,7 @@ from tapcast.session import build_session, materialize
 from tapcast.sources.grid import read_template_csv, slot_grid
 from tapcast.sources.roadmap import read_roadmap_csv
 from tapcast.sources.sink import submission, write_submission
-from tapcast.sources.taps import read_taps_csv
+from tapcast.sources.taps import read_taps_csv, read_taps_parquet
 
 
 @dataclass
@@ -74,8 +74,11 @@ def forecast_frame(taps: DataFrame, degrees: DataFrame, grid: DataFrame,
 
 
 def run(spark: SparkSession, taps_dir: str, roadmap: str, cfg: PipelineConfig,
-        template: str | None = None) -> DataFrame:
-    taps = read_taps_csv(spark, taps_dir)
+        template: str | None = None, taps_format: str = "csv") -> DataFrame:
+    """``taps_format``: ``csv`` (daily files) or ``parquet`` (written by
+    ``write_taps_parquet``, partitioned by service date)."""
+    taps = (read_taps_parquet(spark, taps_dir) if taps_format == "parquet"
+            else read_taps_csv(spark, taps_dir))
     degrees = degree_from_edges(read_roadmap_csv(spark, roadmap))
     if template:
         grid = read_template_csv(spark, template, cfg.slot_minutes)
@@ -100,13 +103,14 @@ def main(argv=None) -> None:
     ap.add_argument("--exclude")
     ap.add_argument("--slot-minutes", type=int, default=SLOT_MINUTES)
     ap.add_argument("--rounds", type=int)
+    ap.add_argument("--taps-format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session("tapcast-pipeline", master=a.master)
     cfg = PipelineConfig(target_date=dt.date.fromisoformat(a.target),
                          origins=_dates(a.origins) or None, excluded_dates=_dates(a.exclude),
                          slot_minutes=a.slot_minutes, max_rounds=a.rounds)
-    write_submission(run(spark, a.taps, a.roadmap, cfg, a.template), a.out)
+    write_submission(run(spark, a.taps, a.roadmap, cfg, a.template, a.taps_format), a.out)
 
 
 if __name__ == "__main__":

@@ -38,7 +38,12 @@ def write_taps_parquet(taps: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def read_taps_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return _clean(spark.read.parquet(path).select(*TAP_COLUMNS))
+    """Taps written by ``write_taps_parquet``; the ``service_date`` partition
+    column is kept, so date filters prune directories and date-only
+    questions (observed days, first day) need no timestamp column."""
+    df = spark.read.parquet(path)
+    cols = TAP_COLUMNS + (["service_date"] if "service_date" in df.columns else [])
+    return _clean(df.select(*cols))
 
 
 def taps_from_events(events: DataFrame, nation: DataFrame, region: DataFrame,

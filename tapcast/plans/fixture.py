@@ -31,8 +31,16 @@ SPECIAL_IDS = (15,)
 N_MIN = 300
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The driver table as a lazy DataFrame, built once per application (the
+    footer read and file listing are not repeated for every query)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
 
 
 def taps(spark: SparkSession, sf_dir: str) -> DataFrame:

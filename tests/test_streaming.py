@@ -1,6 +1,5 @@
 import os
 
-from pyspark.sql import functions as F
 
 from tapcast.operators.base import slot_table
 from tapcast.sources.taps import read_taps_csv

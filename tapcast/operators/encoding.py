@@ -55,6 +55,10 @@ class _BetaParams(Params):
     groupCol = Param(Params._dummy(), "groupCol", "column to encode", TypeConverters.toString)
     targetCol = Param(Params._dummy(), "targetCol", "numeric target", TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "encoded column", TypeConverters.toString)
+    targetCols = Param(Params._dummy(), "targetCols", "numeric targets (one pass for all)",
+                       TypeConverters.toListString)
+    outputCols = Param(Params._dummy(), "outputCols", "encoded columns, one per target",
+                       TypeConverters.toListString)
     statType = Param(Params._dummy(), "statType", "mean|mode|median|var|skewness|kurtosis|prior",
                      TypeConverters.toString)
     nMin = Param(Params._dummy(), "nMin", "prior pseudo-count floor", TypeConverters.toFloat)
@@ -66,80 +70,109 @@ class _BetaParams(Params):
         super().__init__()
         self._setDefault(statType="mean", nMin=1.0, broadcastMaxGroups=1_000_000)
 
+    def _pairs(self):
+        """(target, output) pairs from targetCols/outputCols or the single
+        targetCol/outputCol."""
+        if self.isSet("targetCols"):
+            ts, os_ = self.getOrDefault("targetCols"), self.getOrDefault("outputCols")
+            if len(ts) != len(os_):
+                raise ValueError("targetCols and outputCols differ in length")
+            return list(zip(ts, os_))
+        return [(self.getOrDefault("targetCol"), self.getOrDefault("outputCol"))]
+
 
 class BetaTargetEncoder(Estimator, _BetaParams):
+    """Several targets share one group table: one aggregation, one join and
+    one median subquery for all of them."""
+
     @keyword_only
-    def __init__(self, *, groupCol=None, targetCol=None, outputCol=None, statType="mean",
-                 nMin=1.0, broadcastMaxGroups=1_000_000):
+    def __init__(self, *, groupCol=None, targetCol=None, outputCol=None, targetCols=None,
+                 outputCols=None, statType="mean", nMin=1.0, broadcastMaxGroups=1_000_000):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "BetaTargetEncoderModel":
-        g, t = self.getOrDefault("groupCol"), self.getOrDefault("targetCol")
-        stats = materialize(dataset.groupBy(g).agg(
-            F.sum(F.col(t).cast("double")).alias("_sum"),
-            F.count(t).cast("double").alias("_cnt")))
+        g = self.getOrDefault("groupCol")
+        pairs = self._pairs()
+        aggs = []
+        for i, (t, _) in enumerate(pairs):
+            aggs += [F.sum(F.col(t).cast("double")).alias(f"_sum{i}"),
+                     F.count(t).cast("double").alias(f"_cnt{i}")]
+        stats = materialize(dataset.groupBy(g).agg(*aggs))
         # Prior = mean target over all non-null targets (every group, the
         # null group included), read from the small group table.
-        tot = stats.agg(F.sum("_sum").alias("n"), F.sum("_cnt").alias("N"),
+        tot = stats.agg(*[F.sum(f"_sum{i}").alias(f"n{i}") for i in range(len(pairs))],
+                        *[F.sum(f"_cnt{i}").alias(f"N{i}") for i in range(len(pairs))],
                         F.count(F.lit(1)).alias("groups")).first()
-        prior = float(tot["n"] / tot["N"]) if tot["N"] else float("nan")
+        priors = [float(tot[f"n{i}"] / tot[f"N{i}"]) if tot[f"N{i}"] else float("nan")
+                  for i in range(len(pairs))]
         model = BetaTargetEncoderModel(stats=stats.where(F.col(g).isNotNull()),
-                                       prior=prior, n_groups=int(tot["groups"]))
+                                       priors=priors, n_groups=int(tot["groups"]))
         return self._copyValues(model)
 
 
 class BetaTargetEncoderModel(Model, _BetaParams):
-    def __init__(self, stats: DataFrame | None = None, prior: float = 0.0, n_groups: int = 0):
+    def __init__(self, stats: DataFrame | None = None, priors=None, n_groups: int = 0):
         super().__init__()
         self.stats = stats
-        self.prior = prior
+        self.priors = list(priors or [])
         self.n_groups = n_groups
 
+    @property
+    def prior(self) -> float:
+        return self.priors[0]
+
     def _lookup(self) -> DataFrame:
         limit = self.getOrDefault("broadcastMaxGroups")
         # Size checked at fit time: broadcast only a table known to be small,
         # otherwise a shuffled join.
         return F.broadcast(self.stats) if self.n_groups <= limit else self.stats
 
-    def _value(self, n: Column, N: Column) -> Column:
-        p = F.lit(self.prior)
+    def _value(self, n: Column, N: Column, prior: float | None = None) -> Column:
+        prior = self.priors[0] if prior is None else prior
+        p = F.lit(prior)
         unseen = n.isNull()
         n = F.when(unseen, p).otherwise(n)
         N = F.when(unseen, F.lit(1.0)).otherwise(N)
         Np = F.greatest(F.lit(self.getOrDefault("nMin")) - N, F.lit(0.0))
         a = p * Np + n
         b = (1 - p) * Np + N - n
-        return beta_statistic(a, b, self.getOrDefault("statType"), self.prior)
+        return beta_statistic(a, b, self.getOrDefault("statType"), prior)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         g = self.getOrDefault("groupCol")
-        out = self.getOrDefault("outputCol")
+        pairs = self._pairs()
         lookup = self._lookup()
-        keyed = dataset.join(lookup, g, "left")
-        v = self._value(F.col("_sum"), F.col("_cnt"))
-        # Median of the non-NaN values over the rows of ``dataset``,
-        # weighted by rows per group.
+        vals = [self._value(F.col(f"_sum{i}"), F.col(f"_cnt{i}"), self.priors[i])
+                for i in range(len(pairs))]
+        # Median of the non-NaN values over the rows of ``dataset``, weighted
+        # by rows per group; one subquery returns the medians of all targets.
+        # All values NaN: the median of nothing is NaN, as in NumPy.
         per_group = (dataset.groupBy(g).agg(F.count(F.lit(1)).alias("_rows"))
                      .join(lookup, g, "left")
-                     .select(v.alias("_v"), "_rows")
-                     .where(~F.isnan("_v")))
-        # All values NaN: the median of nothing is NaN, as in NumPy.
-        median = per_group.select(F.coalesce(F.percentile("_v", 0.5, F.col("_rows")),
-                                             F.lit(float("nan")))).scalar()
-        return (keyed.withColumn("_v", v)
-                .withColumn(out, F.when(F.isnan("_v"), median).otherwise(F.col("_v")))
-                .drop("_sum", "_cnt", "_v"))
+                     .select("_rows", *[v.alias(f"_v{i}") for i, v in enumerate(vals)]))
+        nan = F.lit(float("nan"))
+        medians = per_group.select(F.struct(*[
+            F.coalesce(F.percentile(F.when(~F.isnan(f"_v{i}"), F.col(f"_v{i}")), 0.5,
+                                    F.col("_rows")), nan).alias(f"m{i}")
+            for i in range(len(pairs))]).alias("m")).scalar()
+        keyed = dataset.join(lookup, g, "left").withColumns(
+            {f"_v{i}": v for i, v in enumerate(vals)})
+        return (keyed.withColumns({
+                    out: F.when(F.isnan(f"_v{i}"), medians.getField(f"m{i}"))
+                          .otherwise(F.col(f"_v{i}"))
+                    for i, (_, out) in enumerate(pairs)})
+                .drop(*[f"_v{i}" for i in range(len(pairs))],
+                      *[f"_sum{i}" for i in range(len(pairs))],
+                      *[f"_cnt{i}" for i in range(len(pairs))]))
 
 
 def encode_frame(all_rows: DataFrame, train_rows: DataFrame, group_col: str = "slot",
                  targets=(("in_nums", "in_slot_enc"), ("out_nums", "out_slot_enc")),
                  stat_type: str = "mean", n_min: float = 300.0) -> DataFrame:
-    """One encoder per target, fitted on the train rows and applied to
-    every row."""
-    out = all_rows
-    for target, col in targets:
-        enc = BetaTargetEncoder(groupCol=group_col, targetCol=target, outputCol=col,
-                                statType=stat_type, nMin=float(n_min)).fit(train_rows)
-        out = enc.transform(out)
-    return out
+    """Both targets encoded against the same group column, fitted on the
+    train rows and applied to every row (one encoder, one pass)."""
+    enc = BetaTargetEncoder(groupCol=group_col, targetCols=[t for t, _ in targets],
+                            outputCols=[c for _, c in targets], statType=stat_type,
+                            nMin=float(n_min)).fit(train_rows)
+    return enc.transform(all_rows)

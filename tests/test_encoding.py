@@ -88,3 +88,19 @@ def test_size_check_switches_off_broadcast(spark):
     assert enc.n_groups == 3
     rows = spark.createDataFrame([(0,), (5,)], "g int")
     assert enc.transform(rows).count() == 2
+
+
+def test_multi_target_equals_single_encoders(spark):
+    rows = [(g, t, (t * 3 + g) % 4) for g, t in TRAIN]
+    train = spark.createDataFrame(rows, "g int, t int, u int")
+    frame = spark.createDataFrame([(i, g) for i, g in enumerate(ROWS)], "id int, g int")
+    for stat in ("mean", "skewness", "kurtosis"):
+        multi = BetaTargetEncoder(groupCol="g", targetCols=["t", "u"], outputCols=["et", "eu"],
+                                  statType=stat, nMin=2.0).fit(train).transform(frame)
+        single = frame
+        for t, o in (("t", "et"), ("u", "eu")):
+            single = BetaTargetEncoder(groupCol="g", targetCol=t, outputCol=o, statType=stat,
+                                       nMin=2.0).fit(train).transform(single)
+        a = [(r.id, r.et, r.eu) for r in multi.orderBy("id").collect()]
+        b = [(r.id, r.et, r.eu) for r in single.orderBy("id").collect()]
+        assert repr(a) == repr(b), (stat, a, b)

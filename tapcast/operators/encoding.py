@@ -156,13 +156,14 @@ class BetaTargetEncoderModel(Model, _BetaParams):
             F.coalesce(F.percentile(F.when(~F.isnan(f"_v{i}"), F.col(f"_v{i}")), 0.5,
                                     F.col("_rows")), nan).alias(f"m{i}")
             for i in range(len(pairs))]).alias("m")).scalar()
+        # The struct sits in one column, so the plan holds one subquery.
         keyed = dataset.join(lookup, g, "left").withColumns(
-            {f"_v{i}": v for i, v in enumerate(vals)})
+            {**{f"_v{i}": v for i, v in enumerate(vals)}, "_med": medians})
         return (keyed.withColumns({
-                    out: F.when(F.isnan(f"_v{i}"), medians.getField(f"m{i}"))
+                    out: F.when(F.isnan(f"_v{i}"), F.col("_med").getField(f"m{i}"))
                           .otherwise(F.col(f"_v{i}"))
                     for i, (_, out) in enumerate(pairs)})
-                .drop(*[f"_v{i}" for i in range(len(pairs))],
+                .drop("_med", *[f"_v{i}" for i in range(len(pairs))],
                       *[f"_sum{i}" for i in range(len(pairs))],
                       *[f"_cnt{i}" for i in range(len(pairs))]))
 

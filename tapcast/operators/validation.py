@@ -31,23 +31,22 @@ def same_weekday_origins(target_date, k: int = 2, step_weeks: int = 1,
 def fold_sizes(frame: DataFrame, origins, date_col: str = "service_date") -> DataFrame:
     """One row per origin: train rows, valid rows and the train date span.
 
-    Rows are first counted per date (one small aggregate, reused by every
-    origin), so the cost does not grow with the number of origins."""
+    Rows are first counted per date; one aggregation over those counts
+    serves every origin, and its single row is exploded into one row per
+    origin."""
     per_date = frame.groupBy(date_col).agg(F.count(F.lit(1)).alias("_rows"))
-    parts = []
-    for o in origins:
+    d, aggs, rows = F.col(date_col), [], []
+    for i, o in enumerate(origins):
         o = F.lit(_as_date(o))
-        d = F.col(date_col)
-        parts.append(per_date.agg(
-            F.coalesce(F.sum(F.when(d < o, F.col("_rows"))), F.lit(0)).alias("n_train"),
-            F.coalesce(F.sum(F.when(d == o, F.col("_rows"))), F.lit(0)).alias("n_valid"),
-            F.min(F.when(d < o, d)).alias("first_train_date"),
-            F.max(F.when(d < o, d)).alias("last_train_date"),
-        ).select(o.alias("origin"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        aggs += [F.coalesce(F.sum(F.when(d < o, F.col("_rows"))), F.lit(0)).alias(f"t{i}"),
+                 F.coalesce(F.sum(F.when(d == o, F.col("_rows"))), F.lit(0)).alias(f"v{i}"),
+                 F.min(F.when(d < o, d)).alias(f"f{i}"),
+                 F.max(F.when(d < o, d)).alias(f"l{i}")]
+        rows.append(F.struct(o.alias("origin"), F.col(f"t{i}").alias("n_train"),
+                             F.col(f"v{i}").alias("n_valid"),
+                             F.col(f"f{i}").alias("first_train_date"),
+                             F.col(f"l{i}").alias("last_train_date")))
+    return per_date.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def out_of_fold(frame: DataFrame, origins, fit_predict, keys=("station_id", "service_date", "slot"),

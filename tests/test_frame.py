@@ -67,3 +67,14 @@ def test_fixture_frames_unique_keys(spark):
     assert allr.groupBy("station_id", "service_date", "slot").count().where("count > 1").count() == 0
     assert sc.count() == fx.grid(spark, "/root/testdata/sf0.001").count()
     assert tr.agg(F.max("service_date")).first()[0] < fx.TARGET_DATE
+
+
+def test_hourly_slots_through_the_stack(spark):
+    from tapcast.plans import fixture as fx
+    tr, sc = fx.frames(spark, "/root/testdata/sf0.001", 60, staged=True)
+    a = tr.agg(F.min("slot"), F.max("slot"), F.max("minute"),
+               F.sum((F.col("in_whm_mean") != F.col("in_wh_mean")).cast("int"))).first()
+    assert a[0] >= 0 and a[1] <= 23 and a[2] == 0 and a[3] == 0
+    assert sc.count() == 25 * 24
+    assert tr.unionByName(sc).groupBy("station_id", "service_date", "slot").count() \
+        .where("count > 1").count() == 0

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.session import materialize
+from tapcast.session import materialize_counted
 
 DEFAULT_MAX_ROWS = 1_000_000
 
@@ -21,8 +21,8 @@ DEFAULT_MAX_ROWS = 1_000_000
 def checked_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """The table, materialized, with a broadcast hint iff it has at most
     ``max_rows`` rows."""
-    m = materialize(df)
-    return F.broadcast(m) if m.count() <= max_rows else m
+    m, n = materialize_counted(df)
+    return F.broadcast(m) if n <= max_rows else m
 
 
 def dimension_join(big: DataFrame, small: DataFrame, on, how: str = "left",

@@ -1,9 +1,11 @@
 """Same-weekday flow profile.
 
-Group-and-merge-back is a whole-partition window: max/min/mean of the
-current counts over every row of the same station, weekday, hour (and
-minute). Both grains share one exchange on (station, weekday, hour); a
-group holds at most weeks x slots-per-hour rows.
+Group-and-merge-back is a window: max/min/mean of the current counts over
+every row of the same station, weekday, hour (and minute). One window spec
+serves both grains -- partitioned by (station, weekday, hour), ordered by
+minute, with a RANGE frame of 0 for the minute grain and an unbounded frame
+for the hour grain -- so both take one exchange and one sort. A group holds
+at most weeks x slots-per-hour rows.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ def add_week_flow(df: DataFrame, in_col: str = "in_now", out_col: str = "out_now
 
     ``before``: optional date; when given, only rows before it feed the
     statistics (keeps a validation day out of its own features)."""
-    whm = Window.partitionBy("station_id", "weekday", "hour", "minute")
-    wh = Window.partitionBy("station_id", "weekday", "hour")
+    spec = Window.partitionBy("station_id", "weekday", "hour").orderBy("minute")
+    whm = spec.rangeBetween(0, 0)
+    wh = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     src_in, src_out = F.col(in_col), F.col(out_col)
     if before is not None:
         keep = F.col("service_date") < F.lit(before)

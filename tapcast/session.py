@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tapcast", master: str | None = None,
@@ -63,6 +64,14 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return fallback
 
 
+def materialize_counted(df: DataFrame, sort_within: list | None = None):
+    """``materialize`` that also returns the row count, observed during the
+    write itself (no second job)."""
+    obs = Observation("rows")
+    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")), sort_within)
+    return out, int(obs.get["n"])
+
+
 def materialize(df: DataFrame, sort_within: list | None = None) -> DataFrame:
     """Cut lineage: write the frame once as a Parquet table under the shared
     checkpoint folder and return a DataFrame reading it back.

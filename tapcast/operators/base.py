@@ -99,10 +99,28 @@ def _slots_with_devices(taps: DataFrame, slot_minutes: int, partitions: int | No
                   F.count("device_id").alias("nuni_device_station_slot"),
                   F.sum("first_day").alias("d_first"),
                   F.sum("first_hour").alias("h_first")))
-    # Same partition and order for both totals: one sort.
-    by_hour = Window.partitionBy("station_id", "service_date").orderBy("hour")
-    return slots.withColumns({
-        "nuni_device_station": F.sum("d_first").over(
-            by_hour.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        "nuni_device_station_hour": F.sum("h_first").over(by_hour.rangeBetween(0, 0)),
-    })
+    return slots.withColumns(_day_and_hour_totals(slot_minutes))
+
+
+def _day_and_hour_totals(slot_minutes: int) -> dict:
+    """Station-day and station-hour sums of the first-appearance marks.
+
+    The window is (station, date) ordered by slot -- the same spec as the
+    neighbour-slot frames -- so the sort is shared. When slots tile the hour,
+    the hour total of slot s is a RANGE frame from the hour's first slot to
+    its last, i.e. offsets (-k, n-1-k) with k = s mod n slots per hour; one
+    frame per k, chosen by a CASE."""
+    w = Window.partitionBy("station_id", "service_date").orderBy("slot")
+    day = F.sum("d_first").over(w.rowsBetween(Window.unboundedPreceding,
+                                              Window.unboundedFollowing))
+    if 60 % slot_minutes == 0:
+        n = 60 // slot_minutes
+        k = F.col("slot") % n
+        hour = None
+        for i in range(n):
+            frame = F.sum("h_first").over(w.rangeBetween(-i, n - 1 - i))
+            hour = F.when(k == i, frame) if hour is None else hour.when(k == i, frame)
+    else:
+        # Slots that straddle hours: a window per (station, date, hour).
+        hour = F.sum("h_first").over(Window.partitionBy("station_id", "service_date", "hour"))
+    return {"nuni_device_station": day, "nuni_device_station_hour": hour}

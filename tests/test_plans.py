@@ -49,3 +49,11 @@ def test_staged_score_side_pushes_date_filter(spark):
     tr, sc = fx.frames(spark, SF, staged=True)
     text = _formatted(sc)
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(service_date,2024-01-30\)", text), text
+
+
+def test_feature_stage_sorts(spark):
+    """Device marks, the shared (station, date | slot) spec for hour/day
+    totals and neighbour slots, the weekly profile, the next-day target."""
+    text = _formatted(relational_queries()["train_frame"](spark, SF))
+    plan_lines = text.split("\n\n")[0]
+    assert len(re.findall(r"\bSort \(\d+\)", plan_lines)) == 4, plan_lines

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable,
+                             DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ class _BetaParams(Params):
         return [(self.getOrDefault("targetCol"), self.getOrDefault("outputCol"))]
 
 
-class BetaTargetEncoder(Estimator, _BetaParams):
+class BetaTargetEncoder(Estimator, _BetaParams, DefaultParamsWritable, DefaultParamsReadable):
     """Several targets share one group table: one aggregation, one join and
     one median subquery for all of them."""
 
@@ -111,7 +113,35 @@ class BetaTargetEncoder(Estimator, _BetaParams):
         return self._copyValues(model)
 
 
-class BetaTargetEncoderModel(Model, _BetaParams):
+class _ModelWriter(MLWriter):
+    """Params, priors and group count as params metadata; the group table as
+    Parquet next to it."""
+
+    def __init__(self, instance: "BetaTargetEncoderModel"):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        m = self.instance
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession,
+                                         extraMetadata={"priors": m.priors, "n_groups": m.n_groups})
+        m.stats.write.mode("overwrite" if self.shouldOverwrite else "error").parquet(f"{path}/stats")
+
+
+class _ModelReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> "BetaTargetEncoderModel":
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        stats = self.sparkSession.read.parquet(f"{path}/stats")
+        model = self.cls(stats=stats, priors=meta["priors"], n_groups=meta["n_groups"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model
+
+
+class BetaTargetEncoderModel(Model, _BetaParams, MLWritable, MLReadable):
     def __init__(self, stats: DataFrame | None = None, priors=None, n_groups: int = 0):
         super().__init__()
         self.stats = stats
@@ -122,6 +152,13 @@ class BetaTargetEncoderModel(Model, _BetaParams):
     def prior(self) -> float:
         return self.priors[0]
 
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader(cls)
+
     def _lookup(self) -> DataFrame:
         limit = self.getOrDefault("broadcastMaxGroups")
         # Size checked at fit time: broadcast only a table known to be small,

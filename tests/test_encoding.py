@@ -104,3 +104,23 @@ def test_multi_target_equals_single_encoders(spark):
         a = [(r.id, r.et, r.eu) for r in multi.orderBy("id").collect()]
         b = [(r.id, r.et, r.eu) for r in single.orderBy("id").collect()]
         assert repr(a) == repr(b), (stat, a, b)
+
+
+def test_save_and_load(spark, scratch):
+    import os
+
+    from tapcast.operators.encoding import BetaTargetEncoderModel
+    train = spark.createDataFrame(TRAIN, "g int, t int")
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate(ROWS)], "id int, g int")
+    est = BetaTargetEncoder(groupCol="g", targetCol="t", outputCol="e", statType="skewness", nMin=8.0)
+    model = est.fit(train)
+    path = os.path.join(scratch, "enc")
+    model.save(path)
+    est.save(os.path.join(scratch, "est"))
+    back = BetaTargetEncoderModel.load(path)
+    a = [r.e for r in model.transform(rows).orderBy("id").collect()]
+    b = [r.e for r in back.transform(rows).orderBy("id").collect()]
+    assert repr(a) == repr(b)
+    assert back.getOrDefault("statType") == "skewness" and back.n_groups == 3
+    est2 = BetaTargetEncoder.load(os.path.join(scratch, "est"))
+    assert est2.getOrDefault("nMin") == 8.0 and est2.getOrDefault("groupCol") == "g"

@@ -32,7 +32,7 @@ def q_gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_blend_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's final output: mean of two presets, as a submission."""
+    """The final output: mean of two presets, as a submission."""
     rows, score, _ = _prepared(spark, sf)
     preds = blend(rows, score, fx.ORIGINS, (L1_DEPTH5, L1_DEPTH6))
     grid = fx.grid(spark, sf, FORECAST_SLOT_MINUTES)

@@ -1,7 +1,7 @@
 """DuckDB SQL for every relational query, written against the raw driver
 tables (``events``, ``nation``, ``region``, ``orders``).
 
-The SQL follows the reference's own formulation where it differs from the
+The SQL uses the direct formulation where it differs from the
 Spark plan: neighbour slots and next-day targets are self-joins, device
 counts are COUNT(DISTINCT), the road map is an explicit self-join of
 nations. Doubles are rounded to 6 places, as in the Spark queries.

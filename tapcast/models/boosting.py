@@ -69,6 +69,9 @@ def fit_best_rounds(spec: BoosterSpec, train: DataFrame, valid: DataFrame, label
     """Fit up to ``max_iter`` rounds on train; return (rounds with the lowest
     valid MAE, that MAE)."""
     model = spec.estimator(label).fit(train)
+    if valid.isEmpty():
+        # No rows on the origin day: nothing to select on, keep every round.
+        return spec.max_iter, float("nan")
     errs = model.evaluateEachIteration(valid, "absolute")
     best = min(range(len(errs)), key=lambda i: errs[i])
     return best + 1, float(errs[best])

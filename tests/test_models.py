@@ -43,3 +43,15 @@ def test_stacking_rows(spark, prepared):
     out = model.transform(score)
     assert out.count() == score.count()
     assert out.where(F.col("in_pred").isNull()).count() == 0
+
+
+def test_empty_origin_keeps_all_rounds(spark, prepared):
+    import datetime as dt
+
+    from tapcast.models.boosting import fit_best_rounds
+    from tapcast.operators.validation import fold
+    rows, _, _ = prepared
+    spec = with_rounds(L1_DEPTH6, 3)
+    tr, va = fold(rows, dt.date(2030, 1, 1))
+    rounds, err = fit_best_rounds(spec, tr, va, "in_nums")
+    assert rounds == 3 and err != err

@@ -1,7 +1,8 @@
 """Stacking of boosted base models (M9, V4) as an Estimator/Model pair.
 
 fit: for every base preset and every origin, fit on the rows before the
-origin and predict the origin's rows; the out-of-fold predictions are
+origin (round count chosen by the origin day's MAE, as early stopping) and
+predict the origin's rows; the out-of-fold predictions are
 columns ``pred_<name>`` on rows keyed by (station, date, slot), stacked over
 origins by name, and a linear meta model is fitted on them.
 transform: each base preset predicts with the mean of its origin models,
@@ -18,25 +19,35 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.models.boosting import L1_DEPTH5, L1_DEPTH6, L2_DEPTH9
+from tapcast.models.boosting import L1_DEPTH5, L1_DEPTH6, L2_DEPTH9, fit_best_rounds
 from tapcast.operators.validation import fold
 
 
 class StackedBoosters(Estimator):
     def __init__(self, label: str, origins, bases=(L1_DEPTH6, L1_DEPTH5, L2_DEPTH9),
-                 output_col: str = "prediction", reg_param: float = 0.0, workers: int = 4):
+                 output_col: str = "prediction", reg_param: float = 0.0, workers: int = 4,
+                 select_rounds: bool = True):
         super().__init__()
         self.label, self.origins, self.bases = label, list(origins), list(bases)
-        self.workers = workers
+        self.workers, self.select_rounds = workers, select_rounds
         self.output_col, self.reg_param = output_col, reg_param
 
     def _fit(self, rows: DataFrame) -> "StackedBoostersModel":
         # Base fits per (preset, origin) are independent: submit them from
         # driver threads so their jobs overlap.
         jobs = [(b, o) for o in self.origins for b in self.bases]
+
+        def fit_base(b, o):
+            tr, va = fold(rows, o)
+            if not self.select_rounds:
+                return b.estimator(self.label).fit(tr)
+            # Early stopping on the origin day: keep the best round count,
+            # then fit that many rounds on the rows before the origin.
+            rounds, _ = fit_best_rounds(b, tr, va, self.label)
+            return b.estimator(self.label, rounds).fit(tr)
+
         with ThreadPoolExecutor(max_workers=min(self.workers, len(jobs))) as ex:
-            futs = {(b.name, o): ex.submit(lambda b=b, o=o: b.estimator(self.label)
-                                           .fit(fold(rows, o)[0])) for b, o in jobs}
+            futs = {(b.name, o): ex.submit(fit_base, b, o) for b, o in jobs}
             fitted = {k: f.result() for k, f in futs.items()}
         base_models = {b.name: [fitted[(b.name, o)] for o in self.origins] for b in self.bases}
         oof_parts = []

@@ -73,3 +73,14 @@ def test_partitioned_taps_prune_dates(spark, scratch):
     plan = back.where(back.service_date == dt.date(2024, 1, 5))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PartitionFilters: [isnotnull(service_date" in plan
+
+
+def test_template_calendar_columns(spark, scratch):
+    """V2: the template grid gets the calendar columns of its day."""
+    from tapcast.operators.base import with_calendar
+    p = os.path.join(scratch, "tmpl2.csv")
+    with open(p, "w") as f:
+        f.write("stationID,startTime,endTime,inNums,outNums\n")
+        f.write("3,2019-02-04 17:30:00,2019-02-04 17:40:00,,\n")
+    r = with_calendar(read_template_csv(spark, p)).first()
+    assert (r.slot, r.weekday, r.is_holiday, r.day, r.hour, r.minute) == (105, 1, 1, 4, 17, 30)

@@ -61,8 +61,10 @@ def feature_columns(df: DataFrame) -> list:
 
 
 def assemble(df: DataFrame, features: list) -> DataFrame:
+    """Feature vector; a missing feature counts as 0 (the frames' convention)
+    because Spark's tree learners reject NaN."""
     return VectorAssembler(inputCols=features, outputCol="features",
-                           handleInvalid="keep").transform(df)
+                           handleInvalid="keep").transform(df.na.fill(0, subset=features))
 
 
 def fit_best_rounds(spec: BoosterSpec, train: DataFrame, valid: DataFrame, label: str):

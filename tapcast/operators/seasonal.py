@@ -28,7 +28,7 @@ def add_week_flow(df: DataFrame, in_col: str = "in_now", out_col: str = "out_now
     if before is not None:
         keep = F.col("service_date") < F.lit(before)
         src_in, src_out = F.when(keep, src_in), F.when(keep, src_out)
-    return df.withColumns({
+    cols = {
         "in_whm_max": F.max(src_in).over(whm),
         "in_whm_min": F.min(src_in).over(whm),
         "in_whm_mean": F.avg(src_in).over(whm),
@@ -39,4 +39,9 @@ def add_week_flow(df: DataFrame, in_col: str = "in_now", out_col: str = "out_now
         "in_wh_min": F.min(src_in).over(wh),
         "in_wh_mean": F.avg(src_in).over(wh),
         "out_wh_mean": F.avg(src_out).over(wh),
-    })
+    }
+    if before is not None:
+        # A group with no earlier rows has no profile: 0, the frames'
+        # convention for missing history.
+        cols = {k: F.coalesce(v, F.lit(0)) for k, v in cols.items()}
+    return df.withColumns(cols)

@@ -48,13 +48,16 @@ class PipelineConfig:
     max_rounds: int | None = None
     recompute_peak: bool = False
     workers: int = 4
+    # Fit the weekly profile and the encoder on rows before this date only
+    # (e.g. the first origin), so no validation day feeds its own features.
+    fit_before: dt.date | None = None
 
 
 def forecast_frame(taps: DataFrame, degrees: DataFrame, grid: DataFrame,
                    cfg: PipelineConfig) -> DataFrame:
     """Predictions (``in_pred``, ``out_pred``) for every score row."""
     fcfg = FeatureConfig(calendar=cfg.calendar, slot_minutes=cfg.slot_minutes,
-                         special_ids=cfg.special_ids)
+                         special_ids=cfg.special_ids, week_flow_before=cfg.fit_before)
     feats = slot_features(taps, degrees, fcfg)
     cols = frame_columns(feats)
     feats = stage_features(feats)
@@ -64,7 +67,10 @@ def forecast_frame(taps: DataFrame, degrees: DataFrame, grid: DataFrame,
                      recompute_peak=cfg.recompute_peak).select(*cols)
     all_rows = materialize(tr.unionByName(sc))
     is_target = F.col("service_date") == F.lit(cfg.target_date)
-    all_rows = encode_frame(all_rows, all_rows.where(~is_target), "slot", n_min=cfg.n_min)
+    fit_rows = all_rows.where(~is_target)
+    if cfg.fit_before is not None:
+        fit_rows = fit_rows.where(F.col("service_date") < F.lit(cfg.fit_before))
+    all_rows = encode_frame(all_rows, fit_rows, "slot", n_min=cfg.n_min)
     rows = exclude_dates(all_rows.where(~is_target), cfg.excluded_dates)
     score = all_rows.where(is_target)
     rows, score, _ = prepare(all_rows, rows, score)
@@ -103,13 +109,15 @@ def main(argv=None) -> None:
     ap.add_argument("--exclude")
     ap.add_argument("--slot-minutes", type=int, default=SLOT_MINUTES)
     ap.add_argument("--rounds", type=int)
+    ap.add_argument("--fit-before", help="fit weekly profile and encoder on earlier days only")
     ap.add_argument("--taps-format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session("tapcast-pipeline", master=a.master)
     cfg = PipelineConfig(target_date=dt.date.fromisoformat(a.target),
                          origins=_dates(a.origins) or None, excluded_dates=_dates(a.exclude),
-                         slot_minutes=a.slot_minutes, max_rounds=a.rounds)
+                         slot_minutes=a.slot_minutes, max_rounds=a.rounds,
+                         fit_before=dt.date.fromisoformat(a.fit_before) if a.fit_before else None)
     write_submission(run(spark, a.taps, a.roadmap, cfg, a.template, a.taps_format), a.out)
 
 

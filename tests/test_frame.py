@@ -78,3 +78,13 @@ def test_hourly_slots_through_the_stack(spark):
     assert sc.count() == 25 * 24
     assert tr.unionByName(sc).groupBy("station_id", "service_date", "slot").count() \
         .where("count > 1").count() == 0
+
+
+def test_week_flow_before_excludes_later_days(spark):
+    from tapcast.operators.seasonal import add_week_flow
+    rows = [(1, dt.date(2024, 1, d), 3, 8, 0, v, 0) for d, v in ((1, 2), (8, 4), (15, 100))]
+    df = spark.createDataFrame(rows, "station_id int, service_date date, weekday int, hour int, "
+                                     "minute int, in_now bigint, out_now bigint")
+    got = {r.service_date.day: r.in_whm_mean
+           for r in add_week_flow(df, before=dt.date(2024, 1, 15)).collect()}
+    assert got == {1: 3.0, 8: 3.0, 15: 3.0}

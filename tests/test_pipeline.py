@@ -29,7 +29,7 @@ def test_pipeline_cli(spark, scratch):
     out = os.path.join(scratch, "submission")
     main(["--taps", tap_dir, "--roadmap", road, "--target", "2024-01-31", "--out", out,
           "--origins", "2024-01-17,2024-01-24", "--exclude", "2024-01-02",
-          "--slot-minutes", "60", "--rounds", "3"])
+          "--slot-minutes", "60", "--rounds", "3", "--fit-before", "2024-01-17"])
     sub = spark.read.option("header", True).csv(out)
     n_stations = taps.select("station_id").distinct().count()
     assert sub.count() == n_stations * 24

@@ -36,3 +36,15 @@ def slot_counts_stream(taps: DataFrame, slot_minutes: int = SLOT_MINUTES,
     return agg.select("station_id", F.to_date(start).alias("service_date"),
                       slot_of(start, slot_minutes).alias("slot"),
                       ins.alias("in_nums"), (F.col("n") - ins).cast("bigint").alias("out_nums"))
+
+
+def start_slot_sink(counts: DataFrame, path: str, checkpoint: str,
+                    trigger_seconds: int | None = None):
+    """Append closed slots to date-partitioned Parquet. The file sink with a
+    checkpoint location is exactly-once: a restarted query resumes from the
+    checkpoint and never duplicates a slot."""
+    w = (counts.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint).partitionBy("service_date"))
+    if trigger_seconds:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start(path)

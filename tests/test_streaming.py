@@ -37,3 +37,20 @@ def test_stream_equals_batch(spark, scratch):
     # under the watermark (the last minutes of the stream) may be pending.
     assert g and all(w[k] == v for k, v in g.items())
     assert len(g) >= len(w) - 1
+
+
+def test_parquet_sink_exactly_once(spark, scratch):
+    from tapcast.streaming.slot_stream import start_slot_sink
+    d = os.path.join(scratch, "in2")
+    os.makedirs(d)
+    for name, text in (("d1.csv", DAY1), ("d2.csv", DAY2)):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    out, ckpt = os.path.join(scratch, "out"), os.path.join(scratch, "ckpt2")
+    for _ in range(2):                                  # restart: no duplicates
+        q = start_slot_sink(slot_counts_stream(tap_stream(spark, d)), out, ckpt)
+        q.processAllAvailable()
+        q.stop()
+    got = spark.read.parquet(out)
+    keys = got.groupBy("station_id", "service_date", "slot").count()
+    assert got.count() > 0 and keys.where("count > 1").count() == 0

@@ -68,8 +68,9 @@ def features(spark: SparkSession, sf_dir: str, slot_minutes: int = 10) -> DataFr
 
 
 def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, feats=None,
-           staged: bool = False):
-    """(train, score) supervised frames with a fixed column order.
+           staged: bool = False, want=("train", "score")):
+    """(train, score) supervised frames with a fixed column order; a frame not
+    in ``want`` is None (and costs nothing).
 
     ``staged``: write the features once (with next-day targets) when both
     frames will be consumed together, so the feature plan runs once."""
@@ -77,9 +78,13 @@ def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, feats=None,
     cols = frame_columns(f)
     if staged:
         f = stage_features(f)
-    tr = train_frame(f, TARGET_DATE, observed=observed_dates(taps(spark, sf_dir))).select(*cols)
-    sc = score_frame(f, grid(spark, sf_dir, slot_minutes), TARGET_DATE,
-                     slot_minutes=slot_minutes).select(*cols)
+    tr = sc = None
+    if "train" in want:
+        tr = train_frame(f, TARGET_DATE,
+                         observed=observed_dates(taps(spark, sf_dir))).select(*cols)
+    if "score" in want:
+        sc = score_frame(f, grid(spark, sf_dir, slot_minutes), TARGET_DATE,
+                         slot_minutes=slot_minutes).select(*cols)
     return tr, sc
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapcast.functions.calendar import is_holiday, iso_weekday, month_day_key
 from tapcast.operators.base import slot_table
 from tapcast.operators.frame import add_ratio_features, cohort
+from tapcast.operators.metrics import competition_score
 from tapcast.operators.neighbors import add_neighbor_slots, neighbor_station_flow_by_group
 from tapcast.operators.network import (add_line_size, add_special_flag, add_station_type,
                                        line_size, station_lines)
@@ -92,15 +93,15 @@ def q_ratio_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_train_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(fx.frames(spark, sf)[0])
+    return round_doubles(fx.frames(spark, sf, want=("train",))[0])
 
 
 def q_score_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(fx.frames(spark, sf)[1])
+    return round_doubles(fx.frames(spark, sf, want=("score",))[1])
 
 
 def q_cohort_workday(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(cohort(fx.frames(spark, sf)[0], holiday=0))
+    return round_doubles(cohort(fx.frames(spark, sf, want=("train",))[0], holiday=0))
 
 
 def _encode(stat):
@@ -117,8 +118,7 @@ def q_rolling_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_naive_mae(spark: SparkSession, sf: str) -> DataFrame:
-    from tapcast.operators.metrics import competition_score
-    tr = fx.frames(spark, sf)[0]
+    tr = fx.frames(spark, sf, want=("train",))[0]
     return round_doubles(competition_score(tr, in_pred="in_now", out_pred="out_now",
                                            by=["service_date"]))
 

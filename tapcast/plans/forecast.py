@@ -7,6 +7,8 @@ is the same pipeline.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tapcast.models.boosting import L1_DEPTH5, L1_DEPTH6, blend, forecast, prepare
@@ -34,17 +36,21 @@ def q_gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
 def q_blend_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """The final output: mean of two presets, as a submission."""
     rows, score, _ = _prepared(spark, sf)
-    preds = blend(rows, score, fx.ORIGINS, (L1_DEPTH5, L1_DEPTH6))
+    preds = blend(rows, score, fx.ORIGINS, (L1_DEPTH5, L1_DEPTH6), workers=8)
     grid = fx.grid(spark, sf, FORECAST_SLOT_MINUTES)
     return submission(grid, preds, slot_minutes=FORECAST_SLOT_MINUTES)
 
 
 def q_stacked_forecast(spark: SparkSession, sf: str) -> DataFrame:
     rows, score, _ = _prepared(spark, sf)
+    targets = (("in_nums", "in_pred"), ("out_nums", "out_pred"))
+    # The two targets' stacks are independent: fit them concurrently.
+    with ThreadPoolExecutor(max_workers=len(targets)) as ex:
+        models = list(ex.map(lambda t: StackedBoosters(t[0], fx.ORIGINS, output_col=t[1],
+                                                       workers=8).fit(rows), targets))
     out = score
-    for label, pred in (("in_nums", "in_pred"), ("out_nums", "out_pred")):
-        model = StackedBoosters(label, fx.ORIGINS, output_col=pred).fit(rows)
-        out = model.transform(out).drop(*[c for c in model.pred_cols])
+    for model in models:
+        out = model.transform(out).drop(*model.pred_cols)
     return out.select(*KEYS, "in_pred", "out_pred")
 
 

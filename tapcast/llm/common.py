@@ -4,9 +4,12 @@ and cached tokenization."""
 from __future__ import annotations
 
 import re
+import tempfile
 import unicodedata
 import uuid
+import zipfile
 from hashlib import blake2b
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python
+    workers import it, and keep their caches between tasks."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tapcast_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="tapcast-py-")) / "tapcast_package.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(to))
+    sc._tapcast_shipped = True
+
+
 def doc_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text binary): UTF-8 bytes, a null text as empty. Other
     columns go, so their names can't clash with an operator's."""
+    ship_package(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
 
 

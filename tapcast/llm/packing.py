@@ -110,7 +110,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096,
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
              "sequence_length"] + ["ids"] * with_ids
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
         ids = [np.frombuffer(x, "<u2" if w == 2 else "<u4") for x, w in zip(rows["ids"], rows["width"])]
         sizes = np.array([len(x) for x in ids], np.int64)

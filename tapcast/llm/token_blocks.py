@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import doc_columns, token_encoder
+from tapcast.llm.common import doc_columns, ship_package, token_encoder
 
 BLOCK = 1024
 SEGMENT_IDS = 1 << 17
@@ -176,6 +176,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
+    ship_package(spark)
     files = spark.read.schema(SEGMENTS_DDL).parquet(path)
     # One row per shard: what lies before it.
     before = (files.groupBy("shard").agg(F.sum("n_ids").alias("n"))

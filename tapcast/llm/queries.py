@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapcast.llm import packing, token_blocks
+from tapcast.llm import archive, decontamination, packing, sharding, syncmers, token_blocks
 from tapcast.llm.common import shared_path, table, tokenizer_path
+from tapcast.session import materialize
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +20,36 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_blocks)}
+#: Shards of the sharding query.
+SHARDS = 8
+
+
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = materialize(sharding.records(table(spark, sf_dir, "documents")))
+    sizes = materialize(sharding.slot_sizes(recs))
+    maps = shared_path(spark, "slot-maps")
+    sharding.save_map(sharding.first_map(sizes, SHARDS), maps)
+    return sharding.placed(recs, sizes, sharding.load_map(spark, maps)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+
+
+def op7_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archive")
+    archive.write_archive(table(spark, sf_dir, "pages"), path)
+    return archive.read_records(spark, path)
+
+
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) leak."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_token_blocks, op6_virtual_slots, op7_content_archive, op8_syncmers,
+    op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

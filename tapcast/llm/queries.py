@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapcast.llm import archive, decontamination, packing, sharding, syncmers, token_blocks
+from tapcast.llm import archive, decontamination, packing, repeats, sharding, syncmers, token_blocks
 from tapcast.llm.common import shared_path, table, tokenizer_path
 from tapcast.session import materialize
 
@@ -49,7 +49,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("h")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_token_blocks, op6_virtual_slots, op7_content_archive, op8_syncmers,
-    op9_decontamination)}
+    op9_decontamination, op10_prefix_doubling)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapcast.llm import archive, decontamination, packing, repeats, sharding, syncmers, token_blocks
+from tapcast.llm import (archive, decontamination, near_duplicates, packing, repeats, sharding,
+                         syncmers, token_blocks)
 from tapcast.llm.common import shared_path, table, tokenizer_path
 from tapcast.session import materialize
 
@@ -20,6 +21,10 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_digests(spark, path)
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents")).drop("xh")
+
+
 #: Shards of the sharding query.
 SHARDS = 8
 
@@ -54,6 +59,6 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_token_blocks, op6_virtual_slots, op7_content_archive, op8_syncmers,
+    op1_packing, op2_token_blocks, op4_bagminhash, op6_virtual_slots, op7_content_archive, op8_syncmers,
     op9_decontamination, op10_prefix_doubling)}
 ORACLE_SQL: dict[str, str] = {}

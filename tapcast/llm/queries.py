@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapcast.llm import (archive, decontamination, near_duplicates, packing, repeats, sharding,
-                         syncmers, token_blocks)
+                         syncmers, token_blocks, toxicity)
 from tapcast.llm.common import shared_path, table, tokenizer_path
 from tapcast.session import materialize
 
@@ -21,6 +21,14 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_digests(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents")).drop("xh")
 
@@ -59,6 +67,6 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_token_blocks, op4_bagminhash, op6_virtual_slots, op7_content_archive, op8_syncmers,
-    op9_decontamination, op10_prefix_doubling)}
+    op1_packing, op2_token_blocks, op3_toxicity, op4_bagminhash, op6_virtual_slots,
+    op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling)}
 ORACLE_SQL: dict[str, str] = {}

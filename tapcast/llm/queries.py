@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapcast.llm import (archive, decontamination, near_duplicates, packing, repeats, sharding,
-                         syncmers, token_blocks, toxicity)
+from tapcast.llm import (archive, decontamination, near_duplicates, packing, recurrent_lm, repeats,
+                         sharding, syncmers, token_blocks, toxicity)
 from tapcast.llm.common import shared_path, table, tokenizer_path
 from tapcast.session import materialize
 
@@ -33,6 +33,11 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents")).drop("xh")
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.held_out(F.col("doc_id"), 5)
+    return recurrent_lm.scores(table(spark, sf_dir, "documents"), held_out)
+
+
 #: Shards of the sharding query.
 SHARDS = 8
 
@@ -67,6 +72,6 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_token_blocks, op3_toxicity, op4_bagminhash, op6_virtual_slots,
-    op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling)}
+    op1_packing, op2_token_blocks, op3_toxicity, op4_bagminhash, op5_recurrent_lm,
+    op6_virtual_slots, op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling)}
 ORACLE_SQL: dict[str, str] = {}

@@ -140,3 +140,22 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
         out = out.unionByName(texts.mapInArrow(search, ddl))
     return out
+
+
+def kept(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
+         item_text: str = "text", size: int = SHINGLE, threshold: float = SIMILAR,
+         block: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are: one
+    pass per block of items, no exchange."""
+    schema = docs.schema
+    for ids, bodies in item_blocks(items, item_id, item_text, block):
+        sent = docs.sparkSession.sparkContext.broadcast((ids, bodies))
+
+        def clean(batches, sent=sent):
+            index = ItemIndex(*sent.value, size, threshold)
+            for batch in batches:
+                texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array([not index.matches(word_hashes(t or b"")) for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, schema)
+    return docs

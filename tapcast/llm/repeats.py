@@ -38,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tapcast.llm.common import doc_columns, mix
+from tapcast.llm.common import doc_columns, mix, ship_package, utf8
 from tapcast.session import materialize
 
 #: Bytes of the string a sampled rank names: a power of two.
@@ -320,22 +321,31 @@ def merged(a: np.ndarray, b: np.ndarray, n: int, length: int) -> list[tuple[int,
 def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
             with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
-    ``with_text`` the kept bytes; ``h`` tells texts of one id apart (0 where
-    ids are unique)."""
+    ``with_text`` the kept bytes and ``rest``, a struct of the other columns of
+    ``docs``; ``h`` tells texts of one id apart (0 where ids are unique)."""
     if length < 2 * SEED:
         raise ValueError(f"strings must have {2 * SEED} bytes at least")
     texts = doc_columns(docs, id_col, text_col)
+    carried = docs
+    if with_text:  # in both uses of the exchange below, so that it is made once
+        ship_package(docs.sparkSession)
+        others = [c for c in docs.columns if c != text_col]
+        carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"),
+                              F.struct(*others).alias("rest"))
     twice = texts.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    texts = texts.withColumn("h", F.xxhash64("text") if twice else F.lit(0).cast("long"))
+    h = F.xxhash64("text") if twice else F.lit(0).cast("long")
+    texts = texts.withColumn("h", h)
+    carried = carried.withColumn("h", h) if with_text else texts
     marks = materialize(_marks(_sample_rows(texts, length)))
     crowded = marks.where(F.col("members") > GROUP).limit(1).count()
 
-    spread = texts.repartition("doc_id", "h")
+    spread = carried.repartition("doc_id", "h")
+    own = [spread[c] for c in spread.columns]
 
     def with_lists(lists: DataFrame, how: str) -> DataFrame:
         same = spread.doc_id.eqNullSafe(lists.doc) & (spread.h == lists.h)
         rest = [c for c in lists.columns if c not in ("doc", "h")]
-        return spread.join(lists.hint("shuffle_hash"), same, how).select(spread.doc_id, spread.h, "text", *rest)
+        return spread.join(lists.hint("shuffle_hash"), same, how).select(*own, *rest)
 
     def around(edges: DataFrame) -> DataFrame:
         listed = edges.groupBy("doc", "h").agg(F.collect_list(F.struct("g", "at")).alias("edges"))
@@ -350,12 +360,17 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
               ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("h", pa.int64())]
     schema = pa.schema(fields + [("kept", pa.binary())] * with_text)
+    given = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+                               "h long" + ", kept binary" * with_text)
+    if with_text:
+        given.add(spread.schema["rest"])
 
     def cut(batches):
         for batch in batches:
             out = []
+            columns = [batch.column(c) for c in ("doc_id", "h", "text", "a", "b")]
             for row in range(batch.num_rows):
-                doc, key, text, a, b = (c[row] for c in batch.columns)
+                doc, key, text, a, b = (c[row] for c in columns)
                 data = text.as_py()
                 runs = [] if not a.is_valid else merged(a.values.to_numpy(), b.values.to_numpy(), len(data), length)
                 edges = [0, *[x for r in runs for x in r], len(data)]
@@ -363,8 +378,26 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
                 out.append((doc.as_py(), len(data), len(data) - len(kept), len(runs),
                             hashlib.sha256(kept).hexdigest(), key.as_py()) + ((kept,) if with_text else ()))
             cols = list(zip(*out)) or [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            cols = [pa.array(c, f.type) for c, f in zip(cols, schema)]
+            yield pa.RecordBatch.from_arrays(cols + [batch.column("rest")] * with_text,
+                                             names=schema.names + ["rest"] * with_text)
 
-    return with_lists(lists, "left").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, h long"
-             + ", kept binary" * with_text)
+    return with_lists(lists, "left").mapInArrow(cut, given)
+
+
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``docs`` with its columns, the text being what is kept of it: whole
+    characters only. Other columns stay as they are; a null text becomes an empty one."""
+    done = repeats(docs, length, id_col, text_col, with_text=True)
+    schema = done.schema
+
+    def decoded(batches):
+        for batch in batches:
+            text = [b.decode("utf-8", "ignore").encode() for b in batch.column("kept").to_pylist()]
+            at = batch.schema.get_field_index("kept")
+            yield batch.set_column(at, "kept", pa.array(text, pa.binary()))
+
+    done = done.mapInArrow(decoded, schema)
+    return done.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col("rest")[c].alias(c)
+                         for c in docs.columns])

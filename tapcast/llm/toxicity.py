@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import doc_columns, mix
+from tapcast.llm.common import doc_columns, mix, ship_package
 
 #: Most training documents of either class.
 SAMPLE = 1000
@@ -413,3 +413,22 @@ def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
                 a = b
 
     return doc_columns(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
+
+
+def kept(docs: DataFrame, model: ToxicityModel, text_col: str = "text", chunk: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` that score under ``CUT``, all columns as they are:
+    one pass, no exchange."""
+    ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def under(batches):
+        for batch in batches:
+            texts = [b"" if t is None else t for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            size = np.cumsum([len(t) for t in texts])
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + chunk)))
+                yield batch.slice(a, b - a).filter(pa.array(sent.value.score_batch(texts[a:b]) < CUT))
+                a = b
+
+    return docs.mapInArrow(under, docs.schema)

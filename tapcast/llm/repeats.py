@@ -21,8 +21,9 @@ sorts (rank, next rank, position), the next rank naming all bytes that any
 
 Ranks found twice in one input batch are settled there, so a string that fills
 a third of the corpus sends one row per batch to its rank's group. A rank with
-very many edges (a common string in ever new surroundings) is not compared in
-one task but by grouping the names of its strings.
+very many edges (a common string in ever new surroundings) is doubled once
+more, before and behind its samples, which drops most as unique; what is still
+crowded is not compared in one task but by grouping the names of its strings.
 
 Cases: a null text is empty; texts shorter than ``length`` keep all bytes; a
 null id sorts first; rows of equal id go by a hash of their text; rows with
@@ -280,6 +281,33 @@ def _group_slices(g: np.ndarray):
         a = b
 
 
+def _sides(around: DataFrame, length: int) -> DataFrame:
+    """The next doubling step for crowded ranks. A string around a sample holds
+    half of its other bytes before the sample or half behind it, so it is
+    sought among samples that share these bytes too: each sample gives a row
+    for either side, with the side's rank and only the strings that hold it."""
+    half = (length - SEED) // 2
+
+    def split(batches):
+        for batch in batches:
+            out = []
+            rows = (batch.column(c).to_pylist() for c in ("doc", "h", "at", "lo", "around"))
+            for doc, key, at, lo, text in zip(*rows):
+                if at - lo >= half:
+                    name = int.from_bytes(hashlib.blake2b(b"<" + text[at - lo - half:at - lo + SEED], digest_size=8).digest(), "little", signed=True)
+                    out.append((name, doc, key, at, lo, text[:at - half + length - lo]))
+                if len(text) - (at - lo) >= SEED + half:
+                    name = int.from_bytes(hashlib.blake2b(b">" + text[at - lo:at - lo + SEED + half], digest_size=8).digest(), "little", signed=True)
+                    first = max(lo, at - half + 1)
+                    out.append((name, doc, key, at, first, text[first - lo:]))
+            cols = list(zip(*out)) or [[]] * len(AROUND)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, AROUND)], schema=AROUND)
+
+    rows = materialize(around.mapInArrow(split, AROUND_DDL))
+    shared = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return materialize(rows.join(shared, "g"))
+
+
 def _named_repeats(around: DataFrame, length: int) -> DataFrame:
     """As ``_edge_repeats`` for ranks with any number of edges: the strings'
     names are grouped, with partial minima where they are made."""
@@ -354,7 +382,11 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     found = marks.where("g is null").select("doc", "h", (F.col("at") - (length - SEED)).alias("a"), F.col("at").alias("b"))
     found = found.unionByName(_edge_repeats(around(marks.where(F.col("members") <= GROUP)), length))
     if crowded:
-        found = found.unionByName(_named_repeats(around(marks.where(F.col("members") > GROUP)), length))
+        sides = _sides(around(marks.where(F.col("members") > GROUP)), length)
+        found = found.unionByName(_edge_repeats(sides.where(F.col("members") <= GROUP).drop("members"), length))
+        sides = sides.where(F.col("members") > GROUP).drop("members")
+        if sides.limit(1).count():
+            found = found.unionByName(_named_repeats(sides, length))
     lists = found.groupBy("doc", "h").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
@@ -379,7 +411,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
                             hashlib.sha256(kept).hexdigest(), key.as_py()) + ((kept,) if with_text else ()))
             cols = list(zip(*out)) or [[]] * len(schema)
             cols = [pa.array(c, f.type) for c, f in zip(cols, schema)]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column("rest")] * with_text,
+            yield pa.RecordBatch.from_arrays(cols + ([batch.column("rest")] if with_text else []),
                                              names=schema.names + ["rest"] * with_text)
 
     return with_lists(lists, "left").mapInArrow(cut, given)

@@ -39,7 +39,8 @@ from tapcast.llm.common import doc_columns, mix, ship_package
 SAMPLE = 1000
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 8, 6
-EPOCHS = 6
+#: Times windows are chosen anew; gradient steps at least, over all of them.
+EPOCHS, LEAST_STEPS = 6, 600
 CUT = 0.7
 _WORD_TABLE, _GRAM_TABLE, _EMBED_TABLE = 1 << 20, 1 << 19, 1 << 13
 _CLIP = 4.0
@@ -268,11 +269,13 @@ class ToxicityModel:
                 picks += [(i, int(starts[k]), y) for k in take]
             ys = np.array([p[2] for p in picks])
             share = np.where(ys == 1, 0.5 / max(1, ys.sum()), 0.5 / max(1, (1 - ys).sum())) * len(ys)
-            order = rng.permutation(len(picks))
-            for a in range(0, len(order), 128):
-                part = order[a:a + 128]
-                step += 1
-                self._learn([picks[k] for k in part], share[part].astype(np.float32), docs, state, step)
+            passes = -(-LEAST_STEPS // (epochs * -(-len(picks) // 128)))
+            for _ in range(passes):
+                order = rng.permutation(len(picks))
+                for a in range(0, len(order), 128):
+                    part = order[a:a + 128]
+                    step += 1
+                    self._learn([picks[k] for k in part], share[part].astype(np.float32), docs, state, step)
         scores = np.array([self._doc_logits(*d).max() for d in docs])
         self.cut = best_cut(scores, np.array([d[2] for d in docs]))
         return self
@@ -319,7 +322,7 @@ class ToxicityModel:
             m, s = state[k]
             m += 0.1 * (g[k] - m)
             s += 0.01 * (g[k] ** 2 - s)
-            v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+            v -= rate * (0.05 if k in ("ew", "ec") else 1.0) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
 
     # -- scoring --------------------------------------------------------
     def score_batch(self, texts: list[bytes]) -> np.ndarray:

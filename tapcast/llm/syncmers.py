@@ -94,12 +94,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first half and anchors go to the one before it."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("n", F.char_length("text"))
-    keys = docs.groupBy("doc_id", "h").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    keys = docs.groupBy("doc_id", "h").agg(F.first(F.char_length("text")).alias("n"), F.count(F.lit(1)).alias("copies"))
     chain = materialize(neighbours(keys, ["doc_id", "h"]))
     repeated = chain.where("copies > 1").limit(1).count() > 0
     same = docs.doc_id.eqNullSafe(chain.doc_id) & (docs.h == chain.h)
-    linked = docs.join(chain, same).select(docs.doc_id, docs.h, docs.n, docs.text, chain.before)
+    # Both uses of ``linked`` take the same columns of docs: one exchange.
+    linked = docs.join(chain, same).select(docs.doc_id, docs.h, docs.text, chain.n, chain.before)
 
     donors = linked.select(F.col("before.doc_id").alias("to_id"), F.col("before.h").alias("to_h"),
                            F.expr("left(text, before.n div 2)").alias("lent"), "text")

@@ -48,8 +48,9 @@ M = BANDS * ROWS
 #: Agreeing components under which a pair is not worth an exact look: over five
 #: standard deviations below what similarity 0.8 gives.
 AGREE = 56
-#: Members of an unsettled bucket above which a second band splits it.
-SPLIT = 64
+#: Members, and bytes of their texts, that a task compares at once; a larger
+#: bucket is dealt to blocks of half as much, and blocks are compared in twos.
+GROUP, GROUP_BYTES = 1024, 16 << 20
 _G = np.uint64(0x9E3779B97F4A7C15)
 _ODD = [np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5)]
 
@@ -204,11 +205,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     return both.select("a", "b", "ta", "tb").mapInArrow(exact, "a binary, b binary")
 
 
+def overlaps(prints: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Multiset overlaps of all pairs: equal shingles are told apart by their
+    count within a document, then shared ones are counted by matrix products
+    of a bounded number of columns."""
+    items, owner = [], []
+    for k, p in enumerate(prints):
+        p = np.sort(p)
+        new = np.r_[True, p[1:] != p[:-1]] if len(p) else np.zeros(0, bool)
+        at = np.arange(len(p))
+        with np.errstate(over="ignore"):
+            items.append(mix(p + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * _G))
+        owner.append(np.full(len(p), k))
+    _, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = np.concatenate(owner)[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    column = np.cumsum(np.r_[0, column[1:] != column[:-1]]) if len(column) else column
+    total = np.zeros((len(prints), len(prints)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        part = slice(*np.searchsorted(column, [a, a + columns]))
+        hold = np.zeros((len(prints), columns), np.float32)
+        hold[owner[part], column[part] - a] = 1
+        total += hold @ hold.T
+    return total
+
+
+def merges(roots: list[bytes], texts: list[bytes], size: int, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of members whose classes a chain of verified links joins: each
+    joined class's first member with the least of what it is joined to."""
+    prints = [shingle_hashes(word_hashes(t), size) for t in texts]
+    n = np.array([len(p) for p in prints])
+    both = overlaps(prints)
+    linked = both >= threshold * (n[:, None] + n - both) - 1e-6
+    _, start = np.unique(np.array(roots), return_inverse=True)
+    label = start.copy()
+    while True:
+        low = np.where(linked, label, len(label)).min(axis=1, initial=len(label))
+        low = np.minimum(low, label)
+        by_root = np.full(start.max() + 1, len(label))
+        np.minimum.at(by_root, start, low)  # members of one class go together
+        if (by_root[start] == label).all():
+            break
+        label = by_root[start]
+    first = np.unique(start, return_index=True)[1]
+    return [(int(first[label[k]]), int(k)) for k in first if label[k] != start[k]]
+
+
+def _bucket_links(rest: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Class-merging links (a, b) of unsettled buckets (bucket, node, root)."""
+    sized = rest.join(texts.select("node", "size"), "node")
+    held = sized.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    half = F.greatest(F.ceil(F.col("n") * 2 / GROUP), F.ceil(F.col("bytes") * 2 / GROUP_BYTES))
+    blocks = F.when((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES), half).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (rest.join(held.select("bucket", blocks.alias("blocks")), "bucket")
+             .withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
+                     "node", "root"))
+
+    def settle(t: pa.Table):
+        nodes = t.column("node").to_pylist()
+        found = merges(t.column("root").to_pylist(), t.column("text").to_pylist(), size, threshold)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.binary()),
+                                           pa.array([nodes[y] for _, y in found], pa.binary())], names=["a", "b"])
+
+    def compared(batches):
+        rows = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rows is None else pa.concat_tables([rows, pa.Table.from_batches([batch])])
+            key = rows.column("key").to_numpy()
+            ends = np.r_[np.nonzero(key[1:] != key[:-1])[0] + 1]
+            for a, b in zip(np.r_[0, ends[:-1]].astype(int), ends) if len(ends) else ():
+                yield settle(rows.slice(a, b - a))
+            rows = rows.slice(int(ends[-1])) if len(ends) else rows
+        if rows is not None and rows.num_rows:
+            yield settle(rows)
+
+    return (dealt.join(texts.select("node", "text"), "node").select("key", "node", "root", "text")
+            .repartition("key").sortWithinPartitions("key", "node")
+            .mapInArrow(compared, "a binary, b binary"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             size: int = SHINGLE, threshold: float = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: doc_id, xh (a hash of its text), class_id
-    (the smallest doc_id of its class), class_size (rows), n_links (verified
-    links of its node) and is_first (the class's first row by id, then xh)."""
+    (the smallest doc_id of its class), class_size (rows) and is_first (the
+    class's first row by id, then xh)."""
     rows = materialize(signed(docs, id_col, text_col, size))
     nodes = materialize(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"),
                                                  F.min(F.struct("doc_id", "xh")).alias("row")))
@@ -222,7 +307,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.xh")
     texts = doc_columns(docs, id_col, text_col).withColumn("xh", F.xxhash64("text"))
     same = texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.xh == wanted.xh)
-    texts = materialize(texts.join(wanted, same).groupBy("node").agg(F.first("text").alias("text")))
+    texts = materialize(texts.join(wanted, same).groupBy("node").agg(F.first("text").alias("text"))
+                        .withColumn("size", F.octet_length("text")))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -249,30 +335,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = materialize(links.unionByName(links_of(pairs)).distinct())
     roots = materialize(components(links))
 
-    rest = materialize(unsettled(left.drop("root", "members").join(
-        second.select("bucket", F.col("p.node").alias("pivot2")), "bucket", "left")
-        .where("node != pivot and not (node <=> pivot2)").select("bucket", "node")))
-    keys = nodes.select("node", "bands")
-    small = rest.where(F.col("members") <= SPLIT).select("bucket", "node", "root")
-    large = (rest.where(F.col("members") > SPLIT).join(keys, "node")
-             .select("bucket", "node", "root", F.explode("bands").alias("other")).where("other != bucket")
-             .select(F.xxhash64("bucket", "other").alias("bucket"), "node", "root"))
-    every = small.unionByName(large)
-    pairs = (every.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-             .join(every.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket")
-             .where("a < b and ra != rb").select("a", "b"))
-    links = materialize(links.unionByName(links_of(pairs)).distinct())
+    rest = materialize(unsettled(left.drop("root", "members")).select("bucket", "node", "root"))
+    links = materialize(links.unionByName(_bucket_links(rest, texts, size, threshold)).distinct())
     roots = materialize(components(links))
 
-    degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-              .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
-    known = (rows.select("doc_id", "xh", "node").join(roots.join(degree, "node"), "node", "left")
-             .select("doc_id", "xh", F.coalesce("root", "node").alias("root"),
-                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    known = (rows.select("doc_id", "xh", "node").join(roots, "node", "left")
+             .select("doc_id", "xh", F.coalesce("root", "node").alias("root")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xh")
     heads = known.groupBy("root").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("class_size"))
     return known.join(heads, "root").select(
-        "doc_id", "xh", F.col("head.doc_id").alias("class_id"), "class_size", "n_links",
+        "doc_id", "xh", F.col("head.doc_id").alias("class_id"), "class_size",
         F.col("head").eqNullSafe(place).alias("is_first"))
 
 

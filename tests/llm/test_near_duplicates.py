@@ -93,10 +93,10 @@ def near_copies(n, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("split", [64, 2])
-def test_large_group_of_near_copies(spark, monkeypatch, split):
-    monkeypatch.setattr(N, "SPLIT", split)
-    rows = near_copies(60, split)
+@pytest.mark.parametrize("group", [1024, 6])
+def test_large_group_of_near_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(N, "GROUP", group)
+    rows = near_copies(60, group)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((r.doc_id, r.class_id) for r in N.classes(df).collect()) == brute(rows)
 
@@ -115,6 +115,23 @@ def test_awkward_rows_and_kept_rows(spark):
     assert N.classes(empty(spark)).count() == 0
 
 
+def test_overlaps_and_merges_of_a_group():
+    rows = near_copies(40, 3)
+    rows += [(100, "a a a a a a a a b"), (101, "a a a a a a a a a b"), (102, "x")]
+    prints = [shingle_hashes(word_hashes(t.encode())) for _, t in rows]
+    both = N.overlaps(prints, columns=7)
+    for i in range(len(rows)):
+        for j in range(i):
+            s = multiset_similarity(prints[i], prints[j])
+            assert abs(both[i, j] / (len(prints[i]) + len(prints[j]) - both[i, j]) - s) < 1e-6
+    expected = dict(brute(rows))
+    got = {k: k for k in range(len(rows))}
+    for a, b in N.merges([str(i).zfill(4).encode() for i, _ in rows], [t.encode() for _, t in rows], 5, 0.8):
+        got[b] = a
+    ids = [i for i, _ in rows]
+    assert {i: ids[got[k]] for k, i in enumerate(ids)} == expected
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 107), (107, 103), (5, 5), (200, 200)]
     df = spark.createDataFrame(links, "a long, b long")

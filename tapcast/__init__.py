@@ -1,8 +1,9 @@
 """tapcast: slot-level demand forecasting from gate-tap records, on Spark.
 
-Every operator takes and returns a DataFrame (or is a Spark ML
-Estimator/Model) and stays lazy until the caller acts on it. The names
-below are the public API; modules hold the details.
+Operators take and return DataFrames (or are Spark ML Estimators/Models) and
+stay lazy, except where a name says that it stages a table (``stage_*``,
+``materialize``) or fits a model. The names below are the public API; modules
+hold the details.
 """
 
 __version__ = "0.1.0"
@@ -15,7 +16,7 @@ from tapcast.models.stacking import StackedBoosters  # noqa: E402
 from tapcast.operators.base import slot_table  # noqa: E402
 from tapcast.operators.encoding import (BetaTargetEncoder, BetaTargetEncoderModel,  # noqa: E402
                                         encode_frame)
-from tapcast.operators.frame import (score_frame, stage_features, supervised_frames,  # noqa: E402
+from tapcast.operators.frame import (score_frame, stage_features,  # noqa: E402
                                      train_frame)
 from tapcast.operators.metrics import competition_score, mae  # noqa: E402
 from tapcast.operators.neighbors import (add_neighbor_slots,  # noqa: E402
@@ -36,7 +37,7 @@ __all__ = [
     "Calendar", "is_holiday", "iso_weekday", "clock_to_slot", "slot_of",
     "BoosterSpec", "L1_DEPTH5", "L1_DEPTH6", "L2_DEPTH9", "blend", "forecast", "prepare",
     "StackedBoosters", "slot_table", "BetaTargetEncoder", "BetaTargetEncoderModel",
-    "encode_frame", "score_frame", "stage_features", "supervised_frames", "train_frame",
+    "encode_frame", "score_frame", "stage_features", "train_frame",
     "competition_score", "mae", "add_neighbor_slots", "neighbor_station_flow_by_edges",
     "neighbor_station_flow_by_group", "add_peak_type", "add_week_flow", "fold", "fold_sizes",
     "same_weekday_origins", "FeatureConfig", "slot_features", "read_template_csv", "slot_grid",

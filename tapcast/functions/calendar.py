@@ -72,10 +72,6 @@ def is_holiday(d, calendar: Calendar = DEFAULT_CALENDAR) -> Column:
              .otherwise(0)).cast("int")
 
 
-def next_day(d, days: int = 1) -> Column:
-    return F.date_add(_col(d), days)
-
-
 def rotate_weekday(w, days: int = 1) -> Column:
     """ISO weekday moved forward ``days`` (7 -> 1 for one day)."""
     return (((_col(w) - 1 + days) % 7) + 1).cast("int")

@@ -2,10 +2,13 @@
 
 Three tree presets stand in for the three booster libraries: absolute loss
 at depth 6 and depth 5, squared loss at depth 9. Per rolling origin a
-model is fitted on the rows before the origin, the round count with the
-lowest MAE on the origin day is kept (``evaluateEachIteration``), and the
-model is refitted on every training row with that many rounds. Fold
-predictions are averaged; two presets can be blended.
+model is fitted on the rows before the origin and the round count with the
+lowest MAE on the origin day is kept (``evaluateEachIteration``); while the
+best round is the last one, the fit is repeated with twice the rounds, up to
+``max_rounds``. Each preset is then refitted once on every training row, with
+the most rounds that any origin chose; an origin's model is a prefix of its
+trees, for the first trees of a longer fit are those of a shorter one (same
+rows, same seed). Fold predictions are averaged; two presets can be blended.
 """
 
 from __future__ import annotations
@@ -13,8 +16,9 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,7 @@ class BoosterSpec:
     subsampling: float = 0.9
     feature_subset: str = "0.9"
     max_iter: int = 20
+    max_rounds: int = 10_000
     max_bins: int = 32
     min_instances: int = 1
     seed: int = 0
@@ -46,13 +51,13 @@ class BoosterSpec:
                             minInstancesPerNode=self.min_instances, seed=self.seed)
 
 
+# Fixed values of the presets.
 # L1 loss, depth 6, row and feature sampling 0.9 (M1, M2).
 L1_DEPTH6 = BoosterSpec("l1_d6", "absolute", 6, 0.1, 0.9, "0.9")
 # L1 loss, depth 5, step 0.08, no sampling (M3, M4).
 L1_DEPTH5 = BoosterSpec("l1_d5", "absolute", 5, 0.08, 1.0, "all")
 # Squared loss, depth 9, step 0.0894, sampling 0.8 (M5).
 L2_DEPTH9 = BoosterSpec("l2_d9", "squared", 9, 0.0894, 0.8, "0.8")
-PRESETS = {s.name: s for s in (L1_DEPTH6, L1_DEPTH5, L2_DEPTH9)}
 
 
 def feature_columns(df: DataFrame) -> list:
@@ -67,34 +72,55 @@ def assemble(df: DataFrame, features: list) -> DataFrame:
                            handleInvalid="keep").transform(df.na.fill(0, subset=features))
 
 
-def fit_best_rounds(spec: BoosterSpec, train: DataFrame, valid: DataFrame, label: str):
-    """Fit up to ``max_iter`` rounds on train; return (rounds with the lowest
-    valid MAE, that MAE)."""
-    model = spec.estimator(label).fit(train)
-    if valid.isEmpty():
-        # No rows on the origin day: nothing to select on, keep every round.
-        return spec.max_iter, float("nan")
-    errs = model.evaluateEachIteration(valid, "absolute")
-    best = min(range(len(errs)), key=lambda i: errs[i])
-    return best + 1, float(errs[best])
+def prefix(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first ``rounds`` trees."""
+    if rounds >= model.getNumTrees:
+        return model
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway  # noqa: SLF001
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:rounds], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{model.uid}_{rounds}", trees, weights)
+    for c in ("featuresCol", "predictionCol"):
+        cut.set(c, model.getOrDefault(c))
+    return GBTRegressionModel(cut)
 
 
-def _fit_fold(spec: BoosterSpec, rows: DataFrame, origin, label: str, refit: bool):
-    tr, va = fold(rows, origin)
-    rounds, err = fit_best_rounds(spec, tr, va, label)
-    final = spec.estimator(label, rounds).fit(rows if refit else tr)
-    return final, rounds, err
+def fit_best_rounds(spec: BoosterSpec, train: DataFrame, valid: DataFrame, label: str):
+    """(rounds with the lowest valid MAE, that MAE, the model of so many
+    rounds on train). Without rows on the origin day there is nothing to
+    choose by: an error."""
+    if valid.isEmpty():
+        raise ValueError("no rows on the origin day to choose the rounds by")
+    cap = min(spec.max_iter, spec.max_rounds)
+    while True:
+        model = spec.estimator(label, cap).fit(train)
+        errs = model.evaluateEachIteration(valid, "absolute")
+        best = min(range(len(errs)), key=lambda i: errs[i])
+        if best + 1 < cap or cap >= spec.max_rounds:
+            return best + 1, float(errs[best]), prefix(model, best + 1)
+        cap = min(2 * cap, spec.max_rounds)
 
 
 def fit_fold_models(jobs, rows: DataFrame, refit: bool = True, workers: int = 4) -> dict:
     """Fit every (spec, label, origin) job; independent jobs are submitted
     from driver threads so their Spark jobs overlap on the cluster.
-    Returns {(spec name, label, origin): (model, rounds, valid MAE)}."""
+    Returns {(spec name, label, origin): (model, rounds, valid MAE)}; rounds
+    equal to the spec's ``max_rounds`` mean that the limit was reached."""
     jobs = list(jobs)
     with ThreadPoolExecutor(max_workers=max(1, min(workers, len(jobs)))) as ex:
-        futs = {(s.name, lab, o): ex.submit(_fit_fold, s, rows, o, lab, refit)
-                for s, lab, o in jobs}
-        return {k: f.result() for k, f in futs.items()}
+        futs = {(s, lab, o): ex.submit(fit_best_rounds, s, *fold(rows, o), lab) for s, lab, o in jobs}
+        chosen = {k: f.result() for k, f in futs.items()}
+        if not refit:
+            return {(s.name, lab, o): (m, n, err) for (s, lab, o), (n, err, m) in chosen.items()}
+        most: dict = {}
+        for (s, lab, _), (n, _, _) in chosen.items():
+            most[s, lab] = max(n, most.get((s, lab), 0))
+        futs = {(s, lab): ex.submit(s.estimator(lab, n).fit, rows) for (s, lab), n in most.items()}
+        full = {k: f.result() for k, f in futs.items()}
+    return {(s.name, lab, o): (prefix(full[s, lab], n), n, err)
+            for (s, lab, o), (n, err, _) in chosen.items()}
 
 
 def apply_fold_average(score: DataFrame, models: dict, spec_name: str, label: str, origins,
@@ -159,4 +185,5 @@ def blend(rows: DataFrame, score: DataFrame, origins, specs=(L1_DEPTH5, L1_DEPTH
 
 
 def with_rounds(spec: BoosterSpec, max_iter: int) -> BoosterSpec:
-    return replace(spec, max_iter=max_iter)
+    """The preset with at most ``max_iter`` rounds."""
+    return replace(spec, max_iter=max_iter, max_rounds=max_iter)

@@ -41,10 +41,9 @@ class StackedBoosters(Estimator):
             tr, va = fold(rows, o)
             if not self.select_rounds:
                 return b.estimator(self.label).fit(tr)
-            # Early stopping on the origin day: keep the best round count,
-            # then fit that many rounds on the rows before the origin.
-            rounds, _ = fit_best_rounds(b, tr, va, self.label)
-            return b.estimator(self.label, rounds).fit(tr)
+            # Early stopping on the origin day: the best rounds of the fit on
+            # the rows before it.
+            return fit_best_rounds(b, tr, va, self.label)[2]
 
         with ThreadPoolExecutor(max_workers=min(self.workers, len(jobs))) as ex:
             futs = {(b.name, o): ex.submit(fit_base, b, o) for b, o in jobs}

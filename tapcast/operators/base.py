@@ -34,14 +34,31 @@ def with_calendar(df: DataFrame, calendar: Calendar = DEFAULT_CALENDAR,
     })
 
 
+def tap_cells(taps: DataFrame, slot_minutes: int = SLOT_MINUTES) -> DataFrame:
+    """Taps reduced to one row per (station, date, slot, device, line) with
+    tap and entry counts: the only aggregation that touches raw rows. Slots,
+    lines and observed dates can all be read from it, so a plan that stages it
+    (``materialize``) scans the taps once."""
+    return (taps.select("station_id",
+                        service_date("time").alias("service_date"),
+                        slot_of("time", slot_minutes).alias("slot"),
+                        "device_id", "line_id", "status")
+            .groupBy("station_id", "service_date", "slot", "device_id", "line_id")
+            .agg(F.count("status").alias("n_taps"),
+                 F.sum("status").alias("n_in")))
+
+
 def device_slot_cells(taps: DataFrame, slot_minutes: int = SLOT_MINUTES) -> DataFrame:
-    """Taps reduced to one row per (station, date, slot, device) with tap and
-    entry counts; the only aggregation that touches raw rows."""
+    """Taps, or their ``tap_cells``, reduced to one row per (station, date,
+    slot, device)."""
+    keys = ["station_id", "service_date", "slot", "device_id"]
+    if "n_taps" in taps.columns:
+        return taps.groupBy(*keys).agg(F.sum("n_taps").alias("n_taps"), F.sum("n_in").alias("n_in"))
     return (taps.select("station_id",
                         service_date("time").alias("service_date"),
                         slot_of("time", slot_minutes).alias("slot"),
                         "device_id", "status")
-            .groupBy("station_id", "service_date", "slot", "device_id")
+            .groupBy(*keys)
             .agg(F.count("status").alias("n_taps"),
                  F.sum("status").alias("n_in")))
 
@@ -53,9 +70,12 @@ def slot_table(taps: DataFrame, calendar: Calendar = DEFAULT_CALENDAR,
 
     Columns: station_id, service_date, slot, weekday, is_holiday, day, hour,
     minute, in_nums, out_nums and, with ``with_devices``, the distinct device
-    counts per station-day, station-hour and station-slot.
+    counts per station-day, station-hour and station-slot. ``taps`` may be
+    their ``tap_cells`` of the same slot width.
     """
-    if not with_devices:
+    if not with_devices and "n_taps" in taps.columns:
+        slots = taps.groupBy(*KEYS).agg(F.sum("n_taps").alias("n_taps"), F.sum("n_in").alias("n_in"))
+    elif not with_devices:
         # Counts only: one aggregation with map-side combine, no device grain.
         slots = (taps.select("station_id", service_date("time").alias("service_date"),
                              slot_of("time", slot_minutes).alias("slot"), "status")
@@ -77,11 +97,16 @@ def slot_table(taps: DataFrame, calendar: Calendar = DEFAULT_CALENDAR,
 
 def _slots_with_devices(taps: DataFrame, slot_minutes: int, partitions: int | None) -> DataFrame:
     """Slot totals plus distinct devices per station-day, -hour and -slot."""
-    cells = device_slot_cells(taps, slot_minutes)
-    if partitions:
-        cells = cells.repartition(partitions, "station_id", "service_date")
+    def by_day(df: DataFrame) -> DataFrame:
+        return (df.repartition(partitions, "station_id", "service_date") if partitions
+                else df.repartition("station_id", "service_date"))
+
+    # Cells are combined inside the per-day partitioning; raw taps first
+    # (map-side), so that a hot station ships its cells only.
+    if "n_taps" in taps.columns:
+        cells = device_slot_cells(by_day(taps), slot_minutes)
     else:
-        cells = cells.repartition("station_id", "service_date")
+        cells = by_day(device_slot_cells(taps, slot_minutes))
     cells = cells.withColumn("hour", slot_hour("slot", slot_minutes))
     # A device's first cell of the day / of an hour marks one distinct
     # device; summing the marks over windows replaces count(distinct),

@@ -1,30 +1,13 @@
 """Joins against small derived tables (one row per station, per date, per
-group) without moving the large side.
-
-The small side is checkpointed to the shared checkpoint folder and its
-rows are counted; it is broadcast only when the count is within
-``max_rows``, otherwise the join is left to a shuffle. The check is on the
-actual table, so a network that grows past the bound degrades to a
-shuffled join instead of an oversized broadcast.
+group). Nothing runs while the plan is built: adaptive execution sees the
+derived table's real size and broadcasts it under Spark's own byte limit, or
+else keeps a shuffled join, whose skewed partitions it splits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tapcast.session import materialize_counted
-
-DEFAULT_MAX_ROWS = 1_000_000
-
-
-def checked_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """The table, materialized, with a broadcast hint iff it has at most
-    ``max_rows`` rows."""
-    m, n = materialize_counted(df)
-    return F.broadcast(m) if n <= max_rows else m
 
 
-def dimension_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                   max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    return big.join(checked_small(small, max_rows), on, how)
+def dimension_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    return big.join(small, on, how)

@@ -59,9 +59,9 @@ def shift_to_target_day(df: DataFrame, calendar: Calendar = DEFAULT_CALENDAR) ->
 
 
 def observed_dates(taps: DataFrame) -> DataFrame:
-    """Distinct service dates of the taps: one column scanned (the partition
-    column when the taps are date-partitioned), aggregated map-side; at most
-    one row per day of history."""
+    """Distinct service dates of taps or ``tap_cells``: one column scanned (the
+    partition column when the taps are date-partitioned), aggregated map-side;
+    at most one row per day of history."""
     if "service_date" in taps.columns:
         return taps.select("service_date").distinct()
     return taps.select(F.to_date("time").alias("service_date")).distinct()
@@ -136,19 +136,6 @@ def stage_features(features: DataFrame) -> DataFrame:
     return materialize(with_next_day_target(features), sort_within=["service_date"])
 
 
-def supervised_frames(features: DataFrame, grid: DataFrame, target_date,
-                      calendar: Calendar = DEFAULT_CALENDAR, slot_minutes: int = SLOT_MINUTES,
-                      recompute_peak: bool = False, observed: DataFrame | None = None):
-    """(all rows, train rows): train and score frames stacked by name (U4),
-    from one staged copy of the features."""
-    staged = stage_features(features)
-    train = train_frame(staged, target_date, calendar, observed=observed)
-    score = score_frame(staged, grid, target_date, calendar, slot_minutes,
-                        recompute_peak=recompute_peak)
-    cols = train.columns
-    return train.unionByName(score.select(*cols)), train
-
-
 def exclude_dates(df: DataFrame, dates) -> DataFrame:
     """drop listed target dates (e.g. the day after New Year)."""
     ds = [_as_date(d) for d in dates]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapcast.operators.dimension import checked_small, dimension_join
+from tapcast.operators.dimension import dimension_join
 
 
 def add_neighbor_slots(slots: DataFrame, lags=(1, 2), leads=(1, 2),
@@ -67,18 +67,17 @@ def neighbor_station_flow_by_edges(df: DataFrame, edges: DataFrame, offsets=(0,)
     """Same features from an explicit road-map edge list ``(station_id,
     neighbor_id)``. A metro map has a small bounded degree, so the edge join
     multiplies the slot rows by at most that degree before the re-aggregation."""
-    e = checked_small(edges.select("station_id", "neighbor_id").dropDuplicates())
+    e = edges.select("station_id", "neighbor_id").dropDuplicates()
+    names = {k: "now" if k == 0 else (f"before{-k}" if k < 0 else f"after{k}") for k in offsets}
+    # A neighbour's slot s+k contributes to this station's slot s: its row is
+    # exploded over the offsets, joined once and summed once for all of them.
     flows = df.select(F.col("station_id").alias("neighbor_id"), "service_date",
-                      F.col("slot").alias("nslot"), F.col(in_col).alias("_in"),
-                      F.col(out_col).alias("_out"))
-    out = df
-    for k in offsets:
-        name = "now" if k == 0 else (f"before{-k}" if k < 0 else f"after{k}")
-        # A neighbour's slot s+k contributes to this station's slot s.
-        contrib = (flows.join(e, "neighbor_id")
-                   .groupBy("station_id", "service_date", (F.col("nslot") - k).alias("slot"))
-                   .agg(F.sum("_in").alias(f"nb_in_{name}"), F.sum("_out").alias(f"nb_out_{name}")))
-        out = (out.join(contrib, ["station_id", "service_date", "slot"], "left")
-               .withColumns({f"nb_in_{name}": F.coalesce(f"nb_in_{name}", F.lit(0)).cast("bigint"),
-                             f"nb_out_{name}": F.coalesce(f"nb_out_{name}", F.lit(0)).cast("bigint")}))
-    return out
+                      F.explode(F.array(*[F.lit(k) for k in offsets])).alias("_k"),
+                      F.col("slot").alias("_slot"), F.col(in_col).alias("_in"), F.col(out_col).alias("_out"))
+    contrib = (dimension_join(flows, e, "neighbor_id", "inner")
+               .groupBy("station_id", "service_date", (F.col("_slot") - F.col("_k")).alias("slot"))
+               .agg(*[F.sum(F.when(F.col("_k") == k, F.col(src))).alias(f"{pre}_{n}")
+                      for k, n in names.items() for src, pre in (("_in", "nb_in"), ("_out", "nb_out"))]))
+    cols = [f"{pre}_{n}" for n in names.values() for pre in ("nb_in", "nb_out")]
+    return (df.join(contrib, ["station_id", "service_date", "slot"], "left")
+            .withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in cols}))

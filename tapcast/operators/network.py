@@ -1,9 +1,7 @@
 """Station attributes from the network.
 
 Every output here is one row per station, so joining it onto the slot
-table cannot fan out. The tables are derived from data, so they are joined
-through ``dimension_join``: broadcast after a row-count check, shuffled
-beyond it.
+table cannot fan out. The joins are lazy (``dimension_join``).
 """
 
 from __future__ import annotations
@@ -15,21 +13,15 @@ from tapcast.functions.calendar import service_date
 from tapcast.operators.dimension import dimension_join
 
 
-def station_lines(taps: DataFrame, on_date=None, first_day_only: bool = True) -> DataFrame:
-    """Distinct (line_id, station_id) pairs.
-
-    By default only the first service date is read (the dimension is taken
-    from one day of taps); ``on_date`` picks another day, and
-    ``first_day_only=False`` uses every day."""
+def station_lines(taps: DataFrame, on_date=None) -> DataFrame:
+    """Distinct (line_id, station_id) pairs of all days, from taps or from
+    ``base.tap_cells``; ``on_date`` takes them from one day instead."""
     t = taps.where(F.col("line_id").isNotNull())
-    # Date-partitioned taps carry the partition column: filtering on it
-    # prunes to one directory.
-    day = F.col("service_date") if "service_date" in taps.columns else service_date("time")
     if on_date is not None:
+        # Date-partitioned taps carry the partition column: filtering on it
+        # prunes to one directory.
+        day = F.col("service_date") if "service_date" in taps.columns else service_date("time")
         t = t.where(day == F.lit(on_date))
-    elif first_day_only:
-        first = taps.select(F.min(day)).scalar()
-        t = t.where(day == first)
     return t.select("line_id", "station_id").distinct()
 
 

@@ -1,7 +1,8 @@
 """Peak class per slot.
 
-0 = closed, 1 = normal, 2 = peak, 3 = special peak. The periods are a fixed
-literal parameter, so the lookup is a CASE expression over slot ranges
+0 = closed, 1 = normal, 2 = peak, 3 = special peak. Slots may be wider than
+the periods' bounds (see ``slot_ranges``). The periods are a fixed literal
+parameter, so the lookup is a CASE expression over slot ranges
 (pure projection, no join); ``peak_table`` gives the same mapping as an
 inline DataFrame for callers that want to join it.
 """
@@ -32,13 +33,27 @@ DEFAULT_PEAK = 1
 
 
 def slot_ranges(periods=None, slot_minutes: int = SLOT_MINUTES):
-    """(is_holiday, first_slot, end_slot, class) with slot bounds."""
+    """(is_holiday, first_slot, end_slot, class) with slot bounds, default
+    class left out. A slot that several periods share has the class that
+    covers most of its minutes, of equal ones the higher; minutes outside all
+    periods count for the default class."""
     periods = PEAK_PERIODS if periods is None else periods
     out = []
     for hol, rows in periods.items():
+        minutes = [DEFAULT_PEAK] * 1440
         for start, end, cls in rows:
-            out.append((hol, clock_minutes(start) // slot_minutes,
-                        clock_minutes(end) // slot_minutes, cls))
+            for m in range(clock_minutes(start), clock_minutes(end)):
+                minutes[m] = cls
+        classes = []
+        for a in range(0, 1440, slot_minutes):
+            part = minutes[a:a + slot_minutes]
+            classes.append(max(set(part), key=lambda c: (part.count(c), c)))
+        lo = 0
+        for s in range(1, len(classes) + 1):
+            if s == len(classes) or classes[s] != classes[lo]:
+                if classes[lo] != DEFAULT_PEAK:
+                    out.append((hol, lo, s, classes[lo]))
+                lo = s
     return out
 
 
@@ -48,8 +63,6 @@ def peak_type_col(is_holiday="is_holiday", slot="slot", periods=None,
     s = F.col(slot) if isinstance(slot, str) else slot
     expr = None
     for h, lo, hi, cls in slot_ranges(periods, slot_minutes):
-        if hi <= lo:
-            continue
         cond = (hol == h) & (s >= lo) & (s < hi)
         expr = F.when(cond, cls) if expr is None else expr.when(cond, cls)
     if expr is None:
@@ -68,7 +81,7 @@ def peak_table(spark: SparkSession, periods=None, slot_minutes: int = SLOT_MINUT
                            T.StructField("lo", T.IntegerType()),
                            T.StructField("hi", T.IntegerType()),
                            T.StructField("peak_type", T.IntegerType())])
-    rows = [r for r in slot_ranges(periods, slot_minutes) if r[2] > r[1]]
+    rows = slot_ranges(periods, slot_minutes)
     n = slots_per_day(slot_minutes)
     return (spark.createDataFrame(rows, schema)
             .select("is_holiday", F.explode(F.sequence("lo", F.least(F.col("hi") - 1, F.lit(n - 1))))

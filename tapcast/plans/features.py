@@ -3,8 +3,9 @@
 Exchanges on the big side: (1) the device-slot aggregation with map-side
 combine, (2) (station, date) for the per-day features, (3) (station, hour)
 for the weekly profile and the next-day target. Station attributes are one
-row per station and join without moving the slot rows when AQE sees they
-are small.
+row per station and join without moving the slot rows when Spark sees they
+are small. Given staged ``tap_cells`` instead of taps, (1) has been done and
+everything, lines included, is read from them.
 """
 
 from __future__ import annotations
@@ -51,14 +52,17 @@ class FeatureConfig:
 
 
 def slot_features(taps: DataFrame, degrees: DataFrame, cfg: FeatureConfig = FeatureConfig(),
-                  lines: DataFrame | None = None) -> DataFrame:
-    """Taps -> one feature row per non-empty (station, date, slot)."""
+                  lines: DataFrame | None = None, with_attributes: bool = True) -> DataFrame:
+    """Taps, or their ``tap_cells``, -> one feature row per non-empty (station,
+    date, slot). ``with_attributes=False`` leaves the station attributes out."""
     base = slot_table(taps, cfg.calendar, cfg.slot_minutes, partitions=cfg.partitions)
     f = add_neighbor_slots(base, cfg.lags, cfg.leads)
     f = add_peak_type(f, cfg.peak_periods, cfg.slot_minutes)
     f = (f.repartition(cfg.partitions, "station_id", "hour") if cfg.partitions
          else f.repartition("station_id", "hour"))
     f = add_week_flow(f, before=cfg.week_flow_before)
+    if not with_attributes:
+        return f
     sizes = line_size(lines if lines is not None else station_lines(taps))
     attrs = station_attributes(sizes, degrees, cfg.special_ids)
     f = add_station_attributes(f, attrs, cfg.special_ids)

@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapcast.operators.base import tap_cells
 from tapcast.operators.encoding import encode_frame
 from tapcast.operators.frame import (exclude_dates, observed_dates, score_frame, stage_features,
                                      train_frame)
@@ -20,6 +21,7 @@ from tapcast.operators.network import degree_from_groups
 from tapcast.plans.features import FeatureConfig, frame_columns, slot_features
 from tapcast.sources.grid import slot_grid
 from tapcast.session import materialize
+from tapcast.sources.roadmap import roadmap_edges_from_wide
 from tapcast.sources.taps import taps_from_events
 
 # Fixed values of the fixture binding.
@@ -48,11 +50,33 @@ def taps(spark: SparkSession, sf_dir: str) -> DataFrame:
                             table(spark, sf_dir, "region"), N_STATIONS)
 
 
+def cells(spark: SparkSession, sf_dir: str, slot_minutes: int = 10) -> DataFrame:
+    """The taps' cells, staged: the only scan of ``events`` of a query that
+    takes slots, lines and dates from them."""
+    return materialize(tap_cells(taps(spark, sf_dir), slot_minutes))
+
+
 def station_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("station_id"), F.col("n_regionkey").alias("group_id"))
 
 
+def roadmap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide 0/1 road map, as a file would give it: one row and one column
+    per station, 1 between nations of one region."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    # A station's cell: is there a nation with that number in its region?
+    members = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("members"))
+    wide = n.join(members, "n_regionkey")
+    return wide.select(F.col("n_nationkey").alias("station"), *[
+        (F.array_contains("members", s) & (F.col("n_nationkey") != s)).cast("int").alias(str(s))
+        for s in range(N_STATIONS)])
+
+
+def roadmap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roadmap_edges_from_wide(roadmap_matrix(spark, sf_dir), "station")
+
+
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degree_from_groups(station_groups(spark, sf_dir))
 
@@ -62,26 +86,29 @@ def grid(spark: SparkSession, sf_dir: str, slot_minutes: int = 10) -> DataFrame:
     return slot_grid(stations, TARGET_DATE, slot_minutes)
 
 
-def features(spark: SparkSession, sf_dir: str, slot_minutes: int = 10) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, cells_=None,
+             with_attributes: bool = True) -> DataFrame:
     cfg = FeatureConfig(slot_minutes=slot_minutes, special_ids=SPECIAL_IDS)
-    return slot_features(taps(spark, sf_dir), degrees(spark, sf_dir), cfg)
+    if cells_ is None:
+        cells_ = cells(spark, sf_dir, slot_minutes) if with_attributes else taps(spark, sf_dir)
+    return slot_features(cells_, degrees(spark, sf_dir), cfg, with_attributes=with_attributes)
 
 
-def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10, feats=None,
+def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10,
            staged: bool = False, want=("train", "score")):
     """(train, score) supervised frames with a fixed column order; a frame not
     in ``want`` is None (and costs nothing).
 
     ``staged``: write the features once (with next-day targets) when both
     frames will be consumed together, so the feature plan runs once."""
-    f = feats if feats is not None else features(spark, sf_dir, slot_minutes)
+    taps_ = cells(spark, sf_dir, slot_minutes)
+    f = features(spark, sf_dir, slot_minutes, taps_)
     cols = frame_columns(f)
     if staged:
         f = stage_features(f)
     tr = sc = None
     if "train" in want:
-        tr = train_frame(f, TARGET_DATE,
-                         observed=observed_dates(taps(spark, sf_dir))).select(*cols)
+        tr = train_frame(f, TARGET_DATE, observed=observed_dates(taps_)).select(*cols)
     if "score" in want:
         sc = score_frame(f, grid(spark, sf_dir, slot_minutes), TARGET_DATE,
                          slot_minutes=slot_minutes).select(*cols)

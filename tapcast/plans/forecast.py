@@ -1,8 +1,6 @@
-"""Model queries (M1-M10): rows only, no SQL oracle.
-
-The fixture is sparse at 10-minute slots (a station-hour averages about
-half an entry at sf0.01), so these run on hourly slots; every other step
-is the same pipeline.
+"""Model queries (M1-M10) at 10-minute slots: rows only, no SQL oracle (the
+same mechanics with SQL-expressible predictors: ``oof_matrix``,
+``blend_submission``).
 """
 
 from __future__ import annotations
@@ -11,12 +9,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapcast.models.boosting import L1_DEPTH5, L1_DEPTH6, blend, forecast, prepare
+from tapcast.models.boosting import L1_DEPTH5, L1_DEPTH6, L2_DEPTH9, blend, forecast, prepare
 from tapcast.models.stacking import StackedBoosters
 from tapcast.plans import fixture as fx
 from tapcast.sources.sink import submission
 
-FORECAST_SLOT_MINUTES = 60
+FORECAST_SLOT_MINUTES = 10
 KEYS = ["station_id", "service_date", "slot"]
 
 
@@ -33,6 +31,12 @@ def q_gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return forecast(rows, score, fx.ORIGINS, L1_DEPTH6).select(*KEYS, "in_pred", "out_pred")
 
 
+def q_l2_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """The squared-loss preset on its own (M5): best rounds, refit, fold mean."""
+    rows, score, _ = _prepared(spark, sf)
+    return forecast(rows, score, fx.ORIGINS, L2_DEPTH9).select(*KEYS, "in_pred", "out_pred")
+
+
 def q_blend_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """The final output: mean of two presets, as a submission."""
     rows, score, _ = _prepared(spark, sf)
@@ -55,5 +59,5 @@ def q_stacked_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecast_queries() -> dict:
-    return {"gbt_forecast": q_gbt_forecast, "blend_forecast": q_blend_forecast,
+    return {"gbt_forecast": q_gbt_forecast, "l2_forecast": q_l2_forecast, "blend_forecast": q_blend_forecast,
             "stacked_forecast": q_stacked_forecast}

@@ -9,28 +9,53 @@ nations. Doubles are rounded to 6 places, as in the Spark queries.
 
 from __future__ import annotations
 
-from tapcast.functions.calendar import WEEKEND_WORKDAYS, WORKDAY_HOLIDAYS
-from tapcast.operators.peak import slot_ranges
 from tapcast.plans import fixture as fx
 
 TARGET = f"DATE '{fx.TARGET_DATE.isoformat()}'"
 
 
-def _lst(items) -> str:
-    return ", ".join(f"'{x}'" for x in items)
+# Fixed values, written out so that they check the engine's own.
+HOLIDAYS = """'1-1', '2-4', '2-5', '2-6', '2-7', '2-8', '2-9', '2-10', '4-5', '5-1', '6-7', '9-13',
+             '10-1', '10-2', '10-3', '10-4', '10-5', '10-6', '10-7'"""
+WORKED_WEEKENDS = "'2-2', '2-3', '9-29', '10-12'"
 
 
 def holiday_sql(d: str) -> str:
     md = f"concat_ws('-', month({d}), day({d}))"
-    return (f"CAST(CASE WHEN {md} IN ({_lst(WORKDAY_HOLIDAYS)}) THEN 1 "
-            f"WHEN {md} IN ({_lst(WEEKEND_WORKDAYS)}) THEN 0 "
+    return (f"CAST(CASE WHEN {md} IN ({HOLIDAYS}) THEN 1 "
+            f"WHEN {md} IN ({WORKED_WEEKENDS}) THEN 0 "
             f"WHEN isodow({d}) IN (6, 7) THEN 1 ELSE 0 END AS INTEGER)")
 
 
-def peak_sql(hol: str = "is_holiday", slot: str = "slot", slot_minutes: int = 10) -> str:
-    whens = " ".join(f"WHEN {hol} = {h} AND {slot} >= {lo} AND {slot} < {hi} THEN {c}"
-                     for h, lo, hi, c in slot_ranges(None, slot_minutes) if hi > lo)
-    return f"CAST(CASE {whens} ELSE 1 END AS INTEGER)"
+def peak_sql(hol: str = "is_holiday", slot: str = "slot") -> str:
+    """Classes of 10-minute slots by clock time, start included, end excluded."""
+    clock = f"(TIME '00:00:00' + to_minutes(CAST({slot} * 10 AS BIGINT)))"
+
+    def within(*spans: str) -> str:
+        return " OR ".join(f"({clock} >= TIME '{a}:00' AND {clock} < TIME '{b}:00')"
+                           for a, b in (s.split("-") for s in spans))
+
+    return f"""CAST(CASE
+      WHEN {within('00:00-06:00')} THEN 0
+      WHEN {hol} = 0 AND ({within('07:30-08:30', '17:30-18:30')}) THEN 3
+      WHEN {hol} = 0 AND ({within('07:00-07:30', '08:30-09:00', '17:00-17:30', '18:30-19:00')}) THEN 2
+      WHEN {hol} = 1 AND ({within('09:00-12:00', '15:00-18:00')}) THEN 3
+      WHEN {hol} = 1 AND ({within('07:00-09:00', '12:00-15:00', '18:00-20:00')}) THEN 2
+      ELSE 1 END AS INTEGER)"""
+
+
+def peak_hourly_sql() -> str:
+    """Classes of whole hours: on workdays 7, 8, 17 and 18 are half peak and
+    half special peak, and the higher class wins the tie."""
+    return with_ctes(TAPS, SLOTS) + f"""
+, hours AS (SELECT DISTINCT station_id, service_date, slot // 6 AS slot, is_holiday FROM slots)
+SELECT station_id, service_date, CAST(slot AS INTEGER) AS slot, is_holiday, CAST(CASE
+  WHEN slot < 6 THEN 0
+  WHEN is_holiday = 0 AND slot IN (7, 8, 17, 18) THEN 3
+  WHEN is_holiday = 1 AND slot IN (9, 10, 11, 15, 16, 17) THEN 3
+  WHEN is_holiday = 1 AND slot IN (7, 8, 12, 13, 14, 18, 19) THEN 2
+  ELSE 1 END AS INTEGER) AS peak_type
+FROM hours"""
 
 
 def _ieee_div(num: str, dem: str) -> str:
@@ -134,11 +159,7 @@ nb AS (
 )"""
 
 NETWORK = """
-first_day AS (SELECT min(CAST(time AS DATE)) AS d FROM taps),
-station_line AS (
-  SELECT DISTINCT line_id, station_id FROM taps
-  WHERE line_id IS NOT NULL AND CAST(time AS DATE) = (SELECT d FROM first_day)
-),
+station_line AS (SELECT DISTINCT line_id, station_id FROM taps WHERE line_id IS NOT NULL),
 per_line AS (SELECT line_id, COUNT(station_id) AS line_size FROM station_line GROUP BY line_id),
 line_sizes AS (
   SELECT sl.station_id, max(pl.line_size) AS line_size
@@ -441,8 +462,70 @@ SELECT service_date, {_r6('mae_in')} AS mae_in, {_r6('mae_out')} AS mae_out,
 FROM m"""
 
 
+def cohort_holiday_sql() -> str:
+    return _frame_sql("WHERE today_is_holiday = 1")
+
+
+def roadmap_row_sql() -> str:
+    cells = ", ".join(f"CAST(COALESCE(max(CASE WHEN b.n_nationkey = {s} THEN 1 END), 0) AS INTEGER) AS adj_{s}"
+                      for s in range(fx.N_STATIONS))
+    return with_ctes(TAPS, SLOTS) + f"""
+SELECT s.station_id, s.service_date, s.slot, {cells}
+FROM slots s
+LEFT JOIN nation a ON a.n_nationkey = s.station_id
+LEFT JOIN nation b ON b.n_regionkey = a.n_regionkey AND b.n_nationkey <> a.n_nationkey
+GROUP BY s.station_id, s.service_date, s.slot"""
+
+
+def _model_rows() -> str:
+    excl = ", ".join(f"DATE '{d.isoformat()}'" for d in fx.EXCLUDED_DATES)
+    return f"mrows AS (SELECT * FROM train WHERE service_date NOT IN ({excl}))"
+
+
+def _origin_means() -> list:
+    return [f"""
+m{i} AS (SELECT station_id, slot, avg(in_nums) AS mi, avg(out_nums) AS mo FROM mrows
+         WHERE service_date < DATE '{o.isoformat()}' GROUP BY station_id, slot)"""
+            for i, o in enumerate(fx.ORIGINS)]
+
+
+def oof_matrix_sql() -> str:
+    parts = [f"""
+SELECT r.station_id, r.service_date, r.slot, r.in_nums, r.out_nums,
+       {_r6('COALESCE(m.mi, 0.0)')} AS in_mean, {_r6('COALESCE(m.mo, 0.0)')} AS out_mean,
+       CAST(r.in_now AS DOUBLE) AS in_last, CAST(r.out_now AS DOUBLE) AS out_last
+FROM mrows r LEFT JOIN m{i} m ON m.station_id = r.station_id AND m.slot = r.slot
+WHERE r.service_date = DATE '{o.isoformat()}'""" for i, o in enumerate(fx.ORIGINS)]
+    return (with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES, _model_rows(), *_origin_means())
+            + " UNION ALL ".join(parts))
+
+
+def blend_submission_sql() -> str:
+    n = len(fx.ORIGINS)
+    joins = " ".join(f"LEFT JOIN m{i} ON m{i}.station_id = s.station_id AND m{i}.slot = s.slot" for i in range(n))
+
+    def pred(m: str, now: str) -> str:
+        mean = " + ".join(f"COALESCE(m{i}.{m}, 0.0)" for i in range(n))
+        return _r6(f"0.6 * (({mean}) / {n}) + 0.4 * s.{now}")
+
+    start = "(CAST(s.service_date AS TIMESTAMP) + to_minutes(CAST(s.slot * 10 AS BIGINT)))"
+    fmt = "'%Y-%m-%d %H:%M:%S'"
+    return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES, _model_rows(), *_origin_means()) + f"""
+SELECT s.station_id AS "stationID", strftime({start}, {fmt}) AS "startTime",
+       strftime({start} + INTERVAL 10 MINUTE, {fmt}) AS "endTime",
+       {pred('mi', 'in_now')} AS "inNums", {pred('mo', 'out_now')} AS "outNums"
+FROM score s {joins}"""
+
+
 def all_sql() -> dict:
     out = {
+        "peak_type_hourly": peak_hourly_sql(),
+        "cohort_holiday": cohort_holiday_sql(),
+        "degree_matrix": station_degree_sql(),
+        "neighbor_flow_edges": neighbor_station_flow_sql(),
+        "roadmap_row": roadmap_row_sql(),
+        "oof_matrix": oof_matrix_sql(),
+        "blend_submission": blend_submission_sql(),
         "slot_counts": slot_counts_sql(),
         "device_uniques": device_uniques_sql(),
         "holiday_flag": holiday_flag_sql(),

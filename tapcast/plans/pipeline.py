@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tapcast.functions.calendar import DEFAULT_CALENDAR, Calendar
 from tapcast.functions.slots import SLOT_MINUTES
 from tapcast.models.boosting import L1_DEPTH5, L1_DEPTH6, blend, prepare, with_rounds
+from tapcast.operators.base import tap_cells
 from tapcast.operators.encoding import encode_frame
 from tapcast.operators.frame import (exclude_dates, observed_dates, score_frame, stage_features,
                                      train_frame)
@@ -58,6 +59,8 @@ def forecast_frame(taps: DataFrame, degrees: DataFrame, grid: DataFrame,
     """Predictions (``in_pred``, ``out_pred``) for every score row."""
     fcfg = FeatureConfig(calendar=cfg.calendar, slot_minutes=cfg.slot_minutes,
                          special_ids=cfg.special_ids, week_flow_before=cfg.fit_before)
+    # One scan of the taps: slots, lines and observed dates come from their cells.
+    taps = materialize(tap_cells(taps, cfg.slot_minutes))
     feats = slot_features(taps, degrees, fcfg)
     cols = frame_columns(feats)
     feats = stage_features(feats)

@@ -11,13 +11,16 @@ from tapcast.functions.calendar import is_holiday, iso_weekday, month_day_key
 from tapcast.operators.base import slot_table
 from tapcast.operators.frame import add_ratio_features, cohort
 from tapcast.operators.metrics import competition_score
-from tapcast.operators.neighbors import add_neighbor_slots, neighbor_station_flow_by_group
-from tapcast.operators.network import (add_line_size, add_special_flag, add_station_type,
-                                       line_size, station_lines)
+from tapcast.models.simple import base_predictions, fold_mean_blend
+from tapcast.operators.neighbors import (add_neighbor_slots, neighbor_station_flow_by_edges,
+                                         neighbor_station_flow_by_group)
+from tapcast.operators.network import (add_line_size, add_roadmap_row, add_special_flag,
+                                       add_station_type, degree_from_edges, line_size, station_lines)
 from tapcast.operators.peak import add_peak_type
-from tapcast.operators.validation import fold_sizes
+from tapcast.operators.validation import fold_sizes, out_of_fold
 from tapcast.plans import fixture as fx
 from tapcast.plans.features import round_doubles
+from tapcast.sources.sink import submission
 
 KEYS = ["station_id", "service_date", "slot"]
 
@@ -55,17 +58,23 @@ def q_peak_type(spark: SparkSession, sf: str) -> DataFrame:
         *KEYS, "is_holiday", "peak_type")
 
 
+def q_peak_type_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Slots that peak periods only partly cover."""
+    slots = slot_table(fx.taps(spark, sf), slot_minutes=60, with_devices=False)
+    return add_peak_type(slots, slot_minutes=60).select(*KEYS, "is_holiday", "peak_type")
+
+
 def q_seasonal_stats(spark: SparkSession, sf: str) -> DataFrame:
-    f = fx.features(spark, sf)
+    f = fx.features(spark, sf, with_attributes=False)
     return round_doubles(f.select(
         *KEYS, "in_whm_max", "in_whm_min", "in_whm_mean", "out_whm_max", "out_whm_min",
         "out_whm_mean", "in_wh_max", "in_wh_min", "in_wh_mean", "out_wh_mean"))
 
 
 def q_line_size(spark: SparkSession, sf: str) -> DataFrame:
-    taps = fx.taps(spark, sf)
-    sizes = line_size(station_lines(taps))
-    return add_line_size(slot_table(taps, with_devices=False), sizes).select(*KEYS, "line_size")
+    cells = fx.cells(spark, sf)
+    sizes = line_size(station_lines(cells))
+    return add_line_size(slot_table(cells, with_devices=False), sizes).select(*KEYS, "line_size")
 
 
 def q_station_degree(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,11 +96,50 @@ def q_neighbor_station_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_ratio_features(spark: SparkSession, sf: str) -> DataFrame:
-    f = add_ratio_features(fx.features(spark, sf))
+    f = add_ratio_features(fx.features(spark, sf, with_attributes=False))
     return round_doubles(f.select(*KEYS, "net_now", "total_now", "in_share_now", "in_trend",
                                   "out_trend", "in_vs_week", "out_vs_week"))
 
 
+def q_cohort_holiday(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(cohort(fx.frames(spark, sf, want=("train",))[0], holiday=1))
+
+
+def q_degree_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Degrees from the road-map matrix: unpivoted, then summed by row."""
+    slots = slot_table(fx.taps(spark, sf), with_devices=False)
+    return add_station_type(slots, degree_from_edges(fx.roadmap_edges(spark, sf))).select(*KEYS, "station_type")
+
+
+def q_neighbor_flow_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbour flow over the road map's edges."""
+    slots = slot_table(fx.taps(spark, sf), with_devices=False)
+    return neighbor_station_flow_by_edges(
+        slots, fx.roadmap_edges(spark, sf), offsets=(0, -1, 1), in_col="in_nums", out_col="out_nums"
+    ).select(*KEYS, "nb_in_now", "nb_out_now", "nb_in_before1", "nb_out_before1", "nb_in_after1", "nb_out_after1")
+
+
+def q_roadmap_row(spark: SparkSession, sf: str) -> DataFrame:
+    slots = slot_table(fx.taps(spark, sf), with_devices=False).select(*KEYS)
+    return add_roadmap_row(slots, fx.roadmap_edges(spark, sf), list(range(fx.N_STATIONS)))
+
+
+def q_oof_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold predictions of two base predictors (V4, R4): the mean of
+    station and slot before the origin, and the day before's count."""
+    rows = fx.model_rows(fx.frames(spark, sf, want=("train",))[0])
+    return round_doubles(out_of_fold(rows, fx.ORIGINS, base_predictions).select(
+        *KEYS, "in_nums", "out_nums", "in_mean", "out_mean", "in_last", "out_last"))
+
+
+def q_blend_submission(spark: SparkSession, sf: str) -> DataFrame:
+    """Fold means, a 0.6/0.4 blend and the keyed submission (M7, M8, M10) of
+    the same base predictors."""
+    tr, sc = fx.frames(spark, sf, staged=True)
+    preds = fold_mean_blend(fx.model_rows(tr), sc, fx.ORIGINS, 0.6)
+    return round_doubles(submission(fx.grid(spark, sf), preds))
+
+
 def q_train_frame(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(fx.frames(spark, sf, want=("train",))[0])
 
@@ -113,8 +161,9 @@ def _encode(stat):
 
 
 def q_rolling_folds(spark: SparkSession, sf: str) -> DataFrame:
-    tr, sc = fx.frames(spark, sf, staged=True)
-    return fold_sizes(fx.model_rows(tr.unionByName(sc)), fx.ORIGINS)
+    # Only dates are counted: unstaged train rows let pruning drop the rest.
+    tr = fx.frames(spark, sf, want=("train",))[0]
+    return fold_sizes(fx.model_rows(tr), fx.ORIGINS)
 
 
 def q_naive_mae(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,6 +179,7 @@ def relational_queries() -> dict:
         "holiday_flag": q_holiday_flag,
         "neighbor_slots": q_neighbor_slots,
         "peak_type": q_peak_type,
+        "peak_type_hourly": q_peak_type_hourly,
         "seasonal_stats": q_seasonal_stats,
         "line_size": q_line_size,
         "station_degree": q_station_degree,
@@ -137,6 +187,12 @@ def relational_queries() -> dict:
         "neighbor_station_flow": q_neighbor_station_flow,
         "ratio_features": q_ratio_features,
         "cohort_workday": q_cohort_workday,
+        "cohort_holiday": q_cohort_holiday,
+        "degree_matrix": q_degree_matrix,
+        "neighbor_flow_edges": q_neighbor_flow_edges,
+        "roadmap_row": q_roadmap_row,
+        "oof_matrix": q_oof_matrix,
+        "blend_submission": q_blend_submission,
         "train_frame": q_train_frame,
         "score_frame": q_score_frame,
         "rolling_folds": q_rolling_folds,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tapcast", master: str | None = None,
@@ -57,21 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if d:
         return d
     if fallback is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
         fallback = tempfile.mkdtemp(prefix="tapcast-ckpt-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
 
-def materialize_counted(df: DataFrame, sort_within: list | None = None):
-    """``materialize`` that also returns the row count, observed during the
-    write itself (no second job)."""
-    obs = Observation("rows")
-    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")), sort_within)
-    return out, int(obs.get["n"])
-
-
 def materialize(df: DataFrame, sort_within: list | None = None) -> DataFrame:
     """Cut lineage: write the frame once as a Parquet table under the shared
     checkpoint folder and return a DataFrame reading it back.

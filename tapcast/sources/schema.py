@@ -6,20 +6,11 @@ from pyspark.sql import types as T
 RAW_TAP_CSV = T.StructType([
     T.StructField("time", T.StringType()),
     T.StructField("lineID", T.StringType()),
-    T.StructField("stationID", T.IntegerType()),
-    T.StructField("deviceID", T.IntegerType()),
-    T.StructField("status", T.IntegerType()),
+    T.StructField("stationID", T.StringType()),
+    T.StructField("deviceID", T.StringType()),
+    T.StructField("status", T.StringType()),
     T.StructField("userID", T.StringType()),
-    T.StructField("payType", T.IntegerType()),
-])
-
-# Canonical tap table used by every operator.
-TAPS = T.StructType([
-    T.StructField("time", T.TimestampNTZType()),
-    T.StructField("line_id", T.StringType()),
-    T.StructField("station_id", T.IntegerType()),
-    T.StructField("device_id", T.IntegerType()),
-    T.StructField("status", T.IntegerType()),
+    T.StructField("payType", T.StringType()),
 ])
 
 # Submission template, header ``stationID,startTime,endTime,inNums,outNums``.

@@ -11,7 +11,8 @@ from tapcast.functions.slots import SLOT_MINUTES
 def submission(grid: DataFrame, predictions: DataFrame, in_col: str = "in_pred",
                out_col: str = "out_pred", slot_minutes: int = SLOT_MINUTES) -> DataFrame:
     """One row per grid cell with ``startTime``/``endTime`` text and the two
-    predictions, matched by key (never by position)."""
+    predictions, matched by key (never by position). A cell without a
+    prediction stays null; ``write_submission`` refuses it."""
     keys = ["station_id", "service_date", "slot"]
     p = predictions.select(*keys, F.col(in_col).alias("inNums"), F.col(out_col).alias("outNums"))
     start = F.timestamp_add("MINUTE", F.col("slot") * slot_minutes,
@@ -22,11 +23,17 @@ def submission(grid: DataFrame, predictions: DataFrame, in_col: str = "in_pred",
             .select(F.col("station_id").alias("stationID"),
                     F.date_format(start, fmt).alias("startTime"),
                     F.date_format(end, fmt).alias("endTime"),
-                    F.coalesce("inNums", F.lit(0.0)).alias("inNums"),
-                    F.coalesce("outNums", F.lit(0.0)).alias("outNums")))
+                    "inNums", "outNums"))
 
 
 def write_submission(sub: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; sorted within the output for readability only."""
-    (sub.sortWithinPartitions("stationID", "startTime")
+    """CSV with a header, in the order of station and time over all files. A
+    cell without a prediction stops the write."""
+    def given(c: str):
+        lost = F.raise_error(F.concat(F.lit(f"no {c} for station "), F.col("stationID").cast("string"),
+                                      F.lit(" at "), F.col("startTime")))
+        return F.when(F.col(c).isNull(), lost.cast("double")).otherwise(F.col(c)).alias(c)
+
+    (sub.select("stationID", "startTime", "endTime", given("inNums"), given("outNums"))
+        .orderBy("stationID", "startTime")
         .write.mode(mode).option("header", True).csv(path))

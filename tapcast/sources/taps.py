@@ -18,17 +18,48 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.where(F.col("time").isNotNull() & F.col("station_id").isNotNull())
 
 
-def read_taps_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All daily tap files under ``path`` in one scan (no per-file loop)."""
-    raw = (spark.read.schema(RAW_TAP_CSV).option("header", True)
-           .option("pathGlobFilter", "*.csv").csv(path))
-    return _clean(raw.select(
-        F.to_timestamp_ntz(F.col("time"), F.lit(TIME_FORMAT)).alias("time"),
-        F.col("lineID").alias("line_id"),
-        F.col("stationID").alias("station_id"),
-        F.col("deviceID").alias("device_id"),
-        F.col("status"),
-    ))
+def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.schema(RAW_TAP_CSV).option("header", True)
+            .option("pathGlobFilter", "*.csv").csv(path))
+
+
+#: Raw text column -> its value; a device is any text.
+_PARSED = {
+    "time": lambda: F.try_to_timestamp(F.col("time"), F.lit(TIME_FORMAT)).cast("timestamp_ntz"),
+    "stationID": lambda: F.col("stationID").try_cast("int"),
+    "status": lambda: F.col("status").try_cast("int"),
+}
+
+
+def rejected_taps_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that hold text where a time, station or status does not parse,
+    with the name of the first such column."""
+    raw = _raw_csv(spark, path)
+    reason = F.coalesce(*[F.when(F.col(c).isNotNull() & p().isNull(), F.lit(c)) for c, p in _PARSED.items()])
+    return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def read_taps_csv(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    """All daily tap files under ``path`` in one scan (no per-file loop).
+
+    Text that does not parse as a time, station or status stops the read
+    (``bad="raise"``) or leaves its row to ``rejected_taps_csv``
+    (``bad="reject"``). Rows without a time or station are dropped, as null
+    group keys are."""
+    if bad not in ("raise", "reject"):
+        raise ValueError("bad must be 'raise' or 'reject'")
+    raw, wrong, parsed = _raw_csv(spark, path), F.lit(False), {}
+    for c, parse in _PARSED.items():
+        failed = F.col(c).isNotNull() & parse().isNull()
+        if bad == "raise":
+            error = F.raise_error(F.concat(F.lit(f"unreadable {c}: "), F.col(c)))
+            parsed[c] = F.when(failed, error.cast("int" if c != "time" else "timestamp_ntz")).otherwise(parse())
+        else:
+            wrong, parsed[c] = wrong | failed, parse()
+    return _clean(raw.where(~wrong).select(
+        parsed["time"].alias("time"), F.col("lineID").alias("line_id"),
+        parsed["stationID"].alias("station_id"), F.col("deviceID").alias("device_id"),
+        parsed["status"].alias("status")))
 
 
 def write_taps_parquet(taps: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -66,8 +97,3 @@ def taps_from_events(events: DataFrame, nation: DataFrame, region: DataFrame,
              .select(F.col("n_nationkey").alias("station_id"), F.col("r_name").alias("line_id")))
     taps = taps.join(F.broadcast(lines), "station_id", "left")
     return _clean(taps.select(*TAP_COLUMNS))
-
-
-def load_fixture_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    return taps_from_events(t("events"), t("nation"), t("region"))

@@ -45,13 +45,48 @@ def test_stacking_rows(spark, prepared):
     assert out.where(F.col("in_pred").isNull()).count() == 0
 
 
-def test_empty_origin_keeps_all_rounds(spark, prepared):
+def test_empty_origin_is_an_error(spark, prepared):
     import datetime as dt
 
     from tapcast.models.boosting import fit_best_rounds
     from tapcast.operators.validation import fold
     rows, _, _ = prepared
-    spec = with_rounds(L1_DEPTH6, 3)
     tr, va = fold(rows, dt.date(2030, 1, 1))
-    rounds, err = fit_best_rounds(spec, tr, va, "in_nums")
-    assert rounds == 3 and err != err
+    with pytest.raises(ValueError, match="origin day"):
+        fit_best_rounds(with_rounds(L1_DEPTH6, 3), tr, va, "in_nums")
+
+
+def test_prefix_of_a_longer_fit_is_the_shorter_fit(spark, prepared):
+    from tapcast.models.boosting import prefix
+    rows, score, _ = prepared
+    for spec in (L1_DEPTH6, L1_DEPTH5):
+        long, short = spec.estimator("in_nums", 5).fit(rows), spec.estimator("in_nums", 2).fit(rows)
+        cut = prefix(long, 2)
+        assert cut.getNumTrees == 2
+        a, b = ([round(r.prediction, 9) for r in m.transform(score).orderBy("station_id", "slot").collect()]
+                for m in (cut, short))
+        assert a == b
+
+
+def test_rounds_go_on_while_the_last_is_best(spark, prepared):
+    from dataclasses import replace
+
+    from tapcast.models.boosting import fit_best_rounds
+    from tapcast.operators.validation import fold
+    rows, _, _ = prepared
+    tr, va = fold(rows, fx.ORIGINS[0])
+    # The hour is a feature, so every round comes closer to it.
+    spec = replace(L1_DEPTH5, loss="squared", max_depth=1, max_iter=1, max_rounds=6)
+    rounds, _, model = fit_best_rounds(spec, tr, va, "hour")
+    assert rounds == model.getNumTrees == 6
+
+
+def test_boosters_beat_yesterdays_count(spark, prepared):
+    from tapcast.models.boosting import fit_best_rounds
+    from tapcast.operators.validation import fold
+    rows, _, _ = prepared
+    for o in fx.ORIGINS:
+        tr, va = fold(rows, o)
+        err = fit_best_rounds(with_rounds(L1_DEPTH6, 10), tr, va, "in_nums")[1]
+        naive = va.agg(F.avg(F.abs(F.col("in_nums") - F.col("in_now")))).first()[0]
+        assert err < naive

@@ -9,15 +9,15 @@ from tapcast.operators.network import (add_roadmap_row, add_station_attributes,
 from tapcast.sources.roadmap import read_roadmap_csv
 
 
-def test_line_size_first_day_and_two_lines(spark):
+def test_line_size_all_days_and_two_lines(spark):
     rows = [(ts(1, 8, 0), "A", 1, 1, 1), (ts(1, 8, 0), "A", 2, 1, 1), (ts(1, 8, 0), "A", 3, 1, 1),
             (ts(1, 8, 0), "B", 3, 1, 1), (ts(1, 8, 0), "B", 4, 1, 1),
-            (ts(2, 8, 0), "C", 9, 1, 1)]                     # second day: ignored
+            (ts(2, 8, 0), "C", 9, 1, 1)]                     # first seen on day two
     sizes = {r.station_id: (r.line_id, r.line_size)
              for r in line_size(station_lines(taps_df(spark, rows))).collect()}
-    assert sizes == {1: ("A", 3), 2: ("A", 3), 3: ("A", 3), 4: ("B", 2)}
-    all_days = line_size(station_lines(taps_df(spark, rows), first_day_only=False))
-    assert all_days.where("station_id = 9").first().line_size == 1
+    assert sizes == {1: ("A", 3), 2: ("A", 3), 3: ("A", 3), 4: ("B", 2), 9: ("C", 1)}
+    one_day = line_size(station_lines(taps_df(spark, rows), on_date=ts(1, 8, 0).date()))
+    assert one_day.where("station_id = 9").count() == 0
 
 
 def test_roadmap_csv_degree(spark, scratch):

@@ -32,7 +32,17 @@ def test_case_equals_table_join(spark):
 
 
 def test_hourly_slots(spark):
-    g = spark.createDataFrame([(0, 6), (0, 7), (0, 8), (0, 17), (1, 9), (1, 5)],
+    """Half-covered hours: 7 and 17 open with a peak, 8 and 18 end with one;
+    the other half is a special peak, which wins the tie."""
+    g = spark.createDataFrame([(0, 6), (0, 7), (0, 8), (0, 17), (0, 18), (0, 19), (1, 9), (1, 5)],
                               "is_holiday int, slot int")
     got = {(r.is_holiday, r.slot): r.peak_type for r in add_peak_type(g, slot_minutes=60).collect()}
-    assert got == {(0, 6): 1, (0, 7): 3, (0, 8): 2, (0, 17): 3, (1, 9): 3, (1, 5): 0}
+    assert got == {(0, 6): 1, (0, 7): 3, (0, 8): 3, (0, 17): 3, (0, 18): 3, (0, 19): 1,
+                   (1, 9): 3, (1, 5): 0}
+
+
+def test_most_minutes_decide():
+    from tapcast.operators.peak import slot_ranges
+    periods = {0: [("0:00", "0:40", 2), ("0:40", "1:00", 3), ("2:00", "2:20", 3), ("4:00", "4:30", 0)]}
+    # 40 minutes of class 2; 40 uncovered ones; a tie of 0 with the default 1.
+    assert slot_ranges(periods, 60) == [(0, 0, 1, 2)]

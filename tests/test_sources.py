@@ -1,9 +1,13 @@
 import datetime as dt
 import os
 
+import pytest
+
+from tapcast.operators.base import slot_table
 from tapcast.sources.grid import read_template_csv, slot_grid
 from tapcast.sources.sink import submission, write_submission
-from tapcast.sources.taps import read_taps_csv, read_taps_parquet, write_taps_parquet
+from tapcast.sources.taps import (read_taps_csv, read_taps_parquet, rejected_taps_csv,
+                                  write_taps_parquet)
 
 CSV = """time,lineID,stationID,deviceID,status,userID,payType
 2019-01-01 07:31:05,B,15,3001,1,Uabc,1
@@ -33,6 +37,22 @@ def test_tap_csv_and_parquet_roundtrip(spark, scratch):
         sorted(map(tuple, taps.collect()))
 
 
+def test_bad_tap_rows_are_never_lost_silently(spark, scratch):
+    d = os.path.join(scratch, "bad")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("time,lineID,stationID,deviceID,status,userID,payType\n"
+                "2019-01-01 07:31:05,B,15,D17,1,u,x\n2019-01-01 07:32:05,B,15,D18,0,u,x\n"
+                "2019-01-01 07:33:05,B,S4,D18,0,u,x\nnot a time,B,15,D18,0,u,x\n"
+                "2019-01-01 07:34:05,B,15,D18,in,u,x\n")
+    with pytest.raises(Exception, match="unreadable"):
+        read_taps_csv(spark, d).collect()
+    kept = read_taps_csv(spark, d, bad="reject")
+    assert sorted(r.device_id for r in kept.collect()) == ["D17", "D18"]
+    assert sorted(r.reason for r in rejected_taps_csv(spark, d).collect()) == ["stationID", "status", "time"]
+    assert slot_table(kept).first().nuni_device_station == 2
+
+
 def test_template_and_submission(spark, scratch):
     p = os.path.join(scratch, "tmpl.csv")
     with open(p, "w") as f:
@@ -49,12 +69,18 @@ def test_template_and_submission(spark, scratch):
     assert sub.count() == 288
     r = sub.where("stationID = 1 AND startTime = '2019-01-29 07:30:00'").first()
     assert (r.endTime, r.inNums, r.outNums) == ("2019-01-29 07:40:00", 3.5, 1.25)
-    assert sub.where("stationID = 0").agg({"inNums": "sum"}).first()[0] == 0.0
+    assert sub.where("stationID = 0 AND inNums IS NULL").count() == 144
     last = sub.where("stationID = 0 AND startTime = '2019-01-29 23:50:00'").first()
     assert last.endTime == "2019-01-30 00:00:00"
     out = os.path.join(scratch, "sub")
-    write_submission(sub, out)
-    assert spark.read.option("header", True).csv(out).count() == 288
+    with pytest.raises(Exception, match="no inNums for station"):
+        write_submission(sub, os.path.join(scratch, "holes"))
+    write_submission(sub.na.fill(0.0, ["inNums", "outNums"]), out)
+    rows = []
+    for name in sorted(x for x in os.listdir(out) if x.endswith(".csv")):
+        with open(os.path.join(out, name)) as f:
+            rows += [tuple(line.split(",")[:2]) for line in f.read().splitlines()[1:]]
+    assert len(rows) == 288 and rows == sorted(rows)
 
 
 def test_partitioned_taps_prune_dates(spark, scratch):

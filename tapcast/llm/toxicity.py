@@ -221,18 +221,28 @@ class ToxicityModel:
         self.cut = None
 
     # -- inputs ---------------------------------------------------------
-    def inputs(self, vocab: list[str], without: int | None = None):
-        """Inputs (words, D), and what their embeddings' gradients need."""
+    @staticmethod
+    def buckets(vocab: list[str]):
+        """Table places of words and of their n-grams, each word's first
+        n-gram, and their numbers."""
         w, g, first = _hashed(vocab)
-        wb, gb = (w % np.uint64(_WORD_TABLE)).astype(np.int64), (g % np.uint64(_GRAM_TABLE)).astype(np.int64)
-        ewi, eci = wb % _EMBED_TABLE, gb % _EMBED_TABLE
-        n = np.diff(np.append(first, len(g)))[:, None].astype(np.float32)
+        n = np.diff(np.append(first, len(g)))
+        return ((w % np.uint64(_WORD_TABLE)).astype(np.int32), (g % np.uint64(_GRAM_TABLE)).astype(np.int32),
+                first.astype(np.int32), n.astype(np.int32))
+
+    def evidence(self, places, without: int | None = None) -> np.ndarray:
+        wb, gb, first, n = places
         odds = self.grams.odds(gb, without)
-        x = np.concatenate([
-            self.net.p["ew"][ewi], np.add.reduceat(self.net.p["ec"][eci], first) / n,
-            self.words.odds(wb, without)[:, None], np.maximum.reduceat(odds, first)[:, None],
-            np.add.reduceat(odds, first)[:, None] / n, np.ones((len(vocab), 1), np.float32)], axis=1)
-        return x, (ewi, eci, first, n)
+        return np.stack([self.words.odds(wb, without), np.maximum.reduceat(odds, first),
+                         np.add.reduceat(odds, first) / n.astype(np.float32)], axis=1)
+
+    def inputs(self, places, evidence: np.ndarray) -> np.ndarray:
+        """Inputs of words, (words, D)."""
+        wb, gb, first, n = places
+        return np.concatenate([
+            self.net.p["ew"][wb % _EMBED_TABLE],
+            np.add.reduceat(self.net.p["ec"][gb % _EMBED_TABLE], first) / n[:, None].astype(np.float32),
+            evidence, np.ones((len(wb), 1), np.float32)], axis=1)
 
     # -- training -------------------------------------------------------
     def fit(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> ToxicityModel:
@@ -243,25 +253,26 @@ class ToxicityModel:
             ids = v.of(text)
             if not len(ids):
                 continue
-            vocab = list(v.numbers)
-            w, g, _ = _hashed(vocab)
-            self.words.add((w % np.uint64(_WORD_TABLE)).astype(np.int64), y)
-            self.grams.add((g % np.uint64(_GRAM_TABLE)).astype(np.int64), y)
-            docs.append((vocab, ids, y))
+            places = self.buckets(list(v.numbers))
+            self.words.add(places[0], y)
+            self.grams.add(places[1], y)
+            docs.append((places, ids, y))
         if not self.words.n_toxic or not self.words.n_clean:
             return self
+        # Evidence about a document's words without the document itself.
+        docs = [(places, ids, y, self.evidence(places, y)) for places, ids, y in docs]
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
         step = 0
         scores = None
         for epoch in range(epochs):
             if epoch:
-                scores = [self._doc_logits(*d) for d in docs]
+                scores = self._doc_logits(docs)
             picks = []
-            for i, (vocab, ids, y) in enumerate(docs):
+            for i, (_, ids, y, left_out) in enumerate(docs):
                 starts = window_starts(len(ids))
                 if epoch == 0:
-                    x = self.inputs(vocab, y)[0][ids]
-                    s = np.array([x[a:a + WINDOW, 2 * EMBED:2 * EMBED + 2].max() for a in starts])
+                    most = left_out[:, :2].max(axis=1)[ids]
+                    s = np.array([most[a:a + WINDOW].max() for a in starts])
                 else:
                     s = scores[i]
                 order = np.argsort(-s)
@@ -276,13 +287,21 @@ class ToxicityModel:
                     part = order[a:a + 128]
                     step += 1
                     self._learn([picks[k] for k in part], share[part].astype(np.float32), docs, state, step)
-        scores = np.array([self._doc_logits(*d).max() for d in docs])
+        scores = np.array([s.max() for s in self._doc_logits(docs)])
         self.cut = best_cut(scores, np.array([d[2] for d in docs]))
         return self
 
-    def _doc_logits(self, vocab, ids, y=None):
-        x = self.inputs(vocab, y)[0]
-        return self._window_logits(x @ self.net.p["wf"], x @ self.net.p["wb"], *windows([ids]))
+    def _doc_logits(self, docs) -> list[np.ndarray]:
+        """Logits of all windows of each document, many documents at once."""
+        out: list[np.ndarray] = []
+        for a in range(0, len(docs), 64):
+            part = docs[a:a + 64]
+            x = np.concatenate([self.inputs(places, left_out) for places, _, _, left_out in part])
+            first = np.cumsum([0] + [len(d[3]) for d in part[:-1]])
+            index, doc = windows([ids + f for (_, ids, _, _), f in zip(part, first)], with_doc=True)
+            logit = self._window_logits(x @ self.net.p["wf"], x @ self.net.p["wb"], index)
+            out += np.split(logit, np.nonzero(doc[1:] != doc[:-1])[0] + 1)
+        return out
 
     def _window_logits(self, pf, pb, index, batch: int = 2048):
         """Logits of windows of word numbers (windows, T); -1 is no word."""
@@ -294,20 +313,18 @@ class ToxicityModel:
         return out
 
     def _learn(self, picks, weight, docs, state, step, rate: float = 0.01) -> None:
-        vocab, index = [], np.full((len(picks), WINDOW), -1)
-        parts = []
-        for k, (i, a, y) in enumerate(picks):
-            words, ids, _ = docs[i]
+        index, start, parts, left_out = np.full((len(picks), WINDOW), -1), 0, [], []
+        for k, (i, a, _) in enumerate(picks):
+            (wb, gb, first, n), ids, _, own = docs[i]
             used, at = np.unique(ids[a:a + WINDOW], return_inverse=True)
-            index[k, :len(at)] = at + len(vocab)
-            parts.append((len(vocab), y))
-            vocab += [words[u] for u in used]
-        x, (ewi, eci, first, n) = self.inputs(vocab)
-        for side in (0, 1):  # evidence without the document at hand
-            left_out, _ = self.inputs(vocab, side)
-            for (a, y), b in zip(parts, [p[0] for p in parts[1:]] + [len(vocab)]):
-                if y == side:
-                    x[a:b] = left_out[a:b]
+            index[k, :len(at)] = at + start
+            start += len(used)
+            grams = np.repeat(first[used] - np.cumsum(n[used]) + n[used], n[used]) + np.arange(n[used].sum())
+            parts.append((wb[used], gb[grams], n[used]))
+            left_out.append(own[used])
+        wb, gb, n = (np.concatenate(v) for v in zip(*parts))
+        first = np.cumsum(n) - n
+        x = self.inputs((wb, gb, first, n), np.concatenate(left_out))
         pad = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
         mask = (index >= 0).T.astype(np.float32)
         y = np.array([p[2] for p in picks], np.float32)
@@ -316,8 +333,9 @@ class ToxicityModel:
         np.add.at(flat, index.T.reshape(-1), dx.reshape(-1, dx.shape[2]))
         flat = flat[:-1]
         g["ew"], g["ec"] = np.zeros_like(self.net.p["ew"]), np.zeros_like(self.net.p["ec"])
-        np.add.at(g["ew"], ewi, flat[:, :EMBED])
-        np.add.at(g["ec"], eci, np.repeat(flat[:, EMBED:2 * EMBED] / n, n[:, 0].astype(int), axis=0))
+        np.add.at(g["ew"], wb % _EMBED_TABLE, flat[:, :EMBED])
+        np.add.at(g["ec"], gb % _EMBED_TABLE,
+                  np.repeat(flat[:, EMBED:2 * EMBED] / n[:, None].astype(np.float32), n, axis=0))
         for k, v in self.net.p.items():
             m, s = state[k]
             m += 0.1 * (g[k] - m)
@@ -332,7 +350,8 @@ class ToxicityModel:
         ids = [v.of(t) for t in texts]
         if self.cut is None or not v.numbers:
             return out
-        x, _ = self.inputs(list(v.numbers))
+        places = self.buckets(list(v.numbers))
+        x = self.inputs(places, self.evidence(places))
         index, doc = windows(ids, with_doc=True)
         logit = self._window_logits(x @ self.net.p["wf"], x @ self.net.p["wb"], index)
         first = np.nonzero(np.r_[True, doc[1:] != doc[:-1]])[0]

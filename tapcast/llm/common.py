@@ -20,7 +20,7 @@ from tapcast.session import ensure_checkpoint_dir
 #: Words per shingle and the similarity that makes a near duplicate.
 SHINGLE, SIMILAR = 5, 0.8
 #: Entries a per-process cache holds before it is emptied (bounded memory).
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,8 @@ documents, windows of ``STEPS`` tokens, the state carried from window to window
 and cleared at a document's start. Each task trains on its own share, and the
 weights are averaged by their tokens, ``ROUNDS`` times. The share of training
 documents that it sees is ``SHARE`` (more where that would be under
-``LEAST_TOKENS`` tokens), so it grows with the corpus.
+``LEAST_TOKENS`` tokens), so it grows with the corpus; a small corpus is gone
+over several times.
 
 Cases: a null text is empty and has the end alone; a null id counts as not held
 out; words without valid UTF-8 can't occur in a string column; without training
@@ -46,6 +47,8 @@ HIDDEN = 16
 #: Back-propagation: steps of a window, streams side by side.
 STEPS, STREAMS = 24, 64
 ROUNDS, SHARE, LEAST_TOKENS = 2, 1 / 16, 4_000_000
+#: Tokens that training goes over at least, in repeated passes if need be.
+LEAST_SEEN = 2_000_000
 RATE = 0.01
 
 
@@ -333,6 +336,8 @@ def trained(documents: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Netwo
     one_in = max(1, int(1 / max(SHARE, min(1.0, LEAST_TOKENS / max(1, counts.tokens)))))
     chosen = documents.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)).select("classes")
     schema = pa.schema([("n", pa.int64()), ("weights", pa.list_(pa.float32()))])
+    passes = max(1, -(-LEAST_SEEN * one_in // max(1, counts.tokens * rounds)))
+    passes = min(passes, 30)  # a few dozen words need no more
     for _ in range(rounds):
         start = net.flat()
 
@@ -340,7 +345,8 @@ def trained(documents: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Netwo
             docs = [d for batch in batches for d in batch.column("classes").to_pylist()]
             if docs:
                 own = Network(np.zeros(CLASSES, np.float32)).set_flat(start)
-                n = own.train(docs)
+                for _ in range(passes):
+                    n = own.train(docs)
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat()], pa.list_(pa.float32()))],
                                                  schema=schema)
 

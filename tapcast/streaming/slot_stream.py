@@ -15,11 +15,14 @@ from tapcast.sources.schema import RAW_TAP_CSV, TIME_FORMAT
 
 
 def tap_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Taps of arriving files. Text that does not parse stops the stream (ANSI
+    casts), as ``read_taps_csv`` does."""
     raw = (spark.readStream.schema(RAW_TAP_CSV).option("header", True)
            .option("pathGlobFilter", "*.csv")
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(path))
     return (raw.select(F.to_timestamp(F.col("time"), TIME_FORMAT).alias("time"),
-                       F.col("stationID").alias("station_id"), F.col("status"))
+                       F.col("stationID").cast("int").alias("station_id"),
+                       F.col("status").cast("int").alias("status"))
             .where(F.col("time").isNotNull() & F.col("station_id").isNotNull()))
 
 

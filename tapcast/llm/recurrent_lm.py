@@ -13,11 +13,9 @@ as many rows as there are batches. Counts come back to the batch the same way.
 
 The network is trained in numpy by truncated back-propagation: streams of
 documents, windows of ``STEPS`` tokens, the state carried from window to window
-and cleared at a document's start. Each task trains on its own share, and the
-weights are averaged by their tokens, ``ROUNDS`` times. The share of training
-documents that it sees is ``SHARE`` (more where that would be under
-``LEAST_TOKENS`` tokens), so it grows with the corpus; a small corpus is gone
-over several times.
+and cleared at a document's start. Each task goes once over all its training
+documents, and the weights are averaged by their tokens, ``ROUNDS`` times: the
+network sees every training document that often, whatever the corpus' size.
 
 Cases: a null text is empty and has the end alone; a null id counts as not held
 out; words without valid UTF-8 can't occur in a string column; without training
@@ -46,9 +44,10 @@ END = CLASSES - 1
 HIDDEN = 16
 #: Back-propagation: steps of a window, streams side by side.
 STEPS, STREAMS = 24, 64
-ROUNDS, SHARE, LEAST_TOKENS = 2, 1 / 16, 4_000_000
-#: Tokens that training goes over at least, in repeated passes if need be.
-LEAST_SEEN = 2_000_000
+#: Passes over all training documents, at every size.
+ROUNDS = 2
+#: Tokens that a task deals to its streams at a time (bounded memory).
+PIECE = 4_000_000
 RATE = 0.01
 
 
@@ -216,6 +215,7 @@ class Network:
         w = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
         self.p = {"wi": w(CLASSES + 1, 3 * HIDDEN), "u": w(HIDDEN, 3 * HIDDEN),
                   "wo": 0.1 * w(HIDDEN, CLASSES), "bo": prior.copy()}
+        self.moments, self.steps = {}, 0
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
@@ -237,40 +237,48 @@ class Network:
         return n + z * (h - n), (h, z, r, n, q[:, 2 * k:])
 
     def window(self, before, target, fresh, live, h):
-        """Loss, gradients and last state of a window (steps, streams)."""
-        p, keep, tops = self.p, [], []
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        loss = 0.0
-        for t in range(len(before)):
+        """Loss, gradients and last state of a window (steps, streams). Only
+        the states go step by step; classes and weights are done at once."""
+        p, k = self.p, HIDDEN
+        t_max, b = before.shape
+        x = p["wi"][before]
+        was, z, r, n, qn, now = (np.empty((t_max, b, k), x.dtype) for _ in range(6))
+        for t in range(t_max):
             h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, kept = self.step(before[t], h)
-            e = h @ p["wo"] + p["bo"]
-            e = np.exp(e - e.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            at = np.arange(len(h))
-            loss -= (np.log(e[at, target[t]] + 1e-30) * live[t]).sum()
-            e[at, target[t]] -= 1
-            keep.append(kept)
-            tops.append((h, e * live[t][:, None]))
-        count = max(1.0, live.sum())
-        dh = np.zeros_like(h)
-        for t in range(len(before) - 1, -1, -1):
-            now, de = tops[t]
-            de = de / count
-            g["wo"] += now.T @ de
-            g["bo"] += de.sum(axis=0)
-            dh = dh + de @ p["wo"].T
-            was, z, r, n, qn = keep[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz, dr = dh * (was - n) * z * (1 - z), dn * qn * r * (1 - r)
-            np.add.at(g["wi"], before[t], np.concatenate([dz, dr, dn], axis=1))
-            dq = np.concatenate([dz, dr, dn * r], axis=1)
-            g["u"] += was.T @ dq
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dq @ p["u"].T)
+            q = h @ p["u"]
+            zr = _sigmoid(x[t, :, :2 * k] + q[:, :2 * k])
+            was[t], z[t], r[t], qn[t] = h, zr[:, :k], zr[:, k:], q[:, 2 * k:]
+            n[t] = np.tanh(x[t, :, 2 * k:] + r[t] * qn[t])
+            h = now[t] = n[t] + z[t] * (h - n[t])
+        flat, on, at = now.reshape(-1, k), live.reshape(-1), np.arange(t_max * b)
+        e = flat @ p["wo"] + p["bo"]
+        np.exp(e - e.max(axis=1, keepdims=True), out=e)
+        e /= e.sum(axis=1, keepdims=True)
+        own = target.reshape(-1)
+        loss = -(np.log(e[at, own] + 1e-30) * on).sum()
+        e[at, own] -= 1
+        e *= (on / max(1.0, float(on.sum()))).astype(x.dtype)[:, None]
+        g = {"wo": flat.T @ e, "bo": e.sum(axis=0)}
+        top = (e @ p["wo"].T).reshape(t_max, b, k)
+        dx, dq = np.empty_like(x), np.empty_like(x)
+        # Factors that don't depend on the gradient that comes back.
+        fn, fz, fr = (1 - z) * (1 - n * n), (was - n) * z * (1 - z), qn * r * (1 - r)
+        ut, dh = p["u"].T, np.zeros_like(now[0])
+        for t in range(t_max - 1, -1, -1):
+            dh = dh + top[t]
+            dn = dx[t, :, 2 * k:] = dh * fn[t]
+            dx[t, :, :k], dx[t, :, k:2 * k] = dh * fz[t], dn * fr[t]
+            dq[t, :, :2 * k], dq[t, :, 2 * k:] = dx[t, :, :2 * k], dn * r[t]
+            dh = np.where(fresh[t][:, None], np.float32(0), dh * z[t] + dq[t] @ ut)
+        g["u"] = was.reshape(-1, k).T @ dq.reshape(-1, 3 * k)
+        one = np.zeros((t_max * b, CLASSES + 1), x.dtype)
+        one[at, before.reshape(-1)] = 1
+        g["wi"] = one.T @ dx.reshape(-1, 3 * k)
         return loss, g, h
 
     def train(self, docs: list[bytes], steps: int = STEPS, streams: int = STREAMS, rate: float = RATE) -> int:
-        """One pass over the documents, dealt to streams; the tokens seen."""
+        """One pass over the documents, dealt to streams; the tokens seen.
+        Another call goes on with the moments of the steps before."""
         docs = sorted(docs, key=lambda d: (-len(d), d))
         load, lanes = [0] * streams, [[] for _ in range(streams)]
         for d in docs:
@@ -281,9 +289,9 @@ class Network:
         for lane in lanes:
             rng.shuffle(lane)
         longest = -(-max(load) // steps) * steps
-        target = np.zeros((longest, streams), np.int64)
-        before = np.full((longest, streams), self.START)
-        fresh, live = np.zeros((longest, streams), bool), np.zeros((longest, streams), np.float32)
+        target = np.zeros((longest, streams), np.uint8)
+        before = np.full((longest, streams), self.START, np.uint8)
+        fresh, live = np.zeros((longest, streams), bool), np.zeros((longest, streams), bool)
         for k, lane in enumerate(lanes):
             if lane:
                 flat = np.concatenate(lane)
@@ -294,12 +302,14 @@ class Network:
                 before[starts, k] = self.START
                 fresh[starts, k] = True
         h = np.zeros((streams, HIDDEN), np.float32)
-        m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        for i, a in enumerate(range(0, longest, steps), 1):
+        if not self.moments:
+            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        for a in range(0, longest, steps):
             s = slice(a, a + steps)
             _, g, h = self.window(before[s], target[s], fresh[s], live[s], h)
+            self.steps = i = self.steps + 1
             for k, v in self.p.items():
-                m1, m2 = m[k]
+                m1, m2 = self.moments[k]
                 m1 += 0.1 * (g[k] - m1)
                 m2 += 0.01 * (g[k] ** 2 - m2)
                 v -= rate * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-6)
@@ -331,22 +341,25 @@ class Network:
 
 
 def trained(documents: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
-    """Averaged weights of the tasks' passes over the training share."""
+    """Averaged weights of the tasks' passes over all training documents."""
     net = Network(counts.prior())
-    one_in = max(1, int(1 / max(SHARE, min(1.0, LEAST_TOKENS / max(1, counts.tokens)))))
-    chosen = documents.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)).select("classes")
+    chosen = documents.where(~F.col("held_out")).select("classes")
     schema = pa.schema([("n", pa.int64()), ("weights", pa.list_(pa.float32()))])
-    passes = max(1, -(-LEAST_SEEN * one_in // max(1, counts.tokens * rounds)))
-    passes = min(passes, 30)  # a few dozen words need no more
     for _ in range(rounds):
         start = net.flat()
 
         def fit(batches, start=start):
-            docs = [d for batch in batches for d in batch.column("classes").to_pylist()]
+            own, docs, size, n = Network(np.zeros(CLASSES, np.float32)).set_flat(start), [], 0, 0
+            for batch in batches:
+                for d in batch.column("classes").to_pylist():
+                    docs.append(d)
+                    size += len(d)
+                    if size >= PIECE:
+                        n += own.train(docs)
+                        docs, size = [], 0
             if docs:
-                own = Network(np.zeros(CLASSES, np.float32)).set_flat(start)
-                for _ in range(passes):
-                    n = own.train(docs)
+                n += own.train(docs)
+            if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat()], pa.list_(pa.float32()))],
                                                  schema=schema)
 

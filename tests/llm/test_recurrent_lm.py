@@ -94,3 +94,24 @@ def test_awkward_rows_and_empty_table(spark):
     rows = L.scores(awkward(spark), held_out(F.col("doc_id"), 5)).collect()
     same(rows, base(ROWS))
     assert L.scores(empty(spark), held_out(F.col("doc_id"), 5)).count() == 0
+
+
+def test_training_takes_the_same_rows_at_any_corpus_size(spark):
+    """Null ids too; counts that tell of a large corpus change nothing."""
+    rows = [(i if i % 2 else None, i % 5 == 1, bytearray([i % 7, L.END])) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, classes binary").coalesce(1)
+    n, v = np.full(L.CLASSES, 100.0), np.full(L.CLASSES, 3.0)
+    start = L.Network(L.Counts(160, 30, 10, {}, n, v).prior()).flat()
+    for part in (docs, docs.where("doc_id is null")):
+        small, middle, large = (L.trained(part, L.Counts(t, 30, 10, {}, n, v)).flat()
+                                for t in (160, 20_000_000, 500_000_000))
+        assert np.abs(small - start).max() > 1e-3
+        assert (small == middle).all() and (small == large).all()
+
+
+def test_pieces_go_on_where_the_last_one_ended():
+    """One pass over two pieces makes as many steps as its tokens need."""
+    docs = [bytes([1, 2, 3, 4] * 20 + [L.END]) for _ in range(200)]
+    net = L.Network(np.zeros(L.CLASSES, np.float32))
+    assert net.train(docs[:100]) + net.train(docs[100:]) == 200 * 81
+    assert net.steps == 2 * -(-2 * 81 // L.STEPS)

@@ -4,14 +4,17 @@ A k-mer is a run of ``K`` words, its inner substrings are its words. It is an
 anchor if its smallest inner hash lies at its first or last word: that depends
 on the k-mer alone, so an edit elsewhere never moves an anchor. A fingerprint
 is the list of a text's anchors (32-bit hashes, in text order, eight hex digits
-each). Likeness is the Jaccard similarity of two anchor sets; two empty ones
-are alike.
+each), and beside it the place of each anchor's first word (from 0). Likeness
+is the Jaccard similarity of two anchor sets; two empty ones are alike.
+
+Only from ``2 * K - 2`` words on is an anchor certain. A shorter text of at
+least ``K`` words without one has all its runs of ``K / 2`` words as anchors.
 
 All is done with array functions. Sliding minima and k-mer hashes are made by
 doubling (runs of 1, 2, 4, 8 words), so work is linear in the text.
 
-Cases: a null text is an empty one and has an empty fingerprint; fewer than
-``K`` words make one anchor of them all; rows with equal id and text are one
+Cases: a null text is an empty one, and only a text without words has an empty
+fingerprint; fewer than ``K`` words make one anchor of them all; rows with equal id and text are one
 document when the next one is sought, and give a row each; a null id sorts
 first; an only document is its own next; an empty table gives no rows.
 """
@@ -28,8 +31,9 @@ K = 8
 
 
 def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFrame:
-    """Add ``out``: the text's anchors (array<int>) in text order. Each step
-    is a column of its own: a later one uses it twice."""
+    """Add ``out``: the text's anchors (array<int>) in text order, and
+    ``out``_at: the places of their first words. Each step is a column of its
+    own: a later one uses it twice."""
     t = "__sync_"
     words = F.split(F.trim(F.translate(F.lower(F.col(text_col)), "\t\n\u000b\f\r", "     ")), " +")
     df = df.withColumn(t + "h1", F.when(F.trim(F.translate(F.col(text_col), "\t\n\u000b\f\r", "     ")) != "",
@@ -53,9 +57,17 @@ def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFram
     either = F.zip_with(first, after(F.col(t + "h1"), k - 1), lambda m, b: m.isNull() | (m == b))
     anchor = F.zip_with(either, F.slice(f"{t}h{k}", F.lit(1), runs),
                         lambda e, h: F.when(e, F.hash(h)))
-    df = df.withColumn(out, F.when(F.col(t + "n") >= k, F.array_compact(anchor))
+    df = df.withColumn(t + "a", anchor)
+    df = df.withColumn(t + "found", F.exists(t + "a", lambda x: x.isNotNull()))
+    none = F.array().cast("array<int>")
+    shorter = F.slice(f"{t}h{k // 2}", F.lit(1), F.greatest(F.col(t + "n") - (k // 2 - 1), F.lit(0)))
+    df = df.withColumn(out, F.when(F.col(t + "found"), F.array_compact(t + "a"))
+                       .when(F.col(t + "n") >= k, F.transform(shorter, lambda x: F.hash(x)))
                        .when(F.col(t + "n") > 0, F.array(F.hash(t + "h1")))
-                       .otherwise(F.array().cast("array<int>")))
+                       .otherwise(none))
+    places = F.transform(t + "a", lambda x, i: F.when(x.isNotNull(), i))
+    df = df.withColumn(out + "_at", F.when(F.col(t + "found"), F.array_compact(places))
+                       .otherwise(F.transform(out, lambda x, i: i)))
     return df.drop(*[c for c in df.columns if c.startswith(t)])
 
 
@@ -90,7 +102,7 @@ def neighbours(keys: DataFrame, order: list[str]) -> DataFrame:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. Whole texts cross the network once; a document's
+    near_edited, near_next, places, edited_places. Whole texts cross the network once; a document's
     first half and anchors go to the one before it."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -106,7 +118,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            F.expr("left(text, before.n div 2)").alias("lent"), "text")
     if repeated:
         donors = donors.dropDuplicates(["to_id", "to_h"])
-    donors = with_anchors(donors, "text", "next_anchors", k).drop("text")
+    donors = with_anchors(donors, "text", "next_anchors", k).drop("text", "next_anchors_at")
 
     own = linked.select("doc_id", "h", "n", "text")
     both = own.join(donors, own.doc_id.eqNullSafe(donors.to_id) & (own.h == donors.to_h))
@@ -117,4 +129,5 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        F.col("anchors_at").alias("places"), F.col("edited_anchors_at").alias("edited_places"))

@@ -65,3 +65,43 @@ def test_plan_has_no_python(spark):
     df = syncmers.fingerprints(spark.read.parquet(f"{SF}/documents.parquet"))
     plan = df._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
+def short_texts(spark, least=40):
+    """Texts of 8 to 13 words of which no 8-mer is an anchor, all different."""
+    words = [f"v{i * 7919 % 1009}" for i in range(1500)]
+    h = dict(zip(words, hashes(spark, words)))
+    out, k = [], syncmers.K
+    for a in range(0, len(words) - 13, 13):
+        t = words[a:a + 8 + a % 3]
+        if not any(min(h[w] for w in t[i:i + k]) in (h[t[i]], h[t[i + k - 1]]) for i in range(len(t) - k + 1)):
+            out.append(t)
+    assert len(out) >= least
+    return out
+
+
+def test_short_texts_without_an_anchor_have_all_their_shorter_runs(spark):
+    texts_ = short_texts(spark)
+    got = anchors_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts_)])
+    half = syncmers.K // 2
+    assert all(len(got[i]) == len(t) - half + 1 for i, t in enumerate(texts_))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts_[:6])] + [(6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r for r in syncmers.fingerprints(df).collect()}
+    assert all(near[i].near_next == 0 and near[i].fingerprint for i in range(6))
+    # Equal ones are alike.
+    same = spark.createDataFrame([(0, " ".join(texts_[0])), (1, " ".join(texts_[0]))], "doc_id long, text string")
+    assert all(r.near_next == 1 for r in syncmers.fingerprints(same).collect())
+
+
+def test_places_are_those_of_the_anchors_first_words(spark):
+    words = [f"w{i * 7919 % 331}" for i in range(120)]
+    h, k = hashes(spark, words), syncmers.K
+    chosen = [i for i in range(len(h) - k + 1) if min(h[i:i + k]) in (h[i], h[i + k - 1])]
+    short = short_texts(spark)[0]
+    rows = [(1, " ".join(words)), (2, "only four words here"), (3, None), (4, " ".join(short))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.fingerprints(df).collect()}
+    assert got[1].places == chosen and got[2].places == [0] and got[3].places == []
+    assert got[4].places == list(range(len(short) - k // 2 + 1))
+    assert all(8 * len(r.edited_places) == len(r.edited_fingerprint) for r in got.values())

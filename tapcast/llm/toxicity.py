@@ -15,8 +15,11 @@ taken without the document at hand, so the network cannot read the label off a
 rare word. At the end scores are shifted so that the best cut between the two
 classes lies at ``CUT``.
 
-The training sample is bounded: at most ``SAMPLE`` documents of either class,
-those with the smallest hash of their id. Scoring covers all documents, whole.
+Evidence is counted by a Spark aggregation, and the cut chosen from a Spark
+histogram of scores, both over all labelled rows that are not held out. Only the
+network's gradients come from a bounded sample: at most ``SAMPLE`` documents of
+either class, those with the smallest hash of their id. Scoring covers all
+documents, whole.
 
 Cases: a null text is empty; texts without words score 0; unlabelled training
 rows are not used; without both classes among the labels every score is 0; null
@@ -34,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapcast.llm.common import doc_columns, mix, ship_package
+from tapcast.session import materialize
 
 #: Most training documents of either class.
 SAMPLE = 1000
@@ -44,6 +48,8 @@ EPOCHS, LEAST_STEPS = 6, 600
 CUT = 0.7
 _WORD_TABLE, _GRAM_TABLE, _EMBED_TABLE = 1 << 20, 1 << 19, 1 << 13
 _CLIP = 4.0
+#: Logits of a histogram's bin, and the bins on either side of 0.
+BIN, BINS = 1 / 64, 4096
 
 
 class _Vocabulary(dict):
@@ -245,19 +251,32 @@ class ToxicityModel:
             evidence, np.ones((len(wb), 1), np.float32)], axis=1)
 
     # -- training -------------------------------------------------------
+    def count(self, texts: list[bytes], labels: list[int]) -> None:
+        """Add the evidence of these documents."""
+        v = _Vocabulary()
+        ids = [np.unique(v.of(t)) for t in texts]
+        if not v.numbers:
+            return
+        wb, gb, first, n = self.buckets(list(v.numbers))
+        for used, y in zip(ids, labels):
+            if len(used):
+                grams = np.repeat(first[used] - np.cumsum(n[used]) + n[used], n[used]) + np.arange(n[used].sum())
+                self.words.add(wb[used], y)
+                self.grams.add(gb[grams], y)
+
     def fit(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> ToxicityModel:
+        """Train on these documents; they are the evidence, too, unless it
+        was counted before (over documents that include these)."""
         rng = np.random.default_rng(11)
         docs = []
+        if not self.words.n_toxic + self.words.n_clean:
+            self.count(texts, labels)
         for text, y in zip(texts, labels):
             v = _Vocabulary()
             ids = v.of(text)
-            if not len(ids):
-                continue
-            places = self.buckets(list(v.numbers))
-            self.words.add(places[0], y)
-            self.grams.add(places[1], y)
-            docs.append((places, ids, y))
-        if not self.words.n_toxic or not self.words.n_clean:
+            if len(ids):
+                docs.append((self.buckets(list(v.numbers)), ids, y))
+        if len({y for _, _, y in docs}) < 2:
             return self
         # Evidence about a document's words without the document itself.
         docs = [(places, ids, y, self.evidence(places, y)) for places, ids, y in docs]
@@ -346,17 +365,28 @@ class ToxicityModel:
     def score_batch(self, texts: list[bytes]) -> np.ndarray:
         """Scores of whole texts, all windows."""
         out = np.zeros(len(texts))
+        if self.cut is None:
+            return out
+        worst = self.worst_logits(texts)
+        found = ~np.isnan(worst)
+        out[found] = _sigmoid(worst[found] - self.cut + np.log(CUT / (1 - CUT)))
+        return out
+
+    def worst_logits(self, texts: list[bytes], without: int | None = None) -> np.ndarray:
+        """The worst window's logit of each text, NaN of one without words.
+        ``without`` is the label of all these texts if they were counted: then
+        each is scored by the evidence of all other documents."""
+        out = np.full(len(texts), np.nan)
         v = _Vocabulary()
         ids = [v.of(t) for t in texts]
-        if self.cut is None or not v.numbers:
+        if not v.numbers:
             return out
         places = self.buckets(list(v.numbers))
-        x = self.inputs(places, self.evidence(places))
+        x = self.inputs(places, self.evidence(places, without))
         index, doc = windows(ids, with_doc=True)
         logit = self._window_logits(x @ self.net.p["wf"], x @ self.net.p["wb"], index)
         first = np.nonzero(np.r_[True, doc[1:] != doc[:-1]])[0]
-        worst = np.maximum.reduceat(logit, first).astype(np.float64)
-        out[doc[first]] = _sigmoid(worst - self.cut + np.log(CUT / (1 - CUT)))
+        out[doc[first]] = np.maximum.reduceat(logit, first).astype(np.float64)
         return out
 
 
@@ -392,26 +422,116 @@ def best_cut(scores: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + after[k]) / 2)
 
 
+def histogram_cut(bins: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """``best_cut`` of a histogram: between two bins that hold scores."""
+    order = np.argsort(-bins)
+    b, n, t = bins[order], (clean + toxic)[order], toxic[order]
+    f1 = 2 * np.cumsum(t) / (np.cumsum(n) + t.sum())
+    low = b * BIN
+    after = np.append((b[1:] + 1) * BIN, low[-1] - 1)
+    good = np.nonzero(f1 >= f1.max() - 1e-12)[0]
+    k = good[np.argmax((low - after)[good])]
+    return float((low[k] + after[k]) / 2)
+
+
 def held_out(id_col: Column, parts: int = 3) -> Column:
     """The rows that no model learns from; a null id is not one of them."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts == 1
 
 
+def pieces(column, chunk: int = 8 << 20):
+    """(from, to) of runs of a batch's texts of about ``chunk`` bytes."""
+    size = np.cumsum([len(t.as_buffer()) for t in column])
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + chunk)))
+        yield a, b
+        a = b
+
+
+EVIDENCE = pa.schema([("bucket", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+
+def counted(labelled: DataFrame) -> ToxicityModel:
+    """An untrained model with the evidence of all rows (text, y). A task
+    sends what it counted by bucket; the sums are bounded by the tables."""
+
+    def count(batches):
+        own, some = ToxicityModel(), False
+        for batch in batches:
+            for a, b in pieces(batch.column("text")):
+                part = batch.slice(a, b - a)
+                own.count(part.column("text").to_pylist(), part.column("y").to_pylist())
+                some = True
+        if some:
+            both = [np.concatenate([getattr(own.words, k), getattr(own.grams, k), [n]]).astype(np.int64)
+                    for k, n in (("toxic", own.words.n_toxic), ("clean", own.words.n_clean))]
+            at = np.nonzero(both[0] + both[1])[0]
+            for a in range(0, len(at), 10_000):
+                k = at[a:a + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(both[0][k]), pa.array(both[1][k])],
+                                                 schema=EVIDENCE)
+
+    parts = labelled.select("text", "y").mapInArrow(count, "bucket int, toxic long, clean long")
+    sums = parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    model = ToxicityModel()
+    at = sums.column("bucket").to_numpy()
+    for k in ("toxic", "clean"):
+        dense = np.zeros(_WORD_TABLE + _GRAM_TABLE + 1)
+        dense[at] = sums.column(k).to_numpy()
+        setattr(model.words, k, dense[:_WORD_TABLE].astype(np.float32))
+        setattr(model.grams, k, dense[_WORD_TABLE:-1].astype(np.float32))
+        setattr(model.words, "n_" + k, int(dense[-1]))
+        setattr(model.grams, "n_" + k, int(dense[-1]))
+    return model
+
+
+def chosen_cut(labelled: DataFrame, model: ToxicityModel) -> float:
+    """The cut with the best F1 over all rows (text, y) of ``counted``; each
+    is scored by the evidence of the others."""
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("y", pa.int32()), ("logit", pa.float64())])
+
+    def score(batches):
+        for batch in batches:
+            for a, b in pieces(batch.column("text")):
+                texts, y = (batch.column(c).slice(a, b - a).to_pylist() for c in ("text", "y"))
+                for label in (0, 1):
+                    own = [t for t, v in zip(texts, y) if v == label]
+                    s = sent.value.worst_logits(own, label)
+                    s = s[~np.isnan(s)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), label, np.int32)), pa.array(s)], schema=schema)
+
+    bins = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("logit") / BIN))).cast("int").alias("bin")
+    rows = (labelled.select("text", "y").mapInArrow(score, "y int, logit double")
+            .groupBy(bins).agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic"))).collect()
+    return histogram_cut(*(np.array([r[k] for r in rows], np.int64) for k in ("bin", "clean", "toxic")))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", sample: int = SAMPLE, parts: int = 3) -> ToxicityModel:
-    """A model from labelled documents that are not held out: a bounded sample
-    of either class reaches the driver."""
+    """A model from all labelled documents that are not held out: their
+    evidence and their scores' histogram, and a bounded sample of either class
+    that reaches the driver for the network."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), parts)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    taken = None
+    able = doc_columns(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts))
+    # The same join at every size: a few labels would be broadcast, many not.
+    labelled = materialize(able.join(marked.hint("shuffle_hash"), "doc_id"))
+    ids, taken = labelled.select("doc_id", "y").distinct(), None
     for y in (0, 1):
-        one = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        one = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         taken = one if taken is None else taken.unionByName(one)
-    # At most 2 * sample rows of two numbers: bounded, so broadcast.
-    rows = (doc_columns(docs, id_col, text_col).join(F.broadcast(taken), "doc_id")
+    # At most 2 * sample rows of a number: bounded, so broadcast.
+    rows = (labelled.join(F.broadcast(taken.select("doc_id")), "doc_id")
             .groupBy("doc_id").agg(F.max("text"), F.max("y")).collect())  # of repeated ids one text
     rows = sorted(((r[0], bytes(r[1]), r[2]) for r in rows), key=lambda r: (r[0], r[1]))
-    return ToxicityModel().fit([r[1] for r in rows], [r[2] for r in rows])
+    if len({r[2] for r in rows}) < 2:
+        return ToxicityModel()
+    model = counted(labelled).fit([r[1] for r in rows], [r[2] for r in rows])
+    if model.cut is not None:
+        model.cut = chosen_cut(labelled, model)
+    return model
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

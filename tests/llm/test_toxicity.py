@@ -95,3 +95,59 @@ def test_awkward_rows_and_empty_tables(spark):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     assert T.train(awkward(spark), labels).cut is None
     assert T.train(empty(spark), labels.limit(0)).cut is None
+
+
+def common(n=1500, seed=3):
+    """One class is eight times the other; a hint in a few clean texts, too."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    out = []
+    for i in range(n):
+        y = int(i % 9 == 0)
+        hint = rng.random() < (0.9 if y else 0.1)
+        out.append((i, " ".join([word() for _ in range(12)] + ["zork"] * hint), y))
+    return out
+
+
+def test_evidence_and_cut_come_from_all_training_rows(spark):
+    rows = common()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    own = [(t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = T.train(docs, labels, sample=60)  # both classes hit the bound
+    whole = T.ToxicityModel()
+    whole.count([t for t, _ in own], [y for _, y in own])
+    assert (model.words.n_toxic, model.words.n_clean) == (sum(y for _, y in own), sum(1 - y for _, y in own))
+    for a, b in ((model.words, whole.words), (model.grams, whole.grams)):
+        assert (a.n_toxic, a.n_clean) == (b.n_toxic, b.n_clean)
+        assert (a.toxic == b.toxic).all() and (a.clean == b.clean).all()
+    # No other cut is better on all rows, by the evidence of the others.
+    y = np.array([y for _, y in own])
+    s = np.zeros(len(own))
+    for label in (0, 1):
+        s[y == label] = model.worst_logits([t for t, v in own if v == label], label)
+    f1 = lambda cut: 2 * y[s >= cut].sum() / ((s >= cut).sum() + y.sum())
+    best = max(f1(c) for c in np.arange(-T.BINS, T.BINS + 1) * T.BIN)
+    assert abs(f1(model.cut) - best) < 1e-9
+
+
+def test_histogram_cut_is_the_best_cut():
+    rng = np.random.default_rng(0)
+    y = (rng.random(5000) < 0.1).astype(int)
+    s = rng.standard_normal(5000) + 2 * y
+    b = np.floor(s / T.BIN).astype(int)
+    bins = np.unique(b)
+    cut = T.histogram_cut(bins, *(np.array([((b == k) & (y == v)).sum() for k in bins]) for v in (0, 1)))
+    f1 = lambda c: 2 * y[s >= c].sum() / ((s >= c).sum() + y.sum())
+    assert f1(T.best_cut(s, y)) - 0.01 < f1(cut) <= f1(T.best_cut(s, y)) + 1e-12
+
+
+def test_count_ignores_neighbours_and_repeats():
+    docs = [(b"a b b zork", 1), (b"", 0), (b"zork a", 0), (b"b", 1)]
+    together, apart = T.ToxicityModel(), T.ToxicityModel()
+    together.count([t for t, _ in docs], [y for _, y in docs])
+    for t, y in docs:
+        apart.count([t], [y])
+    assert together.words.n_toxic == 2 and together.words.n_clean == 1
+    assert (together.words.toxic == apart.words.toxic).all() and (together.grams.clean == apart.grams.clean).all()
+    assert together.words.toxic.max() == 2

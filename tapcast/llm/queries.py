@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapcast.llm import (archive, decontamination, near_duplicates, packing, recurrent_lm, repeats,
-                         sharding, syncmers, token_blocks, toxicity)
+                         sharding, syncmers, target_sampling, token_blocks, toxicity)
 from tapcast.llm.common import shared_path, table, tokenizer_path
 from tapcast.llm.oracle import ORACLE_SQL  # noqa: F401
 from tapcast.session import materialize
@@ -72,6 +72,11 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_token_blocks, op3_toxicity, op4_bagminhash, op5_recurrent_lm,
-    op6_virtual_slots, op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling)}
+    op6_virtual_slots, op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling, op13_target_resampling)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapcast.llm import (archive, decontamination, near_duplicates, packing, recurrent_lm, repeats,
+from tapcast.llm import (archive, bpe_replay, decontamination, near_duplicates, packing, recurrent_lm, repeats,
                          sharding, syncmers, target_sampling, token_blocks, toxicity)
 from tapcast.llm.common import shared_path, table, tokenizer_path
 from tapcast.llm.oracle import ORACLE_SQL  # noqa: F401
@@ -72,6 +72,17 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents")).drop("h")
 
 
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_replay.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
+                              public_pattern())
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_sampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_features", "weight", "score", "rank")
@@ -79,4 +90,5 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_token_blocks, op3_toxicity, op4_bagminhash, op5_recurrent_lm,
-    op6_virtual_slots, op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling, op13_target_resampling)}
+    op6_virtual_slots, op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling,
+    op11_merge_replay, op13_target_resampling)}

@@ -53,32 +53,26 @@ BUCKET = 64 << 20
 #: A space after a character that is no white space always starts a new word.
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
+#: Marks that may follow a word; they are one word then.
+MARKS = ".,;:!?|%$&*#\"()"
 
 
 class Vocabulary:
-    """Token bytes and ranks of a file of base64 tokens with their ranks."""
+    """Ranks of tokens, all single bytes among them."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(token): int(n) for token, n in (line.split() for line in f if line.strip())}
+    def __init__(self, rank: dict[bytes, int]) -> None:
+        self.rank = rank
         self.token = {n: t for t, n in self.rank.items()}
-        self.single = np.array([self.rank[bytes([b])] for b in range(256)])
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.byte_pairs = np.array([[self.pair(int(a), int(b)) for b in self.single] for a in self.single])
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two tokens' merge; -1 if they don't merge."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.rank.get(self.token[a] + self.token[b], -1)
-        return got
+        self.singles = [bytes([b]) for b in range(256)]
+        # The rank of two bytes' merge; -1 if they don't merge.
+        self.byte_pairs = np.array([[self.rank.get(a + b, -1) for b in self.singles] for a in self.singles])
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """A file of base64 tokens with their ranks."""
+    with open(path, "rb") as f:
+        return Vocabulary({base64.b64decode(token): int(n) for token, n in (line.split() for line in f if line.strip())})
 
 
 def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
@@ -89,57 +83,58 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     first = np.concatenate([[0], ends[:-1] + 1])
     rank = v.byte_pairs[data[:-1], data[1:]]
     rank[ends - 1] = rank[ends[:-1]] = -1
-    symbol = v.single[data]
-    symbol[ends] = -1
-    symbol, behind, before = symbol.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-    before[0] = n - 1  # the last barrier
+    # Each symbol's bytes, the places of its neighbours, and the rank of its
+    # pair with the next one; barriers are empty.
+    symbol = [v.singles[x] for x in data.tolist()]
+    for e in ends.tolist():
+        symbol[e] = b""
+    behind, before, ranked = list(range(1, n + 1)), list(range(-1, n - 1)), rank.tolist() + [-1]
     starts, at = first.tolist(), np.nonzero(rank >= 0)[0]
     at = at[np.argsort(rank[at], kind="stable")]
     kinds, cut = np.unique(rank[at], return_index=True)
     index = {int(k): p.tolist() for k, p in zip(kinds, np.split(at, cut[1:]))} if len(at) else {}
     heap = list(index)
     heapify(heap)
-    pair = v.pair
+    of, token = v.rank.get, v.token
     while heap:
         r = heappop(heap)
-        positions = index.pop(r, None)
-        if positions is None:
-            continue
+        positions, made = index.pop(r), token[r]
         positions.sort()
         waiting: set[int] = set()
         later = []
         for p in positions:
-            left = symbol[p]
-            if left < 0:
-                continue
-            q = behind[p]
-            if symbol[q] < 0 or pair(left, symbol[q]) != r:
+            if ranked[p] != r:
                 continue
             if waiting and bisect_right(starts, p) in waiting:
                 later.append(p)
                 continue
-            symbol[p], symbol[q] = r, -1
+            q = behind[p]
             after = behind[p] = behind[q]
-            before[after] = p
+            before[after], symbol[p], ranked[q], ranked[p] = p, made, -1, -1
             lead = before[p]
-            for x, new in ((lead, pair(symbol[lead], r) if symbol[lead] >= 0 else -1),
-                           (p, pair(r, symbol[after]) if symbol[after] >= 0 else -1)):
-                if new >= 0:
-                    if new in index:
-                        index[new].append(x)
-                    else:
-                        index[new] = [x]
-                        heappush(heap, new)
-                    if new < r:
-                        waiting.add(bisect_right(starts, p))
+            for x, pair in ((lead, symbol[lead] + made if symbol[lead] else None),
+                            (p, made + symbol[after] if symbol[after] else None)):
+                new = of(pair)
+                if new is None:
+                    if pair:
+                        ranked[x] = -1
+                    continue
+                ranked[x] = new
+                if new in index:
+                    index[new].append(x)
+                else:
+                    index[new] = [x]
+                    heappush(heap, new)
+                if new < r:
+                    waiting.add(bisect_right(starts, p))
         if later:
-            index.setdefault(r, []).extend(later)
+            index[r] = later
             heappush(heap, r)
     out = []
     for p, end in zip(starts, ends.tolist()):
         ids = []
         while p < end:
-            ids.append(symbol[p])
+            ids.append(of(symbol[p]))
             p = behind[p]
         out.append(ids)
     return out
@@ -167,9 +162,19 @@ class _Chunks(dict):
     def __init__(self, pattern: str) -> None:
         self.find, self.numbers = regex.compile(pattern).findall, _Numbers()
 
+    def number(self, word: str) -> bytes:
+        return self.numbers[word].to_bytes(4, "little")
+
     def __missing__(self, chunk: str) -> bytes:
-        found = self.find(chunk)
-        out = np.fromiter(map(self.numbers.__getitem__, found), "<i4", len(found)).tobytes()
+        core = chunk.rstrip(MARKS)
+        word = core[1:] if core[:1] == " " else core
+        line, _, next_line = chunk.partition("\n")
+        if word.isalpha() and max(word) < "\u0250":  # what most chunks are: a word, and marks
+            out = self.number(core) + self.number(chunk[len(core):]) if len(core) < len(chunk) else self.number(core)
+        elif line and next_line and not (line[-1].isspace() or next_line[0].isspace()):  # the break is a word
+            out = self[line] + self.number("\n") + self[next_line]
+        else:
+            out = b"".join(map(self.number, self.find(chunk)))
         if len(chunk) <= 64:
             self[chunk] = out
         return out

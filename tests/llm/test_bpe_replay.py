@@ -54,11 +54,7 @@ def test_replay_merges_in_the_order_of_the_plain_encoder(words, rng):
     tokens += [x + y for x in tokens for y in (b"a", b"b", b"ab", b"ca")]
     tokens = list(dict.fromkeys(tokens))
     rng.shuffle(tokens)
-    v = bpe_replay.Vocabulary.__new__(bpe_replay.Vocabulary)
-    v.rank = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(tokens)}
-    v.token = {n: t for t, n in v.rank.items()}
-    v.single, v.pairs = np.arange(256), {}
-    v.byte_pairs = np.array([[v.pair(a, b) for b in range(256)] for a in range(256)])
+    v = bpe_replay.Vocabulary({bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(tokens)})
     assert bpe_replay.replay(words, v) == [lowest_first(w, v.rank) for w in words]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapcast.llm import (archive, bpe_replay, decontamination, near_duplicates, packing, recurrent_lm, repeats,
-                         sharding, syncmers, target_sampling, token_blocks, toxicity)
+                         sharding, syncmers, target_sampling, token_alignment, token_blocks, toxicity)
 from tapcast.llm.common import shared_path, table, tokenizer_path
 from tapcast.llm.oracle import ORACLE_SQL  # noqa: F401
 from tapcast.session import materialize
@@ -83,6 +83,11 @@ def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_pattern())
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                   tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_sampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_features", "weight", "score", "rank")
@@ -91,4 +96,4 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_token_blocks, op3_toxicity, op4_bagminhash, op5_recurrent_lm,
     op6_virtual_slots, op7_content_archive, op8_syncmers, op9_decontamination, op10_prefix_doubling,
-    op11_merge_replay, op13_target_resampling)}
+    op11_merge_replay, op12_token_alignment, op13_target_resampling)}

@@ -3,11 +3,14 @@ and cached tokenization."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import unicodedata
 import uuid
 import zipfile
+from collections.abc import Callable
 from hashlib import blake2b
 from pathlib import Path
 
@@ -20,7 +23,32 @@ from tapcast.session import ensure_checkpoint_dir
 #: Words per shingle and the similarity that makes a near duplicate.
 SHINGLE, SIMILAR = 5, 0.8
 #: Entries a per-process cache holds before it is emptied (bounded memory).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES, TOKEN_ENTRIES = 500_000, 800_000
+#: What this process keeps between tasks, and how to empty it.
+_KEPT: dict[str, Callable[[], None]] = {}
+_OWNER: tuple[str, ...] = ()
+
+
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    """Say that this process keeps something between tasks under a name."""
+    _KEPT[name] = clear
+
+
+def claim(*names: str) -> None:
+    """Called as a task starts: empties what workers that are used again still
+    keep for other operators, and gives free memory back to the machine. What
+    a stage's tasks share stays."""
+    global _OWNER
+    if names == _OWNER:
+        return
+    _OWNER = names
+    for name, clear in _KEPT.items():
+        if name not in names:
+            clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +110,7 @@ class _WordHashes(dict):
 
 
 _WORDS = _WordHashes()
+keeps("words", _WORDS.clear)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -150,7 +179,7 @@ class TokenEncoder(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= TOKEN_ENTRIES:
             self.clear()
         core = chunk.rstrip(_MARKS)
         if 0 < len(core) < len(chunk) and core.decode("utf-8", "replace")[-1].isalpha():
@@ -169,10 +198,12 @@ class TokenEncoder(dict):
 
 
 _ENCODERS: dict[str, TokenEncoder] = {}
+keeps("tokens", _ENCODERS.clear)
 
 
 def token_encoder(path: str) -> TokenEncoder:
-    """This process's encoder for the file; it lives as long as the worker."""
+    """This process's encoder for the file; other operators' tasks drop it."""
+    claim("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = TokenEncoder(path)
     return _ENCODERS[path]

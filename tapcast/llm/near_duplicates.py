@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import (SHINGLE, SIMILAR, doc_columns, mix, multiset_similarity,
+from tapcast.llm.common import (SHINGLE, SIMILAR, claim, doc_columns, mix, multiset_similarity,
                                 shingle_hashes, word_hashes)
 from tapcast.llm.components import components
 from tapcast.session import materialize
@@ -148,6 +148,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     band keys and signature. Wordless texts have no bands."""
 
     def sign(batches):
+        claim("words")
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, batch.num_rows, 256):
@@ -194,6 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
 
     def exact(batches):
+        claim("words")
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("ta"), batch.column("tb")):
@@ -273,6 +275,7 @@ def _bucket_links(rest: DataFrame, texts: DataFrame, size: int, threshold: float
                                            pa.array([nodes[y] for _, y in found], pa.binary())], names=["a", "b"])
 
     def compared(batches):
+        claim("words")
         rows = None
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if rows is None else pa.concat_tables([rows, pa.Table.from_batches([batch])])

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tapcast.llm.common import doc_columns, mix, ship_package, utf8
+from tapcast.llm.common import claim, doc_columns, mix, ship_package, utf8
 from tapcast.session import materialize
 
 #: Bytes of the string a sampled rank names: a power of two.
@@ -92,6 +92,7 @@ def _sample_rows(texts: DataFrame, length: int) -> DataFrame:
     settled repeats, and their g is a hash of the position instead."""
 
     def sampled(batches):
+        claim()
         held, size = [], 0
 
         def flush():

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import CACHE_ENTRIES, _byte_chars, doc_columns, mix
+from tapcast.llm.common import CACHE_ENTRIES, _byte_chars, claim, doc_columns, keeps, mix
 from tapcast.session import materialize
 
 #: Pairs of a shard; slots of a vector's block; vectors summed at once.
@@ -210,10 +210,19 @@ class Aligner:
 
 
 @lru_cache(maxsize=1)
-def aligner(a_path: str, b_path: str) -> Aligner:
+def _loaded(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
+keeps("alignments", _loaded.cache_clear)
+
+
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """This process's aligner; other operators' tasks drop it."""
+    claim("alignments")
+    return _loaded(a_path, b_path)
+
+
 _LINKS, _GROUPS, _SIZES = itemgetter(0), itemgetter(1), itemgetter(2)
 
 

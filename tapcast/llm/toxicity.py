@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import doc_columns, mix, ship_package
+from tapcast.llm.common import claim, doc_columns, mix, ship_package
 from tapcast.session import materialize
 
 #: Most training documents of either class.
@@ -457,6 +457,7 @@ def counted(labelled: DataFrame) -> ToxicityModel:
     sends what it counted by bucket; the sums are bounded by the tables."""
 
     def count(batches):
+        claim()
         own, some = ToxicityModel(), False
         for batch in batches:
             for a, b in pieces(batch.column("text")):
@@ -493,6 +494,7 @@ def chosen_cut(labelled: DataFrame, model: ToxicityModel) -> float:
     schema = pa.schema([("y", pa.int32()), ("logit", pa.float64())])
 
     def score(batches):
+        claim()
         for batch in batches:
             for a, b in pieces(batch.column("text")):
                 texts, y = (batch.column(c).slice(a, b - a).to_pylist() for c in ("text", "y"))
@@ -544,6 +546,7 @@ def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
+        claim()
         for batch in batches:
             size = np.cumsum([len(t.as_buffer()) for t in batch.column("text")])
             a = 0
@@ -564,6 +567,7 @@ def kept(docs: DataFrame, model: ToxicityModel, text_col: str = "text", chunk: i
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def under(batches):
+        claim()
         for batch in batches:
             texts = [b"" if t is None else t for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             size = np.cumsum([len(t) for t in texts])

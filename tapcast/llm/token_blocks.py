@@ -50,9 +50,7 @@ def encode_segment(ids: np.ndarray, percentile: float = 0.9, block: int = BLOCK)
     for w in np.unique(width):
         which = np.nonzero(width == w)[0]
         part = rest[which]
-        bits = np.unpackbits(part.astype("<u4").view(np.uint8).reshape(len(which), block, 4),
-                             axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+        packed = _packed(part, int(w))
         over = part >> np.uint64(w) > 0
         for i, b in enumerate(which):
             pos = np.nonzero(over[i])[0]
@@ -77,14 +75,36 @@ def _patched(rest: np.ndarray, body: bytes, packed: int, width: int, n_exc: int)
     return rest
 
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values to rows of bytes: ``width`` low bits each. Eight values
+    fill ``width`` bytes; they are put together in 64-bit words."""
+    n, block = values.shape
+    eights = -(-block // 8)
+    full = np.zeros((n, eights * 8), np.uint64)
+    full[:, :block] = values & np.uint64((1 << width) - 1)
+    full = full.reshape(n, eights, 8)
+    words = np.zeros((n, eights, 4), "<u8")
+    for k in range(8):
+        word, bit = divmod(k * width, 64)
+        words[:, :, word] |= full[:, :, k] << np.uint64(bit)
+        if bit + width > 64:
+            words[:, :, word + 1] |= full[:, :, k] >> np.uint64(64 - bit)
+    out = words.view(np.uint8).reshape(n, eights, 32)[:, :, :width]
+    return np.ascontiguousarray(out).reshape(n, -1)[:, :-(-block * width // 8)]
+
+
 def _unpacked(data: np.ndarray, block: int, width: int) -> np.ndarray:
-    """Rows of packed bytes to rows of ``block`` values."""
+    """Rows of packed bytes to rows of ``block`` values: each is read from the
+    64-bit word at its first byte."""
     if not width:
         return np.zeros((len(data), block), np.uint32)
-    bits = np.unpackbits(data, axis=1, bitorder="little", count=block * width)
-    wide = np.zeros((len(data), block, 32), np.uint8)
-    wide[:, :, :width] = bits.reshape(len(data), block, width)
-    return np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    size = data.shape[1] + 8
+    flat = np.zeros((len(data), size), np.uint8)
+    flat[:, :-8] = data
+    words = np.ndarray(len(data) * size - 7, "<u8", flat, strides=(1,))
+    bit = np.arange(block) * width
+    at = (np.arange(len(data)) * size)[:, None] + (bit >> 3)
+    return (words[at] >> (bit & 7).astype(np.uint64) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def decode_block(payload: bytes, k: int) -> np.ndarray:

@@ -2,25 +2,27 @@
 
 The attention cost of a piece of n tokens is ``linear * n + quadratic * n * n``
 (documents do not attend to each other). Documents are dealt by a hash of
-their id into groups of about ``GROUP_TOKENS`` tokens. Within a group the
+their id, text and place into groups of about ``GROUP_TOKENS`` tokens, however
+many rows one id has. Within a group the
 number of sequences follows from its tokens: full ones, then a tail whose
 lengths are powers of two, so that nothing is padded. Documents go, longest
 first, to the sequence of lowest cost that still has room for them; a document
 longer than a sequence is first cut into full pieces, and one that fits nowhere
 whole is cut into the largest rooms that are left.
 
-Cases: a null text counts as empty (one end id); a null id is its own group
-key; equal lengths go by id; repeated rows are packed each; an empty table
+Cases: a null text counts as empty (one end id); a null id comes back null;
+equal lengths go by id; repeated rows are packed each; an empty table
 gives no pieces.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,24 +74,30 @@ def pack(lengths: np.ndarray, capacity: int, linear: float = LINEAR,
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary): whole texts as little-endian unsigned 32-bit ids,
-    or 16-bit ones where all ids fit, and the end id."""
+    """(doc_id, width, ids binary, salt): whole texts as little-endian unsigned
+    32-bit ids, or 16-bit ones where all ids fit, and the end id. The salt
+    tells rows of one id, and copies of one row, apart."""
     end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("salt", pa.int64())])
 
     def encoded(batches):
-        enc = token_encoder(tokenizer)
+        enc, part, copies = token_encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         narrow = max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16
         for batch in batches:
             ids = [enc.ids(t.as_py()) + end for t in batch.column("text")]
+            salt = []
+            for i, x in zip(batch.column("doc_id").to_pylist(), ids):
+                own = (i, zlib.crc32(x))
+                salt.append(own[1] << 31 ^ copies[own] << 16 ^ part)
+                copies[own] += 1
             if narrow:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             width = pa.array([2 if narrow else 4] * len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), width, pa.array(ids, pa.binary())],
-                                             schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), width, pa.array(ids, pa.binary()),
+                                              pa.array(salt, pa.int64())], schema=schema)
 
     return (doc_columns(docs, id_col, text_col)
-            .mapInArrow(encoded, "doc_id long, width int, ids binary"))
+            .mapInArrow(encoded, "doc_id long, width int, ids binary, salt long"))
 
 
 def group_count(docs: DataFrame, text_col: str = "text") -> int:
@@ -106,26 +114,25 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096,
     offset, sequence_length, and ids (little-endian unsigned 32-bit) if asked
     for. One exchange of the ids by group; each group packs on its own."""
     n = group_count(docs, text_col)
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(n))
+    group = F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
-             "sequence_length"] + ["ids"] * with_ids
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
-        ids = [np.frombuffer(x, "<u2" if w == 2 else "<u4") for x, w in zip(rows["ids"], rows["width"])]
+             "sequence_length"]
+    schema = pa.schema([(c, pa.int64()) for c in names] + [("ids", pa.binary())] * with_ids)
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        doc_ids, raw = rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()
+        order = sorted(range(len(raw)), key=lambda k: (doc_ids[k] is not None, doc_ids[k] or 0, raw[k]))
+        width = rows.column("width").to_pylist()
+        ids = [np.frombuffer(raw[k], "<u2" if width[k] == 2 else "<u4") for k in order]
         sizes = np.array([len(x) for x in ids], np.int64)
         p = pack(sizes, capacity, linear, quadratic)
         doc, start, length, seq, offset = p.T
         cut = [ids[d][s:s + k].astype("<u4").tobytes() for d, s, k in p[:, :3]]
         held = np.bincount(seq, weights=length).astype(np.int64)
-        out = pd.DataFrame({
-            "doc_id": rows["doc_id"].to_numpy()[doc], "start": start, "length": length,
-            "ids_crc32": [zlib.crc32(x) for x in cut], "doc_tokens": sizes[doc],
-            "sequence_id": (int(key[0]) << 32) + seq, "offset": offset, "sequence_length": held[seq]})
-        if with_ids:
-            out["ids"] = cut
-        return out.astype({"doc_id": "Int64"})
-
-    ddl = ", ".join(f"{c} long" for c in names[:8]) + ", ids binary" * with_ids
+        cols = [[doc_ids[order[d]] for d in doc], start, length, [zlib.crc32(x) for x in cut], sizes[doc],
+                (key[0].as_py() << 32) + seq, offset, held[seq]] + [cut] * with_ids
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    ddl = ", ".join(f"{c} long" for c in names) + ", ids binary" * with_ids
     return (tokenized(docs, tokenizer, end_id, id_col, text_col).withColumn("g", group)
-            .groupBy("g").applyInPandas(one, ddl))
+            .groupBy("g").applyInArrow(one, ddl))

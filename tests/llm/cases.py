@@ -8,7 +8,7 @@ ROWS = [
     (None, "a null id has a text of its own"), (1, None), (2, ""), (3, LONG),
     (4, "one two three four five six seven"), (4, "one two three four five six seven"),
     (4, "another text of the same id"), (5, "one two three four five six seven"),
-    (6, "!!! ???"), (7, "für 漢字 ñandú 🙂 ½ it's"), (8, "word"), (9, " \t\n "), (None, None),
+    (2**53 + 1, "a large id"), (2**53 + 3, "another large id"), (6, "!!! ???"), (7, "für 漢字 ñandú 🙂 ½ it's"), (8, "word"), (9, " \t\n "), (None, None),
 ]
 CLASHING = ["h", "g", "node", "score", "shard", "slot", "start", "length", "label", "rest", "count", "k"]
 

@@ -69,3 +69,15 @@ def test_awkward_rows_and_empty_table(spark):
 def test_sequence_lengths_add_up(tokens):
     s = packing.sequence_lengths(tokens, 4096)
     assert s.sum() == tokens and all(x == 4096 or x & (x - 1) == 0 for x in s)
+
+
+def test_ids_beside_a_null_id_and_many_copies(spark, monkeypatch):
+    rows = [(None, "no id")] + [(2**53 + k, f"text {k}") for k in range(1, 8)] + [(5, "a copy of one row")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.packed(docs, tokenizer_path(), 2).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+    assert sum(r.length for r in got) == sum(len(exact(t)) + 1 for _, t in rows)
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 64)  # the copies go to several groups
+    got = packing.packed(docs, tokenizer_path(), 2).collect()
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == 5}) > 2
+    assert sum(r.length for r in got) == sum(len(exact(t)) + 1 for _, t in rows)

@@ -16,8 +16,9 @@ every distinct word of the corpus is encoded once:
   lowest-rank-first, leftmost-first encoder applies them.
 
 The words' ids go back to the blocks in a second exchange. Blocks are written
-once, bucketed by their number, so their texts don't cross the network. A word
-is one row per block at most, so a word of every document is no hot key.
+once, bucketed by their number, so their texts don't cross the network. Words
+travel by the buckets of a hash, a block's words of one bucket as one string;
+a block sends a word once, so a word of every document is no hot key.
 
 A word that is in the vocabulary is one token without merging. Ids are written
 as little-endian unsigned 32-bit integers. Decoding joins the tokens' bytes.
@@ -36,6 +37,7 @@ from bisect import bisect_right
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import doc_columns, shared_path
+from tapcast.llm.common import claim, doc_columns, keeps, shared_path
 
 #: Text bytes of a block, and symbols that are merged side by side.
 BLOCK, SYMBOLS = 16 << 20, 400_000
@@ -69,12 +71,20 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """A file of base64 tokens with their ranks."""
+def _read(path: str) -> Vocabulary:
     with open(path, "rb") as f:
         return Vocabulary({base64.b64decode(token): int(n) for token, n in (line.split() for line in f if line.strip())})
 
 
+keeps("ranks", _read.cache_clear)
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """A file of base64 tokens with their ranks, kept by this process."""
+    claim("ranks")
+    return _read(path)
+
+
 def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     """Ids of words, all merged together in rank order."""
     data = np.frombuffer(b"\x00".join(words) + b"\x00", np.uint8)
@@ -157,52 +167,83 @@ class _Numbers(dict):
 
 
 class _Chunks(dict):
-    """Chunk of a text -> the numbers of its words, as bytes."""
+    """Chunk of a text -> the numbers of its words, as bytes. The chunks that
+    follow a space are kept without it in ``spaced``."""
 
-    def __init__(self, pattern: str) -> None:
-        self.find, self.numbers = regex.compile(pattern).findall, _Numbers()
+    def __init__(self, pattern: str, lead: str = "", numbers: _Numbers | None = None) -> None:
+        self.find, self.lead = regex.compile(pattern).findall, lead
+        self.numbers = _Numbers() if numbers is None else numbers
+        self.spaced = self if lead else _Chunks(pattern, " ", self.numbers)
 
     def number(self, word: str) -> bytes:
         return self.numbers[word].to_bytes(4, "little")
 
     def __missing__(self, chunk: str) -> bytes:
-        core = chunk.rstrip(MARKS)
-        word = core[1:] if core[:1] == " " else core
-        line, _, next_line = chunk.partition("\n")
-        if word.isalpha() and max(word) < "\u0250":  # what most chunks are: a word, and marks
-            out = self.number(core) + self.number(chunk[len(core):]) if len(core) < len(chunk) else self.number(core)
-        elif line and next_line and not (line[-1].isspace() or next_line[0].isspace()):  # the break is a word
-            out = self[line] + self.number("\n") + self[next_line]
-        else:
-            out = b"".join(map(self.number, self.find(chunk)))
+        out = self.split(self.lead + chunk)
         if len(chunk) <= 64:
             self[chunk] = out
         return out
 
+    def split(self, chunk: str) -> bytes:
+        core = chunk.rstrip(MARKS)
+        word = core[1:] if core[:1] == " " else core
+        if word.isalpha() and max(word) < "\u0250":  # what most chunks are: a word, and marks
+            return self.number(core) + self.number(chunk[len(core):]) if len(core) < len(chunk) else self.number(core)
+        line, _, next_line = chunk.partition("\n")
+        if line and next_line and not (line[-1].isspace() or next_line[0].isspace()):  # the break is a word
+            return self.split(line) + self.number("\n") + self.split(next_line)
+        return b"".join(map(self.number, self.find(chunk)))
+
     def of(self, text: str) -> bytes:
         if ODD.search(text) or text[:1] == " ":
             return b"".join(map(self.__getitem__, CUT.split(text)))
         head, *rest = text.split(" ")
-        return b"".join(chain([self[head]], [self[" " + x] for x in rest]))
+        return b"".join(chain([self[head]], map(self.spaced.__getitem__, rest)))
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                    ("numbers", pa.binary()), ("words", pa.list_(pa.binary()))])
-BLOCKS_DDL = "block long, doc_ids array<long>, sizes array<int>, numbers binary, words array<binary>"
+                    ("numbers", pa.binary()), ("buckets", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
+BLOCKS_DDL = ("block long, doc_ids array<long>, sizes array<int>, numbers binary, buckets array<int>, "
+              "words array<binary>")
+
+
+def joined(parts: list[bytes]) -> bytes:
+    """Byte strings with their lengths in front."""
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def parted(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    ends = (4 * n + 4 + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([4 * n + 4, *ends], ends)]
 
 
 def blocks_of(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per block of documents: each one's words as numbers (little-
     endian int32), and the block's distinct words in the order of their
-    numbers. Written once as a table bucketed by block."""
+    numbers, by buckets of a hash. Written once as a table bucketed by block."""
     spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    total = int(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
+    parts_wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
+    n_buckets = 4 * parts_wanted  # several a task, to even them out
 
     def cut(batches):
+        claim()
         part, seq, ids, parts, size, chunks = TaskContext.get().partitionId(), 0, [], [], 0, _Chunks(pattern)
 
         def row():
-            cols = [[(part << 32) + seq], [ids], [[len(p) // 4 for p in parts]], [b"".join(parts)],
-                    [[w.encode() for w in chunks.numbers]]]
+            words = [w.encode() for w in chunks.numbers]
+            bucket = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            number = np.empty(len(words), "<i4")
+            number[order] = np.arange(len(words))
+            held, first = np.unique(bucket[order], return_index=True)
+            order = order.tolist()
+            data = [joined([words[k] for k in order[a:b]]) for a, b in zip(first, [*first[1:], len(words)])]
+            numbers = number[np.frombuffer(b"".join(parts), "<i4")].tobytes()
+            cols = [[(part << 32) + seq], [ids], [[len(p) // 4 for p in parts]], [numbers], [held.astype(np.int32)],
+                    [data]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BLOCKS)], schema=BLOCKS)
 
         for batch in batches:
@@ -217,77 +258,83 @@ def blocks_of(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: s
         if ids:
             yield row()
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    total = int(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     name = f"tapcast_blocks_{uuid.uuid4().hex}"
-    (doc_columns(docs, id_col, text_col).mapInArrow(cut, BLOCKS_DDL).write.bucketBy(buckets, "block")
+    (doc_columns(docs, id_col, text_col).mapInArrow(cut, BLOCKS_DDL).write.bucketBy(parts_wanted, "block")
      .option("compression", "zstd").option("path", shared_path(spark, "blocks")).saveAsTable(name))
     return spark.table(name)
 
 
 # -- encoding and decoding --------------------------------------------------
 
-IDS = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("ids", pa.binary())])
+IDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, pos, ids) from (block, pos, word): every distinct word is
-    encoded once, in the task that all its rows go to."""
+    """(block, bucket, ids) from (block, bucket, words): every distinct word
+    is encoded once, in the task that all its bucket's rows go to."""
 
     def run(batches):
-        v, known, held, size = vocabulary(path), {}, [], 0
-
-        def flush():
-            nonlocal known
-            column = pa.chunked_array([b.column("word") for b in held]).to_pylist()
-            new = [w for w in dict.fromkeys(column) if w not in known]
-            known = known | dict(zip(new, encode_words(new, v)))
-            for b in held:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("block"), b.column("pos"), pa.array([known[w] for w in b.column("word").to_pylist()],
-                                                                  pa.binary())], schema=IDS)
-            known = {column[-1]: known[column[-1]]}  # rows of one word may go on
+        v, held, size = vocabulary(path), [], 0
+
+        def done(rows):
+            """Ids of rows of whole buckets."""
+            own = [parted(w) for _, _, w in rows]
+            new = list(dict.fromkeys(chain.from_iterable(own)))
+            ids, a, size = {}, 0, 0
+            for k, w in enumerate(new):
+                size += len(w)
+                if size >= SYMBOLS or k + 1 == len(new):
+                    ids.update(zip(new[a:k + 1], encode_words(new[a:k + 1], v)))
+                    a, size = k + 1, 0
+            out = [joined(list(map(ids.__getitem__, x))) for x in own]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(IDS)[:2])]
+                + [pa.array(out, pa.binary())], schema=IDS)
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.column("word").nbytes
-            if size >= SYMBOLS:
-                yield from flush()
-                held, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words"))):
+                if size >= SYMBOLS and row[1] != held[-1][1]:
+                    yield done(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[2])
         if held:
-            yield from flush()
+            yield done(held)
 
-    return (words.repartition("word").sortWithinPartitions("word")
-            .mapInArrow(run, "block long, pos int, ids binary"))
+    return (words.repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(run, "block long, bucket int, ids binary"))
 
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+ENCODED_DDL = "doc_id long, n_tokens long, ids binary"
+
+
+def _documents(row: dict, of: list[bytes]):
+    """A block's documents, some of them at a time."""
+    numbers, at, ids = np.frombuffer(row["numbers"], "<i4"), 0, []
+    for n in row["sizes"]:
+        ids.append(b"".join(map(of.__getitem__, numbers[at:at + n].tolist())))
+        at += n
+    sizes = [len(x) // 4 for x in ids]
+    return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    schema=ENCODED)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens and ids (binary: little-endian
     unsigned 32-bit)."""
     blocks = blocks_of(docs, pattern, id_col, text_col)
-    words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-
-    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("pos").to_numpy())
-        of = right.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
-        tables = []
-        for row in left.to_pylist():
-            numbers, ids, at = np.frombuffer(row["numbers"], "<i4"), [], 0
-            for n in row["sizes"]:
-                ids.append(b"".join([of[k] for k in numbers[at:at + n].tolist()]))
-                at += n
-            tables.append(pa.table([pa.array(row["doc_ids"], pa.int64()),
-                                    pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                                   schema=ENCODED))
-        return pa.concat_tables(tables) if tables else ENCODED.empty_table()
-
-    return (blocks.drop("words").groupBy("block").cogroup(encoded_words(words, path).groupBy("block"))
-            .applyInArrow(joined, "doc_id long, n_tokens long, ids binary"))
+    words = (blocks.select("block", F.explode(F.arrays_zip("buckets", "words")).alias("w"))
+             .select("block", F.col("w.buckets").alias("bucket"), F.col("w.words").alias("words")))
+
+    def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()))
+        of = [x for _, data in by_bucket for x in parted(data)]
+        rows = left.to_pylist()  # one block
+        return pa.concat_tables([_documents(r, of) for r in rows]) if rows else ENCODED.empty_table()
+
+    return (blocks.select("block", "doc_ids", "sizes", "numbers").groupBy("block")
+            .cogroup(encoded_words(words, path).groupBy("block")).applyInArrow(put_back, ENCODED_DDL))
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -297,9 +344,9 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
         raise ValueError(f"{text_col} is a column already")
 
     def run(batches):
-        token = vocabulary(path).token
+        token = vocabulary(path).token.__getitem__
         for batch in batches:
-            out = [None if x is None else b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()])
+            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist()))
                    for x in batch.column(ids_col).to_pylist()]
             yield batch.append_column(text_col, pa.array(out, pa.binary()))
 

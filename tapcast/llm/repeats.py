@@ -20,10 +20,11 @@ sorts (rank, next rank, position), the next rank naming all bytes that any
   compared, to the byte.
 
 Ranks found twice in one input batch are settled there, so a string that fills
-a third of the corpus sends one row per batch to its rank's group. A rank with
-very many edges (a common string in ever new surroundings) is doubled once
-more, before and behind its samples, which drops most as unique; what is still
-crowded is not compared in one task but by grouping the names of its strings.
+a third of the corpus sends one row per batch to its rank's group. For a rank
+with very many edges (a common string in ever new surroundings) doubling goes
+on: the range of starts of the strings around its samples is halved, each half
+ranked by the bytes that all its strings share, unique ones dropped, and what
+is still crowded is halved again, down to single strings.
 
 Cases: a null text is empty; texts shorter than ``length`` keep all bytes; a
 null id sorts first; rows of equal id go by a hash of their text; rows with
@@ -158,8 +159,8 @@ def next_ranks(h: np.ndarray, base: int, n: int, at: np.ndarray, length: int) ->
     return mix(name * _G + h[hi - base])
 
 
-#: Edge samples of one rank that a task compares at once; ranks with more go
-#: by the names of their strings instead.
+#: Edge samples of one rank that a task compares at once; ranks with more are
+#: doubled further.
 GROUP = 4096
 
 
@@ -282,57 +283,65 @@ def _group_slices(g: np.ndarray):
         a = b
 
 
-def _sides(around: DataFrame, length: int) -> DataFrame:
-    """The next doubling step for crowded ranks. A string around a sample holds
-    half of its other bytes before the sample or half behind it, so it is
-    sought among samples that share these bytes too: each sample gives a row
-    for either side, with the side's rank and only the strings that hold it."""
-    half = (length - SEED) // 2
+HALVES = pa.schema([*AROUND, ("first", pa.int32()), ("last", pa.int32())])
+HALVES_DDL = AROUND_DDL + ", first int, last int"
 
-    def split(batches):
-        for batch in batches:
-            out = []
-            rows = (batch.column(c).to_pylist() for c in ("doc", "h", "at", "lo", "around"))
-            for doc, key, at, lo, text in zip(*rows):
-                if at - lo >= half:
-                    name = int.from_bytes(hashlib.blake2b(b"<" + text[at - lo - half:at - lo + SEED], digest_size=8).digest(), "little", signed=True)
-                    out.append((name, doc, key, at, lo, text[:at - half + length - lo]))
-                if len(text) - (at - lo) >= SEED + half:
-                    name = int.from_bytes(hashlib.blake2b(b">" + text[at - lo:at - lo + SEED + half], digest_size=8).digest(), "little", signed=True)
-                    first = max(lo, at - half + 1)
-                    out.append((name, doc, key, at, first, text[first - lo:]))
-            cols = list(zip(*out)) or [[]] * len(AROUND)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, AROUND)], schema=AROUND)
 
-    rows = materialize(around.mapInArrow(split, AROUND_DDL))
-    shared = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return materialize(rows.join(shared, "g"))
-
-
-def _named_repeats(around: DataFrame, length: int) -> DataFrame:
-    """As ``_edge_repeats`` for ranks with any number of edges: the strings'
-    names are grouped, with partial minima where they are made."""
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """Each sample's strings, whose starts are ``first`` to ``last`` after the
+    first one that can hold it, in two halves; a half is named by the bytes
+    that all its strings share. Of equal halves in a batch one goes on; the
+    others are repeats (g null)."""
     span = length - SEED
-    schema = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("a", pa.int32())])
 
-    def named(batches):
+    def split(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                t = batch.slice(k, 1000)
-                at, lo = t.column("at").to_numpy(), t.column("lo").to_numpy()
-                name, ok = edge_names(t.column("around").to_pylist(), lo - (at - span), length)
-                row, col = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[row, col].view(np.int64)), t.column("doc").take(pa.array(row)),
-                     t.column("h").take(pa.array(row)), pa.array((at[row] - span + col).astype(np.int32))],
-                    schema=schema)
-
-    names = around.mapInArrow(named, "name long, doc long, h long, a int").dropDuplicates()
-    names = materialize(names)
-    place = F.struct("doc", "h", "a")
-    lead = names.groupBy("name").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return (names.join(lead, "name").where(~F.col("lead").eqNullSafe(place))
-            .select("doc", "h", "a", F.col("a").alias("b")))
+            out, seen = [], set()
+            items = zip(*(batch.column(c).to_pylist() for c in HALVES.names[1:]))
+            for doc, key, at, lo, text, first, last in sorted(
+                    items, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+                base, half = at - span - lo, (first + last) // 2
+                for a, b in ((first, half), (half + 1, last)):
+                    start, end = max(0, base + a), min(len(text), base + b + length)
+                    if end - start < length:
+                        continue  # the document ends within all of them
+                    name = hashlib.blake2b(text[base + b:base + a + length], digest_size=8, salt=b"%d %d" % (a, b)).digest()
+                    own = text[start:end]
+                    same = (name, start - base, own)
+                    g = None if same in seen else int.from_bytes(name, "little", signed=True)
+                    seen.add(same)
+                    out.append((g, doc, key, at, lo + start, own, a, b))
+            cols = list(zip(*out)) or [[]] * len(HALVES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, HALVES)], schema=HALVES)
+
+    return rows.mapInArrow(split, HALVES_DDL)
+
+
+def _crowded_repeats(around: DataFrame, length: int) -> DataFrame:
+    """As ``_edge_repeats`` for ranks with any number of edges: the doubling
+    goes on. The range of starts is halved step by step; a half whose shared
+    bytes occur once is dropped, small groups are compared, and the crowded
+    ones halved again, down to single strings, so rows follow real matches."""
+    place, found = F.struct("doc", "h", "at"), []
+    rows = around.withColumns({"first": F.lit(0), "last": F.lit(length - SEED)})
+    while rows.limit(1).count():
+        halves = materialize(_halves(rows.select(*HALVES.names), length))
+        found.append(halves.where("g is null").select(
+            "doc", "h", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("around") - length).alias("b")))
+        named = halves.where("g is not null")
+        held = named.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        shared = materialize(named.join(held, "g"))
+        found.append(_edge_repeats(shared.where(F.col("members") <= GROUP).select(*AROUND.names), length))
+        large = shared.where(F.col("members") > GROUP)
+        single = large.where("first = last")
+        lead = single.groupBy("g").agg(F.min(place).alias("lead"))
+        found.append(single.join(lead, "g").where(~F.col("lead").eqNullSafe(place))
+                     .select("doc", "h", F.col("lo").alias("a"), F.col("lo").alias("b")))
+        rows = large.where("first < last")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def merged(a: np.ndarray, b: np.ndarray, n: int, length: int) -> list[tuple[int, int]]:
@@ -383,11 +392,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     found = marks.where("g is null").select("doc", "h", (F.col("at") - (length - SEED)).alias("a"), F.col("at").alias("b"))
     found = found.unionByName(_edge_repeats(around(marks.where(F.col("members") <= GROUP)), length))
     if crowded:
-        sides = _sides(around(marks.where(F.col("members") > GROUP)), length)
-        found = found.unionByName(_edge_repeats(sides.where(F.col("members") <= GROUP).drop("members"), length))
-        sides = sides.where(F.col("members") > GROUP).drop("members")
-        if sides.limit(1).count():
-            found = found.unionByName(_named_repeats(sides, length))
+        found = found.unionByName(_crowded_repeats(around(marks.where(F.col("members") > GROUP)), length))
     lists = found.groupBy("doc", "h").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),

@@ -56,7 +56,8 @@ def test_random_texts_with_and_without_crowded_ranks(spark, monkeypatch, group):
     assert sum(e[2] for e in expected) > 1000
 
 
-def test_named_strings_give_the_same_ranges(spark):
+@pytest.mark.parametrize("group", [0, 3, 40])
+def test_halved_ranks_give_the_same_ranges(spark, monkeypatch, group):
     """The path for ranks that stay crowded, against the one for others."""
     rows = [(i, t[:400]) for i, t in random_rows(8, 40)]
     cut = [(zlib.crc32(t[at:at + 32]), i, 0, at, max(0, at - 68), t[max(0, at - 68):at + L])
@@ -66,7 +67,9 @@ def test_named_strings_give_the_same_ranges(spark):
     def starts(df):
         return {(r.doc, s) for r in df.collect() for s in range(r.a, r.b + 1)}
 
-    assert starts(repeats._named_repeats(around, L)) == starts(repeats._edge_repeats(around, L))
+    want = starts(repeats._edge_repeats(around, L))
+    monkeypatch.setattr(repeats, "GROUP", group)
+    assert want and starts(repeats._crowded_repeats(around, L)) == want
 
 
 def test_samples_cover_every_string_and_chunks_agree(monkeypatch):

@@ -13,8 +13,8 @@ as many rows as there are batches. Counts come back to the batch the same way.
 
 The network is trained in numpy by truncated back-propagation: streams of
 documents, windows of ``STEPS`` tokens, the state carried from window to window
-and cleared at a document's start. Each task goes once over all its training
-documents, and the weights are averaged by their tokens, ``ROUNDS`` times: the
+and cleared at a document's start. Pieces of about ``PIECE`` tokens are gone
+over once each, and their weights averaged by their tokens, ``ROUNDS`` times: the
 network sees every training document that often, whatever the corpus' size.
 
 Cases: a null text is empty and has the end alone; a null id counts as not held
@@ -26,13 +26,12 @@ each; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import doc_columns
+from tapcast.llm.common import claim, doc_columns
 from tapcast.session import materialize
 
 #: Text bytes of a batch.
@@ -43,10 +42,11 @@ CLASSES = SINGLES + HASHED + 1
 END = CLASSES - 1
 HIDDEN = 16
 #: Back-propagation: steps of a window, streams side by side.
-STEPS, STREAMS = 24, 64
+STEPS, STREAMS = 24, 256
 #: Passes over all training documents, at every size.
 ROUNDS = 2
-#: Tokens that a task deals to its streams at a time (bounded memory).
+#: Tokens that are dealt to streams at a time and make one model (bounded
+#: memory). Which documents share a piece follows the files' order.
 PIECE = 4_000_000
 RATE = 0.01
 
@@ -72,6 +72,7 @@ def batches_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) ->
     int32), the batch's words, and how often its training texts hold them."""
 
     def numbered(batches):
+        claim()
         part, seq = TaskContext.get().partitionId(), 0
         ids, held, parts, size, numbers = [], [], [], 0, _Numbers()
 
@@ -161,6 +162,9 @@ def counted(batches: DataFrame) -> tuple[DataFrame, Counts]:
     return table.drop("first"), Counts(tokens, int(kinds), ends, singles, n, v)
 
 
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                       ("n_known", pa.int64()), ("base_score", pa.float64()), ("inner", pa.float64()),
+                       ("classes", pa.binary())])
 DOCUMENTS_DDL = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
                  "inner double, classes binary")
 
@@ -168,34 +172,32 @@ DOCUMENTS_DDL = ("doc_id long, held_out boolean, n_tokens long, n_known long, ba
 def classed(batches: DataFrame, table: DataFrame, counts: Counts) -> DataFrame:
     """Per document: its figures and its tokens' classes (a byte each)."""
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score",
-                                                 "inner", "classes")})
-        row = left.iloc[0]
-        c, cls = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
-        pos = right["pos"].to_numpy()
-        c[pos], cls[pos] = right["c"].to_numpy(), right["cls"].to_numpy()
-        for p, name in zip(pos[right["name"].notna()], right["name"].dropna().astype("int64")):
-            cls[p] = counts.singles.get(int(name), cls[p])
-        # The end is one more word.
-        c, cls = np.append(c, counts.ends), np.append(cls, END)
-        base, inner = counts.base(c), counts.inner(c, cls)
-        ids = np.frombuffer(row["tokens"], "<i4")
-        ends = np.cumsum(row["sizes"])
-        tokens = np.insert(ids, ends, len(c) - 1) if len(ends) else ids
-        last = ends + np.arange(1, len(ends) + 1)
-        first = last - np.asarray(row["sizes"]) - 1
-        byte = cls[tokens].astype(np.uint8)
-        return pd.DataFrame({
-            "doc_id": pd.array([None if i is None or i != i else int(i) for i in row["doc_ids"]], "Int64"),
-            "held_out": row["held_out"], "n_tokens": last - first,
-            "n_known": np.add.reduceat((c > 0)[tokens].astype(np.int64), first),
-            "base_score": np.add.reduceat(base[tokens], first), "inner": np.add.reduceat(inner[tokens], first),
-            "classes": [byte[a:b].tobytes() for a, b in zip(first, last)]})
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        for row in left.to_pylist():  # one batch
+            c, cls = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows, np.int64)
+            pos = right.column("pos").to_numpy()
+            c[pos], cls[pos] = right.column("c").to_numpy(), right.column("cls").to_numpy()
+            named = right.filter(right.column("name").is_valid())
+            for p, name in zip(named.column("pos").to_pylist(), named.column("name").to_pylist()):
+                cls[p] = counts.singles.get(name, cls[p])
+            # The end is one more word.
+            c, cls = np.append(c, counts.ends), np.append(cls, END)
+            base, inner = counts.base(c), counts.inner(c, cls)
+            ids, ends = np.frombuffer(row["tokens"], "<i4"), np.cumsum(row["sizes"])
+            tokens = np.insert(ids, ends, len(c) - 1)
+            last = ends + np.arange(1, len(ends) + 1)
+            first = last - np.asarray(row["sizes"]) - 1
+            byte = cls[tokens].astype(np.uint8)
+            cols = [row["doc_ids"], row["held_out"], last - first,
+                    np.add.reduceat((c > 0)[tokens].astype(np.int64), first),
+                    np.add.reduceat(base[tokens], first), np.add.reduceat(inner[tokens], first),
+                    [byte[a:b].tobytes() for a, b in zip(first, last)]]
+            tables.append(pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(cols, DOCUMENTS)], schema=DOCUMENTS))
+        return pa.concat_tables(tables) if tables else DOCUMENTS.empty_table()
 
     left = batches.select("batch", "doc_ids", "held_out", "sizes", "tokens")
-    return (left.groupBy("batch").cogroup(table.groupBy("batch")).applyInPandas(one, DOCUMENTS_DDL))
+    return left.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(one, DOCUMENTS_DDL)
 
 
 # -- the network ------------------------------------------------------------
@@ -215,7 +217,7 @@ class Network:
         w = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
         self.p = {"wi": w(CLASSES + 1, 3 * HIDDEN), "u": w(HIDDEN, 3 * HIDDEN),
                   "wo": 0.1 * w(HIDDEN, CLASSES), "bo": prior.copy()}
-        self.moments, self.steps = {}, 0
+        self.moments, self.steps, self.rooms = {}, 0, {}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
@@ -236,50 +238,104 @@ class Network:
         n = np.tanh(x[:, 2 * k:] + r * q[:, 2 * k:])
         return n + z * (h - n), (h, z, r, n, q[:, 2 * k:])
 
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that the next window uses again: fresh memory costs more
+        than the work on it."""
+        kind = self.p["wi"].dtype
+        if name not in self.rooms or self.rooms[name].shape != shape or self.rooms[name].dtype != kind:
+            self.rooms[name] = np.empty(shape, kind)
+        return self.rooms[name]
+
     def window(self, before, target, fresh, live, h):
         """Loss, gradients and last state of a window (steps, streams). Only
-        the states go step by step; classes and weights are done at once."""
-        p, k = self.p, HIDDEN
+        the states go step by step, in place, with a stream in each column;
+        classes and weights are done at once."""
+        p, k, room = self.p, HIDDEN, self.room
         t_max, b = before.shape
-        x = p["wi"][before]
-        was, z, r, n, qn, now = (np.empty((t_max, b, k), x.dtype) for _ in range(6))
-        for t in range(t_max):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            q = h @ p["u"]
-            zr = _sigmoid(x[t, :, :2 * k] + q[:, :2 * k])
-            was[t], z[t], r[t], qn[t] = h, zr[:, :k], zr[:, k:], q[:, 2 * k:]
-            n[t] = np.tanh(x[t, :, 2 * k:] + r[t] * qn[t])
-            h = now[t] = n[t] + z[t] * (h - n[t])
-        flat, on, at = now.reshape(-1, k), live.reshape(-1), np.arange(t_max * b)
-        e = flat @ p["wo"] + p["bo"]
-        np.exp(e - e.max(axis=1, keepdims=True), out=e)
-        e /= e.sum(axis=1, keepdims=True)
-        own = target.reshape(-1)
-        loss = -(np.log(e[at, own] + 1e-30) * on).sum()
-        e[at, own] -= 1
-        e *= (on / max(1.0, float(on.sum()))).astype(x.dtype)[:, None]
+        rows = t_max * b
+        x, q, dx = (room(c, t_max, 3 * k, b) for c in ("x", "q", "dx"))
+        was, n, now, dqn, top, fn, fz, fr = (room(c, t_max, k, b) for c in ("was", "n", "now", "dqn", "top", "fn", "fz", "fr"))
+        zr, e = room("zr", t_max, 2 * k, b), room("e", rows, CLASSES)
+        flat, wide = room("flat", t_max, b, k), room("wide", t_max, b, 3 * k)
+        np.take(p["wi"], before, axis=0, out=wide, mode="clip")
+        x[...] = wide.transpose(0, 2, 1)
+        keep = (~fresh)[:, None, :].astype(x.dtype)
+        u, h = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(h.T)
+        with np.errstate(over="ignore"):  # a gate of 0
+            for t in range(t_max):
+                gates, new, state = zr[t], n[t], now[t]
+                np.multiply(h, keep[t], out=was[t])
+                np.matmul(u, was[t], out=q[t])
+                np.add(x[t, :2 * k], q[t, :2 * k], out=gates)
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(gates[k:], q[t, 2 * k:], out=new)
+                new += x[t, 2 * k:]
+                np.tanh(new, out=new)
+                np.subtract(was[t], new, out=state)
+                state *= gates[:k]
+                state += new
+                h = state
+        flat[...] = now.transpose(0, 2, 1)
+        flat, on, at = flat.reshape(-1, k), live.reshape(-1), np.arange(rows)
+        np.matmul(flat, p["wo"], out=e)
+        e += p["bo"]
+        np.exp(np.minimum(e, x.dtype.type(80), out=e), out=e)
+        own, size = target.reshape(-1), e.sum(axis=1)
+        loss = -(np.log(e[at, own] / size + 1e-30) * on).sum()
+        weight = (on / max(1.0, float(on.sum()))).astype(x.dtype)
+        e *= (weight / size)[:, None]
+        e[at, own] -= weight
         g = {"wo": flat.T @ e, "bo": e.sum(axis=0)}
-        top = (e @ p["wo"].T).reshape(t_max, b, k)
-        dx, dq = np.empty_like(x), np.empty_like(x)
-        # Factors that don't depend on the gradient that comes back.
-        fn, fz, fr = (1 - z) * (1 - n * n), (was - n) * z * (1 - z), qn * r * (1 - r)
-        ut, dh = p["u"].T, np.zeros_like(now[0])
+        np.matmul(e, p["wo"].T, out=flat)
+        top[...] = flat.reshape(t_max, b, k).transpose(0, 2, 1)
+        z, r, qn = zr[:, :k], zr[:, k:], q[:, 2 * k:]
+        # Factors that don't depend on the gradient that comes back:
+        # (1 - z)(1 - nn), (was - n) z (1 - z), qn r (1 - r).
+        np.subtract(1, z, out=fz)
+        np.multiply(n, n, out=fn)
+        np.subtract(1, fn, out=fn)
+        fn *= fz
+        fz *= z
+        np.subtract(was, n, out=fr)
+        fz *= fr
+        np.subtract(1, r, out=fr)
+        fr *= r
+        fr *= qn
+        back, back_n = np.ascontiguousarray(p["u"][:, :2 * k]), np.ascontiguousarray(p["u"][:, 2 * k:])
+        dh = np.zeros((k, b), x.dtype)
         for t in range(t_max - 1, -1, -1):
-            dh = dh + top[t]
-            dn = dx[t, :, 2 * k:] = dh * fn[t]
-            dx[t, :, :k], dx[t, :, k:2 * k] = dh * fz[t], dn * fr[t]
-            dq[t, :, :2 * k], dq[t, :, 2 * k:] = dx[t, :, :2 * k], dn * r[t]
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z[t] + dq[t] @ ut)
-        g["u"] = was.reshape(-1, k).T @ dq.reshape(-1, 3 * k)
-        one = np.zeros((t_max * b, CLASSES + 1), x.dtype)
-        one[at, before.reshape(-1)] = 1
-        g["wi"] = one.T @ dx.reshape(-1, 3 * k)
-        return loss, g, h
+            d = dx[t]
+            dh += top[t]
+            np.multiply(dh, fz[t], out=d[:k])
+            np.multiply(dh, fn[t], out=d[2 * k:])
+            np.multiply(d[2 * k:], fr[t], out=d[k:2 * k])
+            np.multiply(d[2 * k:], r[t], out=dqn[t])
+            dh *= z[t]
+            dh += back @ d[:2 * k]
+            dh += back_n @ dqn[t]
+            dh *= keep[t]
+        wide[...] = dx.transpose(0, 2, 1)
+        dflat = wide.reshape(-1, 3 * k)
+        # Inputs' gradients, summed by class.
+        order = np.argsort(before.reshape(-1), kind="stable")
+        seen, first = np.unique(before.reshape(-1)[order], return_index=True)
+        ordered = np.take(dflat, order, axis=0, out=room("ordered", rows, 3 * k), mode="clip")
+        g["wi"] = np.zeros_like(p["wi"])
+        g["wi"][seen] = np.add.reduceat(ordered, first, axis=0)
+        flat.reshape(t_max, b, k)[...] = was.transpose(0, 2, 1)
+        wide[:, :, 2 * k:] = dqn.transpose(0, 2, 1)
+        g["u"] = flat.T @ dflat
+        return loss, g, np.ascontiguousarray(h.T)
 
     def train(self, docs: list[bytes], steps: int = STEPS, streams: int = STREAMS, rate: float = RATE) -> int:
         """One pass over the documents, dealt to streams; the tokens seen.
         Another call goes on with the moments of the steps before."""
         docs = sorted(docs, key=lambda d: (-len(d), d))
+        # No more streams than the longest document leaves tokens for.
+        streams = max(1, min(streams, sum(map(len, docs)) // max(1, len(docs[0]))))
         load, lanes = [0] * streams, [[] for _ in range(streams)]
         for d in docs:
             k = load.index(min(load))
@@ -341,7 +397,8 @@ class Network:
 
 
 def trained(documents: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
-    """Averaged weights of the tasks' passes over all training documents."""
+    """Averaged weights of the passes over all training documents: each piece
+    of about ``PIECE`` tokens starts from the same weights."""
     net = Network(counts.prior())
     chosen = documents.where(~F.col("held_out")).select("classes")
     schema = pa.schema([("n", pa.int64()), ("weights", pa.list_(pa.float32()))])
@@ -349,19 +406,23 @@ def trained(documents: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Netwo
         start = net.flat()
 
         def fit(batches, start=start):
-            own, docs, size, n = Network(np.zeros(CLASSES, np.float32)).set_flat(start), [], 0, 0
+            docs, size = [], 0
+
+            def piece():
+                own = Network(np.zeros(CLASSES, np.float32)).set_flat(start)
+                n = own.train(docs)
+                return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat()], pa.list_(pa.float32()))],
+                                                  schema=schema)
+
             for batch in batches:
                 for d in batch.column("classes").to_pylist():
                     docs.append(d)
                     size += len(d)
                     if size >= PIECE:
-                        n += own.train(docs)
+                        yield piece()
                         docs, size = [], 0
             if docs:
-                n += own.train(docs)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat()], pa.list_(pa.float32()))],
-                                                 schema=schema)
+                yield piece()
 
         fits = chosen.mapInArrow(fit, "n long, weights array<float>")
         mean = (fits.select("n", F.posexplode("weights").alias("pos", "w"))

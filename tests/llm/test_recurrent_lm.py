@@ -77,7 +77,7 @@ def test_training_learns_a_sequence():
     net = L.Network(np.zeros(L.CLASSES, np.float32))
     docs = [bytes([1, 2, 3, 4] * 20 + [L.END]) for _ in range(200)]
     before = net.log10(docs[:1])[0]
-    for _ in range(3):
+    for _ in range(12):
         net.train(docs)
     assert net.log10(docs[:1])[0] > 0.3 * before
 
@@ -96,6 +96,13 @@ def test_awkward_rows_and_empty_table(spark):
     assert L.scores(empty(spark), held_out(F.col("doc_id"), 5)).count() == 0
 
 
+def test_ids_beside_a_null_id(spark):
+    ids = [None] + [2**53 + k for k in range(1, 9)]
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string").coalesce(1)
+    rows = L.scores(docs, held_out(F.col("doc_id"), 5)).collect()
+    assert {r.doc_id for r in rows} == set(ids)
+
+
 def test_training_takes_the_same_rows_at_any_corpus_size(spark):
     """Null ids too; counts that tell of a large corpus change nothing."""
     rows = [(i if i % 2 else None, i % 5 == 1, bytearray([i % 7, L.END])) for i in range(100)]
@@ -114,4 +121,4 @@ def test_pieces_go_on_where_the_last_one_ended():
     docs = [bytes([1, 2, 3, 4] * 20 + [L.END]) for _ in range(200)]
     net = L.Network(np.zeros(L.CLASSES, np.float32))
     assert net.train(docs[:100]) + net.train(docs[100:]) == 200 * 81
-    assert net.steps == 2 * -(-2 * 81 // L.STEPS)
+    assert net.steps == 2 * -(-81 // L.STEPS)  # equal texts: a stream each

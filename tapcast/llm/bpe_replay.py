@@ -32,26 +32,22 @@ from __future__ import annotations
 
 import base64
 import re
-import uuid
 from bisect import bisect_right
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import claim, doc_columns, keeps, shared_path
+from tapcast.llm.blocks import Numbers, blocks_of, bucketed_words, joined, parted, whole_buckets
+from tapcast.llm.common import claim, keeps
 
-#: Text bytes of a block, and symbols that are merged side by side.
-BLOCK, SYMBOLS = 16 << 20, 400_000
-#: Text bytes that a bucket of blocks aims at.
-BUCKET = 64 << 20
+#: Symbols that are merged side by side.
+SYMBOLS = 400_000
 #: A space after a character that is no white space always starts a new word.
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
@@ -158,21 +154,15 @@ def encode_words(words: list[bytes], v: Vocabulary) -> list[bytes]:
     return [np.array(merged[k] if r is None else [r], "<u4").tobytes() for k, r in enumerate(out)]
 
 
-# -- blocks -----------------------------------------------------------------
-
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
+# -- words ------------------------------------------------------------------
 
 class _Chunks(dict):
     """Chunk of a text -> the numbers of its words, as bytes. The chunks that
     follow a space are kept without it in ``spaced``."""
 
-    def __init__(self, pattern: str, lead: str = "", numbers: _Numbers | None = None) -> None:
+    def __init__(self, pattern: str, lead: str = "", numbers: Numbers | None = None) -> None:
         self.find, self.lead = regex.compile(pattern).findall, lead
-        self.numbers = _Numbers() if numbers is None else numbers
+        self.numbers = Numbers() if numbers is None else numbers
         self.spaced = self if lead else _Chunks(pattern, " ", self.numbers)
 
     def number(self, word: str) -> bytes:
@@ -201,69 +191,6 @@ class _Chunks(dict):
         return b"".join(chain([self[head]], map(self.spaced.__getitem__, rest)))
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                    ("numbers", pa.binary()), ("buckets", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
-BLOCKS_DDL = ("block long, doc_ids array<long>, sizes array<int>, numbers binary, buckets array<int>, "
-              "words array<binary>")
-
-
-def joined(parts: list[bytes]) -> bytes:
-    """Byte strings with their lengths in front."""
-    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
-
-
-def parted(data: bytes) -> list[bytes]:
-    n = int.from_bytes(data[:4], "little")
-    ends = (4 * n + 4 + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
-    return [data[a:b] for a, b in zip([4 * n + 4, *ends], ends)]
-
-
-def blocks_of(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per block of documents: each one's words as numbers (little-
-    endian int32), and the block's distinct words in the order of their
-    numbers, by buckets of a hash. Written once as a table bucketed by block."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    total = int(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
-    parts_wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
-    n_buckets = 4 * parts_wanted  # several a task, to even them out
-
-    def cut(batches):
-        claim()
-        part, seq, ids, parts, size, chunks = TaskContext.get().partitionId(), 0, [], [], 0, _Chunks(pattern)
-
-        def row():
-            words = [w.encode() for w in chunks.numbers]
-            bucket = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            number = np.empty(len(words), "<i4")
-            number[order] = np.arange(len(words))
-            held, first = np.unique(bucket[order], return_index=True)
-            order = order.tolist()
-            data = [joined([words[k] for k in order[a:b]]) for a, b in zip(first, [*first[1:], len(words)])]
-            numbers = number[np.frombuffer(b"".join(parts), "<i4")].tobytes()
-            cols = [[(part << 32) + seq], [ids], [[len(p) // 4 for p in parts]], [numbers], [held.astype(np.int32)],
-                    [data]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BLOCKS)], schema=BLOCKS)
-
-        for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = t.as_py()
-                ids.append(i)
-                parts.append(chunks.of(text.decode("utf-8", "replace")))
-                size += len(text) + 1
-                if size >= BLOCK:
-                    yield row()
-                    seq, ids, parts, size, chunks = seq + 1, [], [], 0, _Chunks(pattern)
-        if ids:
-            yield row()
-
-    name = f"tapcast_blocks_{uuid.uuid4().hex}"
-    (doc_columns(docs, id_col, text_col).mapInArrow(cut, BLOCKS_DDL).write.bucketBy(parts_wanted, "block")
-     .option("compression", "zstd").option("path", shared_path(spark, "blocks")).saveAsTable(name))
-    return spark.table(name)
-
-
 # -- encoding and decoding --------------------------------------------------
 
 IDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
@@ -274,10 +201,8 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     is encoded once, in the task that all its bucket's rows go to."""
 
     def run(batches):
-        v, held, size = vocabulary(path), [], 0
-
-        def done(rows):
-            """Ids of rows of whole buckets."""
+        v = vocabulary(path)
+        for rows in whole_buckets(batches, ("block", "bucket", "words"), SYMBOLS):
             own = [parted(w) for _, _, w in rows]
             new = list(dict.fromkeys(chain.from_iterable(own)))
             ids, a, size = {}, 0, 0
@@ -287,20 +212,10 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                     ids.update(zip(new[a:k + 1], encode_words(new[a:k + 1], v)))
                     a, size = k + 1, 0
             out = [joined(list(map(ids.__getitem__, x))) for x in own]
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(IDS)[:2])]
                 + [pa.array(out, pa.binary())], schema=IDS)
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words"))):
-                if size >= SYMBOLS and row[1] != held[-1][1]:
-                    yield done(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield done(held)
-
     return (words.repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(run, "block long, bucket int, ids binary"))
 
@@ -323,9 +238,8 @@ def _documents(row: dict, of: list[bytes]):
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens and ids (binary: little-endian
     unsigned 32-bit)."""
-    blocks = blocks_of(docs, pattern, id_col, text_col)
-    words = (blocks.select("block", F.explode(F.arrays_zip("buckets", "words")).alias("w"))
-             .select("block", F.col("w.buckets").alias("bucket"), F.col("w.words").alias("words")))
+    blocks = blocks_of(docs, lambda: _Chunks(pattern), id_col, text_col)
+    words = bucketed_words(blocks)
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
         by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()))

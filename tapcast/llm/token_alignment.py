@@ -5,27 +5,31 @@ A text is tokenized by A (byte-level BPE, with a space in front) and by B
 text is cut into groups; an A and a B token whose byte ranges overlap are
 linked. A pair's count is the number of documents that link it.
 
-1. All documents are aligned; each task sends its distinct pairs once, and
-   Spark's distinct pairs are dealt to shards by their A id.
+Both tokenizers start a new token at a space behind any character that is no
+white space, so a text's alignment is that of its chunks. Documents are kept as
+blocks of chunk numbers; every distinct chunk of the corpus is tokenized and
+aligned once, in the task of its bucket, and sent to the blocks that hold it.
+
+1. Each task sends its chunks' distinct pairs; Spark's distinct pairs are dealt
+   to shards by their A id.
 2. Each shard's pairs get a minimal perfect hash: levels of bit arrays, a pair's
    slot being the rank of the first bit that it has for itself. The pairs, in
    slot order, verify every lookup.
-3. A task counts its documents' distinct pairs in one dense vector over a
-   shard's slots; vectors are summed in blocks of slots, by trees of ``FAN``.
-4. A second pass aligns the documents again and looks up their links' counts.
+3. First pass: documents are put together from their chunks; a block counts
+   its documents' distinct pairs in one dense vector over a shard's slots, and
+   vectors are summed in parts of slots, by trees of ``FAN``.
+4. Second pass: documents are put together again and their links' counts
+   looked up.
 
 A hash with its pairs and counts is broadcast: a shard holds about
 ``SHARD_PAIRS`` pairs (an A id has no more than B has ids), so its size is
 bounded; with more pairs there are more shards, taken one after the other, and
-their documents' sums are added. All pairs are two ids in 64 bits at most.
-
-Both tokenizers start a new token at a space behind any character that is no
-white space, so a text's alignment is that of its chunks; these are cached by
-each worker, and both tokenizers see only chunks that are new to it.
+their documents' sums are added.
 
 Cases: null and empty texts, and texts whose tokens don't spell them (U+2581 in
 the text), have no tokens; null ids and repeated rows are kept as they are; an
-empty table gives no rows; other columns are ignored. A text is held whole.
+empty table gives no rows; other columns are ignored; a very long text is a
+block of its own.
 """
 
 from __future__ import annotations
@@ -33,22 +37,23 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from functools import lru_cache
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import CACHE_ENTRIES, _byte_chars, claim, doc_columns, keeps, mix
+from tapcast.llm.blocks import Numbers, block_buckets, blocks_of, bucketed_words, joined, parted, whole_buckets
+from tapcast.llm.common import _byte_chars, claim, keeps, mix, shared_path
 from tapcast.session import materialize
 
-#: Pairs of a shard; slots of a vector's block; vectors summed at once.
-SHARD_PAIRS, BLOCK, FAN = 4_000_000, 1 << 16, 32
-#: Text bytes aligned at a time, and distinct pairs a task holds before sending them.
-BATCH, HELD = 4 << 20, 4_000_000
+#: Pairs of a shard; slots of a vector's part; vectors summed at once.
+SHARD_PAIRS, PART, FAN = 4_000_000, 1 << 16, 32
+#: Bytes of chunks aligned side by side, and links that are sorted at a time.
+CHUNKS, LINKS = 1 << 20, 1_000_000
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -136,8 +141,26 @@ class Shard:
 
 # -- aligning ---------------------------------------------------------------
 
+class Chunker(dict):
+    """Texts to chunk numbers; a chunk is kept without its first space."""
+
+    def __init__(self) -> None:
+        self.numbers = Numbers()
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self[chunk] = self.numbers[chunk].to_bytes(4, "little")
+        return out
+
+    def of(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if ODD.search(text) or text[0] == " ":
+            return b"".join([self[c[1:]] for c in CUT.split(" " + text)])
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+
 class Aligner:
-    """Chunk (without its first space) -> (links, groups, token counts)."""
+    """Chunks (without their first space) to links and groups."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
@@ -149,64 +172,67 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {c: b for b, c in _byte_chars().items()}
         # Special tokens never occur: their strings are ordinary text.
-        self.a_bytes = {i: bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()
-                        if all(c in byte for c in t)}
+        spelled = {i: bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()
+                   if all(c in byte for c in t)}
+        self.a_bytes = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.b_size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.b_size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
-        self.space = [self.b.piece_to_id("▁")]
-        self.known: dict[str, tuple] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if ODD.search(text) or text[:1] == " ":
-            return [c[1:] for c in CUT.split(" " + text)]
-        return text.split(" ")
-
-    def learn(self, texts: list[list[str]]) -> None:
-        wanted = set().union(*texts)
-        new = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = list(wanted)
-        own = self.a.encode_batch([" " + c for c in new], add_special_tokens=False)
-        for c, x, y in zip(new, own, self.b.encode(new, num_threads=1)):
-            self.known[c] = self.aligned(c, x.ids, y if c else self.space)
-
-    def aligned(self, chunk: str, a: list[int], b: list[int]) -> tuple:
-        want = b" " + chunk.encode("utf-8", "replace")
-        if (b"".join([self.a_bytes.get(i, b"") for i in a]) != want or b"".join([self.b_bytes[j] for j in b]) != want):
-            return None, None, 0
-        links, groups, i, j = [], [], 0, 0
-        a_end, b_end, a_from, b_from = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]]), 0, 0
-        while True:
-            links.append(a[i] * self.b_size + b[j])
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[a_from:i + 1])) + "|" + ",".join(map(str, b[b_from:j + 1])))
-                a_from, b_from = i + 1, j + 1
-                if a_from == len(a):
-                    return np.array(links, "<u4").tobytes(), ";".join(groups).encode(), len(a) + (len(b) << 40)
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            if step_a:
-                i += 1
-                a_end += len(self.a_bytes[a[i]])
-            if step_b:
-                j += 1
-                b_end += len(self.b_bytes[b[j]])
-
-    def of(self, texts: list[bytes]):
-        """Yields each text's chunk records, or None for one without tokens."""
-        held, size = [], 0
-        for k, t in enumerate(texts):
-            held.append(self.chunks(t.decode("utf-8", "replace")) if t else [])
-            size += len(t)
-            if size >= BATCH or k + 1 == len(texts):
-                self.learn(held)
-                for chunks in held:
-                    own = list(map(self.known.__getitem__, chunks))
-                    yield own if own and not any(r[0] is None for r in own) else None
-                held, size = [], 0
+        self.a_len, self.b_len = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
+        self.space, self.line = self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")
+        # Every id with what may stand behind it in a text of groups.
+        self.said = [b"%d%s" % (i, mark) for n, marks in ((len(self.a_bytes), (b",", b"|")), (self.b_size, (b",", b";")))
+                     for mark in marks for i in range(n)]
+        self.said_len = np.array([len(x) for x in self.said])
+
+    def tokens(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides. B reads chunks as lines of one text: a line end
+        is a token of its own there."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
+        easy = [c != "" and "\n" not in c for c in chunks]
+        lines = [c for c, e in zip(chunks, easy) if e]
+        ids = np.array(self.b.encode("\n ".join(lines)), np.int64)
+        ends = np.nonzero(ids == self.line)[0]
+        ids = ids.tolist()
+        of_lines = iter([ids[x:y] for x, y in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)])])
+        return a, [next(of_lines) if e else self.b.encode(c) if c else [self.space] for c, e in zip(chunks, easy)]
+
+    def aligned(self, chunks: list[str]) -> list[tuple[bytes, bytes, int, int]]:
+        """(links, groups, A tokens, B tokens) of each chunk; no tokens where
+        they don't spell it."""
+        out = [(b"", b"", 0, 0)] * len(chunks)
+        a, b = self.tokens(chunks)
+        raw = [b" " + c.encode("utf-8", "replace") for c in chunks]
+        good = [k for k, want in enumerate(raw) if b"".join([self.a_bytes[i] for i in a[k]]) == want
+                and b"".join([self.b_bytes[j] for j in b[k]]) == want]
+        if not good:
+            return out
+        n_a, n_b = np.array([len(a[k]) for k in good]), np.array([len(b[k]) for k in good])
+        x, y = (np.fromiter(chain.from_iterable(t[k] for k in good), np.int64, int(n.sum())) for t, n in ((a, n_a), (b, n_b)))
+        end_x, end_y = np.cumsum(self.a_len[x]), np.cumsum(self.b_len[y])  # chunks stand behind each other
+        low = np.searchsorted(end_y, end_x - self.a_len[x], "right")
+        many = np.searchsorted(end_y - self.b_len[y], end_x, "left") - low
+        first = np.cumsum(many) - many
+        partner = np.arange(int(many.sum())) + np.repeat(low - first, many)
+        links = (np.repeat(x, many) * self.b_size + y[partner]).astype("<u4")
+        link_end = np.cumsum(many)[np.cumsum(n_a) - 1]
+        # Texts of groups: A ids, a bar, B ids, a semicolon.
+        both = np.intersect1d(end_x, end_y, assume_unique=True)
+        group_x, group_y = np.searchsorted(both, end_x), np.searchsorted(both, end_y)
+        in_x, in_y = np.bincount(group_x, minlength=len(both)), np.bincount(group_y, minlength=len(both))
+        place_x = np.arange(len(x)) + (np.cumsum(in_y) - in_y)[group_x]
+        place_y = np.arange(len(y)) + np.cumsum(in_x)[group_y]
+        said = np.empty(len(x) + len(y), np.int64)
+        n = len(self.a_bytes)
+        said[place_x] = x + n * (end_x == both[group_x])
+        said[place_y] = 2 * n + y + self.b_size * (end_y == both[group_y])
+        text = b"".join(map(self.said.__getitem__, said.tolist()))
+        text_end = np.cumsum(self.said_len[said])[np.cumsum(n_a + n_b) - 1].tolist()
+        for k, p, q, u, v, i, j in zip(good, [0, *link_end[:-1].tolist()], link_end.tolist(), [0, *text_end[:-1]], text_end,
+                                       n_a.tolist(), n_b.tolist()):
+            out[k] = (links[p:q].tobytes(), text[u:v - 1], i, j)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -223,11 +249,83 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _loaded(a_path, b_path)
 
 
-_LINKS, _GROUPS, _SIZES = itemgetter(0), itemgetter(1), itemgetter(2)
+ALIGNED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("links", pa.binary()), ("groups", pa.binary()),
+                     ("sizes", pa.binary())])
+ALIGNED_DDL = "block long, bucket int, links binary, groups binary, sizes binary"
 
 
-def _links(own: list[tuple] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_LINKS, own)) if own else b"", "<u4")
+def aligned_chunks(blocks: DataFrame, parts: int, a_path: str, b_path: str) -> DataFrame:
+    """Each block's alignments of its chunks, by bucket: links and groups of
+    each, and token counts of either side (little-endian unsigned 32-bit).
+    Written once as a table bucketed as the blocks are."""
+
+    def run(batches):
+        own = aligner(a_path, b_path)
+        for rows in whole_buckets(batches, ("block", "bucket", "words"), CHUNKS):
+            held = [parted(w) for _, _, w in rows]
+            new = list(dict.fromkeys(chain.from_iterable(held)))
+            known, a, size = {}, 0, 0
+            for k, w in enumerate(new):
+                size += len(w)
+                if size >= CHUNKS or k + 1 == len(new):
+                    known.update(zip(new[a:k + 1], own.aligned([w.decode() for w in new[a:k + 1]])))
+                    a, size = k + 1, 0
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [], [], []]
+            for words in held:
+                links, groups, n_a, n_b = zip(*map(known.__getitem__, words))
+                cols[2].append(joined(links))
+                cols[3].append(joined(groups))
+                cols[4].append(np.array([n_a, n_b], "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ALIGNED)], schema=ALIGNED)
+
+    spark = blocks.sparkSession
+    rows = (bucketed_words(blocks).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ALIGNED_DDL))
+    name = f"tapcast_alignments_{uuid.uuid4().hex}"
+    (rows.repartition(parts, "block").write.bucketBy(parts, "block").option("compression", "zstd")
+     .option("path", shared_path(spark, "alignments")).saveAsTable(name))
+    return spark.table(name)
+
+
+class Block:
+    """A block's documents over its chunks' alignments."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, with_groups: bool) -> None:
+        row = left.to_pylist()[0]
+        self.numbers, self.doc_ids = np.frombuffer(row["numbers"], "<i4"), row["doc_ids"]
+        self.sizes = np.array(row["sizes"], np.int64)
+        order = np.argsort(right.column("bucket").to_numpy(), kind="stable")
+        rows = [{c: right.column(c)[int(k)].as_py() for c in right.column_names} for k in order]
+        links = [x for r in rows for x in parted(r["links"])]
+        self.many = np.array([len(x) // 4 for x in links], np.int64)
+        self.links = np.frombuffer(b"".join(links), "<u4")
+        self.first = np.cumsum(self.many) - self.many
+        pairs = [np.frombuffer(r["sizes"], "<u4").reshape(2, -1) for r in rows]
+        self.n_a, self.n_b = (np.concatenate([x[k] for x in pairs] or [np.zeros(0)]).astype(np.int64) for k in (0, 1))
+        self.groups = [x for r in rows for x in parted(r["groups"])] if with_groups else None
+        # A document with a chunk that isn't spelled has no tokens.
+        self.ends = np.cumsum(self.sizes)
+        bad = np.concatenate([[0], np.cumsum(self.n_a[self.numbers] == 0)]) if len(self.numbers) else np.zeros(1, np.int64)
+        self.spelled = (bad[self.ends] == bad[self.ends - self.sizes]) & (self.sizes > 0)
+
+    def sums(self, of_chunk: np.ndarray) -> np.ndarray:
+        """Each document's sum of its chunks' values; 0 without tokens."""
+        total = np.concatenate([[0], np.cumsum(of_chunk[self.numbers])]).astype(np.int64)
+        return np.where(self.spelled, total[self.ends] - total[self.ends - self.sizes], 0)
+
+    def document_slots(self, slot: np.ndarray):
+        """The distinct slots (0 and up) of documents' links, some documents
+        at a time; ``slot`` has one for each of the chunks' links."""
+        per_doc = self.sums(self.many)
+        at = np.nonzero(self.spelled)[0]
+        cut = np.cumsum(per_doc[at]) // LINKS
+        for docs in np.split(at, np.nonzero(np.diff(cut))[0] + 1) if len(at) else ():
+            numbers = np.concatenate([self.numbers[self.ends[d] - self.sizes[d]:self.ends[d]] for d in docs])
+            many = self.many[numbers]
+            first = np.cumsum(many) - many
+            own = slot[np.arange(int(many.sum())) + np.repeat(self.first[numbers] - first, many)]
+            doc = np.repeat(np.arange(len(docs)), per_doc[docs])
+            doc, own = doc[own >= 0], own[own >= 0]
+            yield np.unique(doc << 32 | own) & 0xFFFFFFFF
 
 
 def shard_of(keys: np.ndarray, b_size: int, shards: int) -> np.ndarray:
@@ -237,24 +335,17 @@ def shard_of(keys: np.ndarray, b_size: int, shards: int) -> np.ndarray:
 
 # -- counting ---------------------------------------------------------------
 
-def distinct_pairs(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """All pairs that any document links, each once: (pair)."""
+def distinct_pairs(alignments: DataFrame) -> DataFrame:
+    """All pairs that any chunk links, each once: (pair)."""
 
     def run(batches):
-        own, seen, fresh, size = aligner(a_path, b_path), np.zeros(0, np.uint32), [], 0
+        claim()
         for batch in batches:
-            for records in own.of(batch.column("text").to_pylist()):
-                fresh.append(_links(records))
-                size += len(fresh[-1])
-                if size >= HELD:
-                    seen, fresh, size = np.unique(np.concatenate([seen, *fresh])), [], 0
-                    if len(seen) >= HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["pair"])
-                        seen = seen[:0]
-        seen = np.unique(np.concatenate([seen, *fresh]))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["pair"])
+            links = [x for data in batch.column("links").to_pylist() for x in parted(data)]
+            pairs = np.unique(np.frombuffer(b"".join(links), "<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64))], names=["pair"])
 
-    return texts.mapInArrow(run, "pair long").distinct()
+    return alignments.select("links").mapInArrow(run, "pair long").distinct()
 
 
 def hashed_shards(pairs: DataFrame, b_size: int, shards: int) -> DataFrame:
@@ -280,121 +371,122 @@ def hashed_shards(pairs: DataFrame, b_size: int, shards: int) -> DataFrame:
 
 
 def _summed(t: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
+    total = np.zeros(PART, np.int64)
     for x in t.column("counts").to_pylist():
         total += np.frombuffer(x, "<i8")
-    return pa.table([t.column("block").slice(0, 1), t.column("part").slice(0, 1),
-                     pa.array([total.tobytes()], pa.binary())], names=["block", "part", "counts"])
+    return pa.table([t.column("part").slice(0, 1), t.column("leaf").slice(0, 1),
+                     pa.array([total.tobytes()], pa.binary())], names=["part", "leaf", "counts"])
 
 
-def pair_counts(texts: DataFrame, a_path: str, b_path: str, shard: Shard, number: int, shards: int) -> np.ndarray:
-    """Documents that link each pair of the shard, by slot."""
-    sent = texts.sparkSession.sparkContext.broadcast(shard)
+def _slots(links: np.ndarray, shard: Shard, b_size: int, number: int, shards: int) -> np.ndarray:
+    """Verified slots of links; -1 for those of other shards."""
+    if shards == 1:
+        return shard.slots(links)
+    own = shard_of(links, b_size, shards) == number
+    out = np.full(len(links), -1, np.int64)
+    out[own] = shard.slots(links[own])
+    return out
 
-    def run(batches):
-        own, held = aligner(a_path, b_path), sent.value
-        counts = np.zeros(-(-len(held.keys) // BLOCK) * BLOCK, np.int64)
-        for batch in batches:
-            found, docs, size = [], 0, 0
-            for records in own.of(batch.column("text").to_pylist()):
-                links = _links(records)
-                found.append(links.astype(np.uint64) | np.uint64(docs << 32))
-                docs, size = docs + 1, size + len(links)
-                if size >= HELD:
-                    _count(found, held, own.b_size, number, shards, counts)
-                    found, docs, size = [], 0, 0
-            _count(found, held, own.b_size, number, shards, counts)
-        rows = counts.reshape(-1, BLOCK)
+
+def pair_counts(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size: int, number: int,
+                shards: int) -> np.ndarray:
+    """Documents that link each pair of the shard, by slot."""
+    sent = blocks.sparkSession.sparkContext.broadcast(shard)
+    leaves = max(1, blocks.count())
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = sent.value
+        counts = np.zeros(-(-len(held.keys) // PART) * PART, np.int64)
+        if left.num_rows:
+            block = Block(left, right, with_groups=False)
+            for own in block.document_slots(_slots(block.links, held, b_size, number, shards)):
+                np.add.at(counts, own, 1)
+        rows = counts.reshape(-1, PART)
         at = np.nonzero(rows.any(axis=1))[0]
-        part = np.full(len(at), TaskContext.get().partitionId())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part), pa.array([rows[k].tobytes() for k in at],
-                                                                                pa.binary())],
-                                         names=["block", "part", "counts"])
-
-    ddl = "block long, part long, counts binary"
-    rows = materialize(texts.mapInArrow(run, ddl))
-    width = (rows.agg(F.max("part")).first()[0] or 0) + 1
-    while width > 1:
-        width = -(-width // FAN)
-        rows = (rows.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part")
+        leaf = np.full(len(at), int(mix(left.column("block")[0].as_py())) % leaves if left.num_rows else 0)
+        return pa.table([pa.array(at), pa.array(leaf), pa.array([rows[k].tobytes() for k in at], pa.binary())],
+                        names=["part", "leaf", "counts"])
+
+    ddl = "part long, leaf long, counts binary"
+    rows = materialize(blocks.select("block", "doc_ids", "sizes", "numbers").groupBy("block")
+                       .cogroup(alignments.select("block", "bucket", "links", "sizes").groupBy("block"))
+                       .applyInArrow(run, ddl))
+    while leaves > 1:
+        leaves = -(-leaves // FAN)
+        rows = (rows.withColumn("leaf", F.floor(F.col("leaf") / FAN)).groupBy("part", "leaf")
                 .applyInArrow(_summed, ddl))
-    out = np.zeros(-(-len(shard.keys) // BLOCK) * BLOCK, np.int64)
+    out = np.zeros(-(-len(shard.keys) // PART) * PART, np.int64)
     for r in rows.collect():  # one vector of the shard's slots
-        out[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], "<i8")
-    sent.destroy()
+        out[r["part"] * PART:(r["part"] + 1) * PART] += np.frombuffer(r["counts"], "<i8")
     return out[:len(shard.keys)]
 
 
-def _count(found: list, shard: Shard, b_size: int, number: int, shards: int, counts: np.ndarray) -> None:
-    """Add each document's distinct pairs of the shard."""
-    if found:
-        keys = (np.unique(np.concatenate(found)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        if shards > 1:
-            keys = keys[shard_of(keys, b_size, shards) == number]
-        np.add.at(counts, shard.slots(keys), 1)
-
-
 # -- documents --------------------------------------------------------------
 
-DONE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
-                  ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()),
+DONE = pa.schema([("block", pa.int64()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()),
+                  ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()),
                   ("count_sum", pa.int64()), ("groups", pa.binary())])
 
 
-def looked_up(texts: DataFrame, a_path: str, b_path: str, shard: Shard, number: int, shards: int,
+def looked_up(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size: int, number: int, shards: int,
               with_groups: bool) -> DataFrame:
     """Per document: its sizes, and how many of its links of this shard are
     their A id's best, and their counts' sum."""
-    sent = texts.sparkSession.sparkContext.broadcast(shard)
-
-    def run(batches):
-        own, held = aligner(a_path, b_path), sent.value
-        for batch in batches:
-            out = []
-            for records in own.of(batch.column("text").to_pylist()):
-                links = keys = _links(records)
-                if shards > 1:
-                    keys = keys[shard_of(keys, own.b_size, shards) == number]
-                at, sizes = held.slots(keys), sum(map(_SIZES, records)) if records else 0
-                groups = b";".join(map(_GROUPS, records)) if records else b""
-                a, b = sizes & (1 << 40) - 1, sizes >> 40
-                # A group of x and y tokens has x + y - 1 links.
-                out.append((a, b, a + b - len(links), len(links), int(held.best[at].sum()), int(held.counts[at].sum()),
-                            groups if with_groups else hashlib.sha256(groups).hexdigest().encode() if groups else b""))
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*out), list(DONE)[2:])] if out else [
-                pa.array([], f.type) for f in list(DONE)[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], schema=DONE)
-
-    return texts.mapInArrow(run, "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, "
-                                 "n_best long, count_sum long, groups binary")
+    sent = blocks.sparkSession.sparkContext.broadcast(shard)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return DONE.empty_table()
+        held, own = sent.value, Block(left, right, with_groups=True)
+        slot = _slots(own.links, held, b_size, number, shards)
+        here = slot >= 0
+        of_chunk = np.repeat(np.arange(len(own.many)), own.many)[here]
+        best = np.bincount(of_chunk, held.best[slot[here]], len(own.many))
+        total = np.zeros(len(own.many), np.int64)
+        np.add.at(total, of_chunk, held.counts[slot[here]])
+        a, b, links = own.sums(own.n_a), own.sums(own.n_b), own.sums(own.many)
+        groups = []
+        for ok, end, size in zip(own.spelled.tolist(), own.ends.tolist(), own.sizes.tolist()):
+            said = b";".join(map(own.groups.__getitem__, own.numbers[end - size:end].tolist())) if ok else b""
+            groups.append(said if with_groups else hashlib.sha256(said).hexdigest().encode() if said else b"")
+        n = len(own.doc_ids)
+        # A group of x and y tokens has x + y - 1 links.
+        cols = [np.full(n, left.column("block")[0].as_py()), np.arange(n), own.doc_ids, a, b, a + b - links, links,
+                own.sums(best.astype(np.int64)), own.sums(total), groups]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, DONE)], schema=DONE)
+
+    return (blocks.select("block", "doc_ids", "sizes", "numbers").groupBy("block")
+            .cogroup(alignments.groupBy("block"))
+            .applyInArrow(run, "block long, pos long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
+                               "n_best long, count_sum long, groups binary"))
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
             with_groups: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best,
     count_sum, and groups (``a1,a2|b1;a3|b2``) or their SHA-256."""
-    texts = doc_columns(docs, id_col, text_col).withColumn("row", F.lit(0).cast("long"))
     b_size = Aligner(a_path, b_path).b_size
-    pairs = materialize(distinct_pairs(texts, a_path, b_path))
+    parts = block_buckets(docs, text_col)
+    blocks = blocks_of(docs, Chunker, id_col, text_col, parts)
+    alignments = aligned_chunks(blocks, parts, a_path, b_path)
+    pairs = materialize(distinct_pairs(alignments))
     shards = max(1, -(-pairs.count() // SHARD_PAIRS))
     table = materialize(hashed_shards(pairs, b_size, shards))
-    if shards > 1:  # a row's sums of all shards meet by its number
-        texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()))
-    parts = []
+    done = []
     for k in range(shards):
         r = table.where(F.col("shard") == k).first()  # bounded by SHARD_PAIRS
         shard = Shard(PerfectHash.from_bytes(r["sizes"], r["levels"]) if r else PerfectHash([]),
                       np.frombuffer(r["keys"], "<u4") if r else np.zeros(0, np.uint32))
-        shard.counted(pair_counts(texts, a_path, b_path, shard, k, shards), b_size)
-        part = looked_up(texts, a_path, b_path, shard, k, shards, with_groups)
-        parts.append(part if shards == 1 else materialize(part))
-    rows = parts[0]
-    if shards > 1:
-        for part in parts[1:]:
-            rows = rows.unionByName(part.withColumn("groups", F.lit(None).cast("binary")))
-        rows = rows.groupBy("row").agg(
-            *[F.first(c).alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")],
-            F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"), F.max("groups").alias("groups"))
+        shard.counted(pair_counts(blocks, alignments, shard, b_size, k, shards), b_size)
+        part = looked_up(blocks, alignments, shard, b_size, k, shards, with_groups)
+        done.append(part if shards == 1 else materialize(part))
+    rows = done[0]
+    if shards > 1:  # a document's sums of all shards
+        for part in done[1:]:
+            rows = rows.unionByName(part)
+        rows = rows.groupBy("block", "pos").agg(
+            *[F.first(c).alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups")],
+            F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     out = "groups" if with_groups else "groups_sha256"
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                        F.col("groups").cast("string").alias(out))

@@ -147,6 +147,44 @@ def cohort(df: DataFrame, holiday: int = 0, col: str = "today_is_holiday") -> Da
     return df.where(F.col(col) == holiday)
 
 
+def derived_candidates(cols) -> dict:
+    """Name -> expression of the sum, difference and ratio of every two of the
+    columns; a ratio by 0 is null."""
+    out = {}
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            out[f"{a}+{b}"], out[f"{a}-{b}"], out[f"{a}/{b}"] = x + y, x - y, F.try_divide(x, y)
+    return out
+
+
+def feature_screen(frame: DataFrame, cols, targets=("in_nums", "out_nums"), top: int = 10) -> DataFrame:
+    """The ``top`` derived candidates of each target by absolute correlation:
+    (target, feature, corr, rank). One pass: every correlation is an aggregate
+    of sufficient statistics (counts, means, co-moments) that merge map-side; a
+    task sends one row. Rows where a candidate is null don't count for it;
+    undefined correlations (constant columns) are left out; equal ones, to six
+    places, go by name."""
+    found = derived_candidates(cols)
+    pairs = [(t, name) for t in targets for name in found]
+    # Candidates are columns first, so that both targets share them.
+    flat = frame.select(*targets, *[c.alias(f"c{i}") for i, c in enumerate(found.values())])
+    at = {name: f"c{i}" for i, name in enumerate(found)}
+
+    def corr(c: str, t: str):  # F.corr of a constant column is an error under ANSI rules
+        both = F.when(F.col(c).isNotNull(), F.col(t))
+        return F.try_divide(F.covar_pop(c, t), F.stddev_pop(c) * F.stddev_pop(both))
+
+    row = flat.agg(*[corr(at[name], t).alias(f"r{i}") for i, (t, name) in enumerate(pairs)])
+    listed = row.select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.lit(name).alias("feature"), F.col(f"r{i}").alias("corr"))
+        for i, (t, name) in enumerate(pairs)])).alias("c")).select("c.*")
+    listed = (listed.where(F.col("corr").isNotNull() & ~F.isnan("corr"))
+              .withColumn("corr", F.round(F.col("corr") * 1e6) / 1e6 + F.lit(0.0)))
+    order = Window.partitionBy("target").orderBy(F.desc(F.abs("corr")), "feature")  # candidates, not rows
+    return listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def add_ratio_features(df: DataFrame) -> DataFrame:
     """Sums, differences and ratios of related flows (NULL on a zero
     denominator)."""

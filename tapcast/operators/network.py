@@ -27,11 +27,12 @@ def station_lines(taps: DataFrame, on_date=None) -> DataFrame:
 
 def line_size(station_line: DataFrame) -> DataFrame:
     """One row per station: its line and the number of stations on that line.
-    A station on several lines keeps the largest line (no fan-out)."""
+    A station on several lines keeps the largest line, of equal ones the first
+    by name (no fan-out)."""
     per_line = station_line.groupBy("line_id").agg(F.count("station_id").alias("line_size"))
     return (station_line.join(per_line, "line_id")
             .groupBy("station_id")
-            .agg(F.max_by("line_id", "line_size").alias("line_id"),
+            .agg(F.min_by("line_id", F.struct(-F.col("line_size"), "line_id")).alias("line_id"),
                  F.max("line_size").alias("line_size")))
 
 

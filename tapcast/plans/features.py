@@ -23,7 +23,7 @@ from tapcast.operators.neighbors import add_neighbor_slots
 from tapcast.operators.network import (add_station_attributes, line_size, station_attributes,
                                        station_lines)
 from tapcast.operators.peak import add_peak_type
-from tapcast.operators.seasonal import add_week_flow
+from tapcast.operators.seasonal import add_week_flow, add_week_flow_asof
 
 FEATURE_COLS = [
     "station_id", "service_date", "slot", "weekday", "is_holiday", "day", "hour", "minute",
@@ -47,6 +47,7 @@ class FeatureConfig:
     leads: tuple = (1, 2)
     peak_periods: dict | None = None
     week_flow_before: object = None
+    week_flow_asof: bool = False
     partitions: int | None = None
     extra: dict = field(default_factory=dict)
 
@@ -60,7 +61,7 @@ def slot_features(taps: DataFrame, degrees: DataFrame, cfg: FeatureConfig = Feat
     f = add_peak_type(f, cfg.peak_periods, cfg.slot_minutes)
     f = (f.repartition(cfg.partitions, "station_id", "hour") if cfg.partitions
          else f.repartition("station_id", "hour"))
-    f = add_week_flow(f, before=cfg.week_flow_before)
+    f = add_week_flow_asof(f) if cfg.week_flow_asof else add_week_flow(f, before=cfg.week_flow_before)
     if not with_attributes:
         return f
     sizes = line_size(lines if lines is not None else station_lines(taps))

@@ -115,9 +115,15 @@ def frames(spark: SparkSession, sf_dir: str, slot_minutes: int = 10,
     return tr, sc
 
 
+def all_rows(spark: SparkSession, sf_dir: str, slot_minutes: int = 10) -> DataFrame:
+    """Train and score rows, staged."""
+    tr, sc = frames(spark, sf_dir, slot_minutes, staged=True)
+    return materialize(tr.unionByName(sc))
+
+
 def encoded_frame(spark: SparkSession, sf_dir: str, stat_type: str = "mean",
                   slot_minutes: int = 10, frames_=None, group_col: str = "slot",
-                  n_min: float = N_MIN) -> DataFrame:
+                  n_min: float = N_MIN, **options) -> DataFrame:
     """All rows (train + score) with ``in_slot_enc``/``out_slot_enc`` fitted
     on the train rows (E10)."""
     tr, sc = frames_ if frames_ is not None else frames(spark, sf_dir, slot_minutes, staged=True)
@@ -129,7 +135,7 @@ def encoded_frame(spark: SparkSession, sf_dir: str, stat_type: str = "mean",
         union = union.withColumn("station_slot", F.col("station_id") * 1000 + F.col("slot"))
     all_rows = materialize(union)
     tr = all_rows.where(F.col("service_date") != F.lit(TARGET_DATE))
-    return encode_frame(all_rows, tr, group_col, stat_type=stat_type, n_min=n_min)
+    return encode_frame(all_rows, tr, group_col, stat_type=stat_type, n_min=n_min, **options)
 
 
 def model_rows(all_rows: DataFrame) -> DataFrame:

@@ -517,6 +517,110 @@ SELECT s.station_id AS "stationID", strftime({start}, {fmt}) AS "startTime",
 FROM score s {joins}"""
 
 
+def seasonal_asof_sql() -> str:
+    """Each row joined with all rows of earlier days of its group."""
+    def stats(alias: str, minute: str) -> str:
+        return f"""
+SELECT s.station_id, s.service_date, s.slot, max(h.in_now) AS in_max, min(h.in_now) AS in_min, avg(h.in_now) AS in_mean,
+       max(h.out_now) AS out_max, min(h.out_now) AS out_min, avg(h.out_now) AS out_mean, count(h.in_now) AS n
+FROM nb s LEFT JOIN nb h ON h.station_id = s.station_id AND h.weekday = s.weekday AND h.hour = s.hour {minute}
+     AND h.service_date < s.service_date
+GROUP BY s.station_id, s.service_date, s.slot"""
+    fine = [f"COALESCE(a.{side}_{f}, 0) AS {side}_whm_{f}" for side in ("in", "out") for f in ("max", "min")]
+    fine += [f"{_r6(f'COALESCE(a.{side}_mean, 0)')} AS {side}_whm_mean" for side in ("in", "out")]
+    return with_ctes(TAPS, SLOTS, NEIGHBORS, f"a AS ({stats('a', 'AND h.minute = s.minute')})", f"b AS ({stats('b', '')})") + f"""
+SELECT a.station_id, a.service_date, a.slot, {', '.join(fine)},
+       COALESCE(b.in_max, 0) AS in_wh_max, COALESCE(b.in_min, 0) AS in_wh_min,
+       {_r6('COALESCE(b.in_mean, 0)')} AS in_wh_mean, {_r6('COALESCE(b.out_mean, 0)')} AS out_wh_mean,
+       a.n AS whm_days, b.n AS wh_rows
+FROM a JOIN b ON b.station_id = a.station_id AND b.service_date = a.service_date AND b.slot = a.slot"""
+
+
+def encode_asof_sql() -> str:
+    sel, parts = [], ["keys AS (SELECT DISTINCT slot, service_date FROM allf)"]
+    for tgt, out in (("in_nums", "in_slot_enc"), ("out_nums", "out_slot_enc")):
+        parts.append(f"""
+p_{out} AS (
+  SELECT k.service_date, COALESCE(avg(CAST(t.{tgt} AS DOUBLE)), 0.0) AS p
+  FROM (SELECT DISTINCT service_date FROM keys) k LEFT JOIN train t ON t.service_date < k.service_date
+  GROUP BY k.service_date
+),
+g_{out} AS (
+  SELECT k.slot, k.service_date, sum(CAST(t.{tgt} AS DOUBLE)) AS s, CAST(count(t.{tgt}) AS DOUBLE) AS c
+  FROM keys k LEFT JOIN train t ON t.slot = k.slot AND t.service_date < k.service_date
+  GROUP BY k.slot, k.service_date
+),
+ab_{out} AS (
+  SELECT g.slot, g.service_date, p.p, CASE WHEN g.c > 0 THEN g.s ELSE p.p END AS n,
+         CASE WHEN g.c > 0 THEN g.c ELSE 1.0 END AS c
+  FROM g_{out} g JOIN p_{out} p ON p.service_date = g.service_date
+),
+e_{out} AS (
+  SELECT slot, service_date, p * greatest({fx.N_MIN} - c, 0) + n AS a,
+         (1 - p) * greatest({fx.N_MIN} - c, 0) + c - n AS b FROM ab_{out}
+)""")
+        sel.append(f"{_r6(f'e_{out}.a / (e_{out}.a + e_{out}.b)')} AS {out}")
+    return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES, *parts) + f"""
+SELECT r.station_id, r.service_date, r.slot, {', '.join(sel)}
+FROM allf r
+JOIN e_in_slot_enc ON e_in_slot_enc.slot = r.slot AND e_in_slot_enc.service_date = r.service_date
+JOIN e_out_slot_enc ON e_out_slot_enc.slot = r.slot AND e_out_slot_enc.service_date = r.service_date"""
+
+
+def device_sketch_sql() -> str:
+    return with_ctes(TAPS) + """
+SELECT station_id, service_date, CAST(slot // 6 AS INTEGER) AS hour, COUNT(DISTINCT device_id) AS devices, true AS within
+FROM cells GROUP BY station_id, service_date, slot // 6
+UNION ALL
+SELECT station_id, service_date, -1 AS hour, COUNT(DISTINCT device_id) AS devices, true AS within
+FROM cells GROUP BY station_id, service_date"""
+
+
+def slot_grid_history_sql() -> str:
+    return with_ctes(TAPS, SLOTS) + """
+, span AS (SELECT station_id, min(service_date) AS a, max(service_date) AS b FROM slots GROUP BY station_id),
+days AS (SELECT station_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS service_date FROM span),
+grid AS (SELECT station_id, service_date, CAST(unnest(range(0, 144)) AS INTEGER) AS slot FROM days)
+SELECT g.station_id, g.service_date, g.slot, COALESCE(s.in_nums, 0) AS in_nums, COALESCE(s.out_nums, 0) AS out_nums,
+       s.slot IS NOT NULL AS observed
+FROM grid g LEFT JOIN slots s ON s.station_id = g.station_id AND s.service_date = g.service_date AND s.slot = g.slot"""
+
+
+def blend_weights_sql() -> str:
+    """The best thousandth of a lattice that narrows around the best so far."""
+    parts, sel = [f"oof AS ({oof_matrix_sql()})"], []
+    for side in ("in", "out"):
+        err = f"avg(abs(o.{side}_nums - (c.w / 1000.0 * o.{side}_mean + (1000 - c.w) / 1000.0 * o.{side}_last)))"
+        last = None
+        for k, (step, reach) in enumerate(((100, None), (20, 100), (4, 20), (1, 4))):
+            name = f"{side}{k}"
+            cand = ("SELECT unnest(range(0, 1001, 100)) AS w" if last is None else
+                    f"SELECT w + d AS w FROM {last}, (SELECT unnest(range(-{reach}, {reach + 1}, {step})) AS d) "
+                    "WHERE w + d BETWEEN 0 AND 1000")
+            parts.append(f"""
+{name} AS (SELECT c.w, round({err}, 9) AS mae FROM ({cand}) c, oof o GROUP BY c.w ORDER BY mae, c.w LIMIT 1)""")
+            last = name
+        sel.append(f"SELECT '{side}_nums' AS target, CAST(w AS INTEGER) AS mean_weight, {_r6('mae')} AS mae FROM {last}")
+    return with_ctes(*parts) + " UNION ALL ".join(sel)
+
+
+def feature_screen_sql() -> str:
+    cols = ["in_now", "out_now", "in_before1", "out_before1", "in_after1", "out_after1", "in_whm_mean", "out_whm_mean"]
+    made = {}
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+            made |= {f"{a}+{b}": f"{x} + {y}", f"{a}-{b}": f"{x} - {y}", f"{a}/{b}": f"{x} / nullif({y}, 0)"}
+    rows = [f"SELECT '{t}' AS target, '{name}' AS feature, (SELECT round(corr({e}, {t}), 6) + 0.0 FROM train) AS corr"
+            for t in ("in_nums", "out_nums") for name, e in made.items()]
+    return with_ctes(TAPS, SLOTS, NEIGHBORS, NETWORK, FEAT, FRAMES.replace("train AS (", "train AS MATERIALIZED (", 1),
+                     f"c AS ({' UNION ALL '.join(rows)})") + """
+SELECT * FROM (
+  SELECT target, feature, corr, CAST(row_number() OVER (PARTITION BY target ORDER BY abs(corr) DESC, feature) AS INTEGER) AS rank
+  FROM c WHERE corr IS NOT NULL AND NOT isnan(corr))
+WHERE rank <= 10"""
+
+
 def all_sql() -> dict:
     out = {
         "peak_type_hourly": peak_hourly_sql(),
@@ -546,7 +650,15 @@ def all_sql() -> dict:
     for stat in ("mean", "mode", "median", "var", "skewness", "kurtosis", "prior"):
         out[f"encode_{stat}"] = encode_sql(stat)
     # Fine groups, no pseudo-counts: infinities and NaN repair on real rows.
-    out["encode_mode_station_slot"] = encode_sql("mode", FINE_GROUP_SQL, 1.0)
+    out["encode_mode_station_slot"] = out["encode_mode_counted"] = encode_sql("mode", FINE_GROUP_SQL, 1.0)
+    out |= {
+        "seasonal_asof": seasonal_asof_sql(),
+        "encode_asof": encode_asof_sql(),
+        "device_sketch": device_sketch_sql(),
+        "slot_grid_history": slot_grid_history_sql(),
+        "blend_weights": blend_weights_sql(),
+        "feature_screen": feature_screen_sql(),
+    }
     return out
 
 

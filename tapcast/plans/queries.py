@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapcast.functions.calendar import is_holiday, iso_weekday, month_day_key
+from tapcast.functions.slots import slot_hour
+from tapcast.models.blending import blend_weights
 from tapcast.operators.base import slot_table
-from tapcast.operators.frame import add_ratio_features, cohort
+from tapcast.operators.encoding import encode_asof
+from tapcast.operators.frame import add_ratio_features, cohort, feature_screen
 from tapcast.operators.metrics import competition_score
 from tapcast.models.simple import base_predictions, fold_mean_blend
 from tapcast.operators.neighbors import (add_neighbor_slots, neighbor_station_flow_by_edges,
@@ -17,9 +20,13 @@ from tapcast.operators.neighbors import (add_neighbor_slots, neighbor_station_fl
 from tapcast.operators.network import (add_line_size, add_roadmap_row, add_special_flag,
                                        add_station_type, degree_from_edges, line_size, station_lines)
 from tapcast.operators.peak import add_peak_type
+from tapcast.operators.seasonal import add_week_flow_asof
+from tapcast.operators.sketches import device_sketches, standard_error, united, with_estimate
 from tapcast.operators.validation import fold_sizes, out_of_fold
 from tapcast.plans import fixture as fx
 from tapcast.plans.features import round_doubles
+from tapcast.session import materialize
+from tapcast.sources.grid import slot_grid_history
 from tapcast.sources.sink import submission
 
 KEYS = ["station_id", "service_date", "slot"]
@@ -172,6 +179,68 @@ def q_naive_mae(spark: SparkSession, sf: str) -> DataFrame:
                                            by=["service_date"]))
 
 
+WEEK_COLS = ["in_whm_max", "in_whm_min", "in_whm_mean", "out_whm_max", "out_whm_min", "out_whm_mean",
+             "in_wh_max", "in_wh_min", "in_wh_mean", "out_wh_mean"]
+
+
+def q_seasonal_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly profile as of each day: earlier days only."""
+    slots = _neighbors(spark, sf).repartition("station_id", "hour")
+    return round_doubles(add_week_flow_asof(slots).select(*KEYS, *WEEK_COLS, "whm_days", "wh_rows"))
+
+
+def q_encode_asof(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.all_rows(spark, sf)
+    known = F.col("service_date") != F.lit(fx.TARGET_DATE)
+    return round_doubles(encode_asof(rows, known, "slot", n_min=fx.N_MIN).select(*KEYS, "in_slot_enc", "out_slot_enc"))
+
+
+def q_encode_mode_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """``encode_mode_station_slot`` with the median by counting passes."""
+    out = fx.encoded_frame(spark, sf, "mode", group_col="station_slot", n_min=1.0, medianMaxGroups=0)
+    return round_doubles(out.select(*KEYS, "in_slot_enc", "out_slot_enc"))
+
+
+def q_device_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact distinct devices per station-hour and station-day (hour -1), and
+    whether the union of stored slot sketches is within three standard errors
+    of them."""
+    cells = fx.cells(spark, sf)
+    stored = materialize(device_sketches(cells))  # what coarser grains read
+    exact = cells.withColumn("hour", slot_hour("slot"))
+    parts = []
+    for by in (["station_id", "service_date", "hour"], ["station_id", "service_date"]):
+        counts = exact.groupBy(*by).agg(F.count_distinct("device_id").alias("devices"))
+        part = with_estimate(united(stored, *by)).join(counts, by)
+        parts.append(part if "hour" in by else part.withColumn("hour", F.lit(-1)))
+    both = parts[0].unionByName(parts[1])
+    far = F.abs(F.col("estimate") - F.col("devices"))
+    return both.select("station_id", "service_date", "hour", "devices",
+                       (far <= F.ceil(3 * standard_error() * F.col("devices"))).alias("within"))
+
+
+def q_slot_grid_history(spark: SparkSession, sf: str) -> DataFrame:
+    return slot_grid_history(slot_table(fx.taps(spark, sf), with_devices=False))
+
+
+def q_blend_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Learned weights of the two base predictors, per target: thousandths of
+    the mean of station and slot, and the blend's MAE over all origin days."""
+    rows = materialize(q_oof_matrix(spark, sf))
+    found = []
+    for side in ("in", "out"):
+        w, mae = blend_weights(rows, f"{side}_nums", [f"{side}_mean", f"{side}_last"])
+        found.append((f"{side}_nums", w[0], mae))
+    return round_doubles(spark.createDataFrame(found, "target string, mean_weight int, mae double"))
+
+
+SCREENED = ["in_now", "out_now", "in_before1", "out_before1", "in_after1", "out_after1", "in_whm_mean", "out_whm_mean"]
+
+
+def q_feature_screen(spark: SparkSession, sf: str) -> DataFrame:
+    return feature_screen(fx.frames(spark, sf, want=("train",))[0], SCREENED)
+
+
 def relational_queries() -> dict:
     q = {
         "slot_counts": q_slot_counts,
@@ -201,6 +270,15 @@ def relational_queries() -> dict:
     for stat in ("mean", "mode", "median", "var", "skewness", "kurtosis", "prior"):
         q[f"encode_{stat}"] = _encode(stat)
     q["encode_mode_station_slot"] = q_encode_mode_station_slot
+    q |= {
+        "seasonal_asof": q_seasonal_asof,
+        "encode_asof": q_encode_asof,
+        "encode_mode_counted": q_encode_mode_counted,
+        "device_sketch": q_device_sketch,
+        "slot_grid_history": q_slot_grid_history,
+        "blend_weights": q_blend_weights,
+        "feature_screen": q_feature_screen,
+    }
     return q
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapcast.functions.slots import SLOT_MINUTES, slot_of, slots_per_day
@@ -23,6 +23,32 @@ def slot_grid(stations: DataFrame, target_date, slot_minutes: int = SLOT_MINUTES
                     F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot")))
 
 
+def slot_grid_history(slots: DataFrame, slot_minutes: int = SLOT_MINUTES,
+                      values=("in_nums", "out_nums")) -> DataFrame:
+    """Every slot of every station from its first observed day to its last:
+    (station_id, service_date, slot, values, observed). Slots without taps have
+    0 and ``observed`` false.
+
+    Each row is stretched to the station's next one (``lead``), the first back
+    to its day's start and the last to its day's end; the stretch is exploded.
+    No product of stations and slots, and one window per station over rows that
+    a slot table already has; a station's rows are its days times slots.
+    ``slots`` has one row per (station, date, slot)."""
+    n = slots_per_day(slot_minutes)
+    day = F.datediff("service_date", F.lit("1970-01-01").cast("date"))
+    at = F.col("_day") * n + F.col("slot")
+    by = Window.partitionBy("station_id").orderBy("_at")
+    rows = (slots.select("station_id", "service_date", "slot", *values).withColumn("_day", day).withColumn("_at", at)
+            .withColumn("_from", F.when(F.lag("_at").over(by).isNull(), F.col("_day") * n).otherwise(F.col("_at")))
+            .withColumn("_to", F.coalesce(F.lead("_at").over(by), (F.col("_day") + 1) * n) - 1)
+            .withColumn("_t", F.explode(F.sequence("_from", "_to"))))
+    here = F.col("_t") == F.col("_at")
+    return rows.select(
+        "station_id", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("_t") / n).cast("int")).alias("service_date"),
+        F.pmod(F.col("_t"), F.lit(n)).cast("int").alias("slot"),
+        *[F.when(here, F.col(c)).otherwise(F.lit(0)).alias(c) for c in values], here.alias("observed"))
+
+
 def read_template_csv(spark: SparkSession, path: str,
                       slot_minutes: int = SLOT_MINUTES) -> DataFrame:
     """Target-day template file -> (station_id, service_date, slot)."""

@@ -34,9 +34,11 @@ class Numbers(dict):
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                    ("numbers", pa.binary()), ("buckets", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
-BLOCKS_DDL = ("block long, doc_ids array<long>, sizes array<int>, numbers binary, buckets array<int>, "
-              "words array<binary>")
+                    ("counts", pa.binary()), ("ranks", pa.binary()), ("buckets", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
+BLOCKS_DDL = ("block long, doc_ids array<long>, sizes array<int>, counts binary, ranks binary, "
+              "buckets array<int>, words array<binary>")
+#: What a block holds besides its words.
+DOCUMENTS = ["block", "doc_ids", "sizes", "counts", "ranks"]
 
 
 def joined(parts: list[bytes]) -> bytes:
@@ -50,6 +52,29 @@ def parted(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 * n + 4, *ends], ends)]
 
 
+def packed_numbers(numbers: np.ndarray, kinds: int) -> tuple[bytes, bytes]:
+    """(counts, ranks): how often each number occurs, and the numbers as ranks
+    by descending count, so that most are small; both as planes of the first,
+    second, third and fourth bytes, which compress well."""
+    counts = np.bincount(numbers, minlength=kinds)
+    rank = np.empty(kinds, np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(kinds)
+    return _planes(counts), _planes(rank[numbers])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+
+
+def block_numbers(counts: bytes, ranks: bytes) -> np.ndarray:
+    """The numbers that ``packed_numbers`` packed."""
+    return np.argsort(-_whole(counts).astype(np.int64), kind="stable")[_whole(ranks)]
+
+
 def block_buckets(docs: DataFrame, text_col: str = "text") -> int:
     """Buckets of blocks for these documents: a single number."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -59,8 +84,8 @@ def block_buckets(docs: DataFrame, text_col: str = "text") -> int:
 
 def blocks_of(docs: DataFrame, splitter: Callable, id_col: str = "doc_id", text_col: str = "text",
               parts_wanted: int | None = None) -> DataFrame:
-    """One row per block of documents: each one's words as numbers (little-
-    endian int32), and the block's distinct words in the order of their
+    """One row per block of documents: each one's words as numbers (see
+    ``packed_numbers``), and the block's distinct words in the order of their
     numbers, by buckets of a hash. Written once as a table bucketed by block.
     A ``splitter()`` has ``of`` (a text to the bytes of its numbers) and
     ``numbers`` (its words so far)."""
@@ -76,14 +101,14 @@ def blocks_of(docs: DataFrame, splitter: Callable, id_col: str = "doc_id", text_
             words = [w.encode() for w in chunks.numbers]
             bucket = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(n_buckets)
             order = np.argsort(bucket, kind="stable")
-            number = np.empty(len(words), "<i4")
+            number = np.empty(len(words), np.int64)
             number[order] = np.arange(len(words))
             held, first = np.unique(bucket[order], return_index=True)
             order = order.tolist()
             data = [joined([words[k] for k in order[a:b]]) for a, b in zip(first, [*first[1:], len(words)])]
-            numbers = number[np.frombuffer(b"".join(parts), "<i4")].tobytes()
-            cols = [[(part << 32) + seq], [ids], [[len(p) // 4 for p in parts]], [numbers], [held.astype(np.int32)],
-                    [data]]
+            counts, ranks = packed_numbers(number[np.frombuffer(b"".join(parts), "<i4")], len(words))
+            cols = [[(part << 32) + seq], [ids], [[len(p) // 4 for p in parts]], [counts], [ranks],
+                    [held.astype(np.int32)], [data]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BLOCKS)], schema=BLOCKS)
 
         for batch in batches:

@@ -31,8 +31,10 @@ count as U+FFFD; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -43,7 +45,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.blocks import Numbers, blocks_of, bucketed_words, joined, parted, whole_buckets
+from tapcast.llm.blocks import DOCUMENTS, Numbers, block_numbers, blocks_of, bucketed_words, joined, parted, whole_buckets
 from tapcast.llm.common import claim, keeps
 
 #: Symbols that are merged side by side.
@@ -221,34 +223,45 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-ENCODED_DDL = "doc_id long, n_tokens long, ids binary"
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
+                     ("decoded_sha256", pa.string())])
 
 
-def _documents(row: dict, of: list[bytes]):
-    """A block's documents, some of them at a time."""
-    numbers, at, ids = np.frombuffer(row["numbers"], "<i4"), 0, []
-    for n in row["sizes"]:
-        ids.append(b"".join(map(of.__getitem__, numbers[at:at + n].tolist())))
-        at += n
-    sizes = [len(x) // 4 for x in ids]
-    return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                    schema=ENCODED)
+def _put_back(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: pa.Schema,
+              finished: Callable) -> DataFrame:
+    """Blocks' documents from their words' ids: ``finished`` of a document's
+    ids gives what follows doc_id and n_tokens."""
+    blocks = blocks_of(docs, lambda: _Chunks(pattern), id_col, text_col)
+
+    def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()))
+        of = [x for _, data in by_bucket for x in parted(data)]
+        row = left.to_pylist()[0]
+        numbers, at, sizes, out = block_numbers(row["counts"], row["ranks"]), 0, [], []
+        for n in row["sizes"]:
+            ids = b"".join(map(of.__getitem__, numbers[at:at + n].tolist()))
+            at += n
+            sizes.append(len(ids) // 4)
+            out.append(finished(ids))
+        cols = [row["doc_ids"], sizes, *zip(*out)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    types = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return (blocks.select(*DOCUMENTS).groupBy("block")
+            .cogroup(encoded_words(bucketed_words(blocks), path).groupBy("block"))
+            .applyInArrow(put_back, ", ".join(f"{f.name} {types[f.type]}" for f in schema)))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens and ids (binary: little-endian
     unsigned 32-bit)."""
-    blocks = blocks_of(docs, lambda: _Chunks(pattern), id_col, text_col)
-    words = bucketed_words(blocks)
+    return _put_back(docs, path, pattern, id_col, text_col, ENCODED, lambda ids: (ids,))
 
-    def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()))
-        of = [x for _, data in by_bucket for x in parted(data)]
-        rows = left.to_pylist()  # one block
-        return pa.concat_tables([_documents(r, of) for r in rows]) if rows else ENCODED.empty_table()
 
-    return (blocks.select("block", "doc_ids", "sizes", "numbers").groupBy("block")
-            .cogroup(encoded_words(words, path).groupBy("block")).applyInArrow(put_back, ENCODED_DDL))
+def bytes_of(ids: bytes, v: Vocabulary) -> bytes:
+    return b"".join(map(v.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -258,10 +271,9 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
         raise ValueError(f"{text_col} is a column already")
 
     def run(batches):
-        token = vocabulary(path).token.__getitem__
+        v = vocabulary(path)
         for batch in batches:
-            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist()))
-                   for x in batch.column(ids_col).to_pylist()]
+            out = [None if x is None else bytes_of(x, v) for x in batch.column(ids_col).to_pylist()]
             yield batch.append_column(text_col, pa.array(out, pa.binary()))
 
     schema = rows.withColumn(text_col, F.lit(None).cast("binary")).schema
@@ -270,6 +282,9 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded and again
-    decoded texts."""
-    return decoded(encoded(docs, path, pattern, id_col, text_col), path).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    decoded texts, made where the ids are."""
+
+    def hashed(ids: bytes) -> tuple[str, str]:
+        return hashlib.sha256(ids).hexdigest(), hashlib.sha256(bytes_of(ids, vocabulary(path))).hexdigest()
+
+    return _put_back(docs, path, pattern, id_col, text_col, DIGESTS, hashed)

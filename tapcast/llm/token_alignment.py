@@ -46,7 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.blocks import Numbers, block_buckets, blocks_of, bucketed_words, joined, parted, whole_buckets
+from tapcast.llm.blocks import (DOCUMENTS, Numbers, block_buckets, block_numbers, blocks_of, bucketed_words, joined,
+                                parted, whole_buckets)
 from tapcast.llm.common import _byte_chars, claim, keeps, mix, shared_path
 from tapcast.session import materialize
 
@@ -291,7 +292,7 @@ class Block:
 
     def __init__(self, left: pa.Table, right: pa.Table, with_groups: bool) -> None:
         row = left.to_pylist()[0]
-        self.numbers, self.doc_ids = np.frombuffer(row["numbers"], "<i4"), row["doc_ids"]
+        self.numbers, self.doc_ids = block_numbers(row["counts"], row["ranks"]), row["doc_ids"]
         self.sizes = np.array(row["sizes"], np.int64)
         order = np.argsort(right.column("bucket").to_numpy(), kind="stable")
         rows = [{c: right.column(c)[int(k)].as_py() for c in right.column_names} for k in order]
@@ -408,7 +409,7 @@ def pair_counts(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size:
                         names=["part", "leaf", "counts"])
 
     ddl = "part long, leaf long, counts binary"
-    rows = materialize(blocks.select("block", "doc_ids", "sizes", "numbers").groupBy("block")
+    rows = materialize(blocks.select(*DOCUMENTS).groupBy("block")
                        .cogroup(alignments.select("block", "bucket", "links", "sizes").groupBy("block"))
                        .applyInArrow(run, ddl))
     while leaves > 1:
@@ -455,7 +456,7 @@ def looked_up(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size: in
                 own.sums(best.astype(np.int64)), own.sums(total), groups]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, DONE)], schema=DONE)
 
-    return (blocks.select("block", "doc_ids", "sizes", "numbers").groupBy("block")
+    return (blocks.select(*DOCUMENTS).groupBy("block")
             .cogroup(alignments.groupBy("block"))
             .applyInArrow(run, "block long, pos long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
                                "n_best long, count_sum long, groups binary"))

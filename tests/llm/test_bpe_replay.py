@@ -7,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tapcast.llm import bpe_replay, queries
+from tapcast.llm import blocks, bpe_replay, queries
 from tapcast.llm.common import tokenizer_path
 
 from .cases import ROWS, SF, awkward, empty, texts
@@ -86,3 +86,17 @@ def test_decoding_alone(spark):
     assert got == {0: b"one two", 1: "漢字".encode(), 2: b"", 9: None}
     with pytest.raises(ValueError):
         bpe_replay.decoded(rows, PATH, text_col="k")
+
+
+def test_encoding_alone(spark):
+    rows = [(1, "one two  three"), (2, None), (2**53 + 1, "漢字 \n\n x"), (None, "it's")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe_replay.encoded(docs, PATH, PATTERN).collect()}
+    assert got == {i: library().encode_ordinary(t or "") for i, t in rows}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=60))
+def test_packed_numbers_come_back(numbers):
+    packed = blocks.packed_numbers(np.array(numbers, np.int64), 31)
+    assert blocks.block_numbers(*packed).tolist() == numbers

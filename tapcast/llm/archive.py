@@ -98,30 +98,60 @@ def _verified(payloads: DataFrame) -> DataFrame:
                                .otherwise(F.col("payload")))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record: page_id, record_type, refers_to, and bytes and SHA-1 of
-    its full payload, computed from the stored bytes. Digests are computed once
-    per stored payload; the join carries no payload."""
-    heads = spark.read.parquet(f"{path}/headers")
-    facts = _verified(spark.read.parquet(f"{path}/payloads")).select(
-        "address", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        sha1_base32(F.col("payload")).alias("payload_digest"))
-    lost = F.raise_error(F.lit("a record's payload is missing or has another length"))
-    return (heads.join(facts, "address", "left")
-            .select("page_id", F.when(F.col("payload_bytes") == F.col("n"), F.col("payload_bytes"))
-                    .otherwise(lost.cast("long")).alias("payload_bytes"),
-                    "payload_digest", "record_type", "refers_to", F.col("address").alias("payload_address")))
-
-
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """Original records: page_id, record_type, the WARC record's bytes, and the
-    full payload (for revisits that of the response)."""
+    """Original records: page_id, address, record_type, the WARC record's
+    bytes, and the full payload (for revisits that of the response). A record
+    whose payload isn't stored is an error."""
     heads = spark.read.parquet(f"{path}/headers")
     stored = _verified(spark.read.parquet(f"{path}/payloads"))
+    lost = F.raise_error(F.lit("a record's payload is missing")).cast("binary")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     end = F.lit((_CRLF * 2).encode())
-    return (heads.join(stored, "address")
-            .select("page_id", "record_type", F.concat("header", block, end).alias("record"), "payload"))
+    return (heads.join(stored, "address", "left").withColumn("payload", F.coalesce("payload", lost))
+            .select("page_id", "address", "record_type", F.concat("header", block, end).alias("record"), "payload"))
+
+
+def _field(head: Column, name: str) -> Column:
+    return F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every record as its reconstructed bytes tell: page_id, record_type,
+    refers_to, and bytes and SHA-1 of its full payload.
+
+    Each record is put together by the join and taken apart again: the header
+    block ends at the first empty line; type, record id, the record referred
+    to, digest and length are read from it. A revisit's page is found through
+    the id that it refers to. Reading fails where the block's length differs
+    from Content-Length, the payload from the digest, a response from its own
+    payload, or where a revisit refers to no response."""
+    records = reconstruct(spark, path)
+    head = F.substring_index(F.col("record").cast("string"), _CRLF * 2, 1)
+    size = F.octet_length("record") - F.octet_length("head") - 8  # the empty lines
+    block = F.expr("substring(record, octet_length(head) + 5, octet_length(record) - octet_length(head) - 8)")
+    kind, sha1 = _field(F.col("head"), "WARC-Type"), sha1_base32(F.col("payload"))
+    told = records.withColumn("head", head).select(
+        "page_id", "address", "record", "payload", "head", kind.alias("record_type"),
+        _field(F.col("head"), "WARC-Record-ID").alias("record_id"), _field(F.col("head"), "WARC-Refers-To").alias("of"),
+        _field(F.col("head"), "WARC-Payload-Digest").alias("digest"), size.alias("size"), sha1.alias("sha1"),
+        F.when(kind == "response", block == F.col("payload")).otherwise(F.lit(True)).alias("same"),
+        _field(F.col("head"), "Content-Length").alias("length"))
+    wrong = (~F.col("record_type").isin("response", "revisit") | (F.col("length") != F.col("size").cast("string"))
+             | (F.col("digest") != F.concat(F.lit("sha1:"), "sha1")) | ~F.col("same")
+             | ((F.col("record_type") == "revisit") != (F.col("of") != "")))
+    facts = told.select(
+        "page_id", "address", "record_id", "of", "sha1", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(wrong, F.raise_error(F.concat(F.lit("a header differs from its record: "), "head")).cast("string"))
+        .otherwise(F.col("record_type")).alias("record_type"))
+    # The records that others refer to; copies of a response have one id.
+    named = (facts.where("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"))
+             .distinct().withColumn("found", F.lit(True)))
+    absent = F.raise_error(F.lit("a revisit refers to no response")).cast("string")
+    return (facts.join(named, "of", "left").select(
+        "page_id", "payload_bytes", F.col("sha1").alias("payload_digest"),
+        F.when((F.col("record_type") == "revisit") & F.col("found").isNull(), absent).otherwise(F.col("record_type"))
+        .alias("record_type"),
+        "refers_to", F.col("address").alias("payload_address")))
 
 
 def export_warc(spark: SparkSession, path: str, out: str, compression: str = "none") -> None:

@@ -3,6 +3,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tapcast.llm import archive, queries
 from tapcast.llm.common import shared_path
@@ -94,3 +95,19 @@ def test_damage_is_found(spark):
 def test_empty_table(spark):
     path = written(spark, [])
     assert archive.read_records(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("old, new, what", [
+    ("Content-Length: 8", "Content-Length: 9", "differs from its record"),
+    ("WARC-Type: response", "WARC-Type: resource", "differs from its record"),
+    ("Payload-Digest: sha1:", "Payload-Digest: sha1:A", "differs from its record"),
+    ("WARC-Type: revisit", "WARC-Type: response", "differs from its record"),
+    ("WARC-Refers-To: <urn:uuid:", "WARC-Refers-To: <urn:uuid:0", "refers to no response")])
+def test_damaged_headers_are_found(spark, old, new, what):
+    path, other = written(spark, ROWS), shared_path(spark, "a")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{other}/payloads")
+    heads = spark.read.parquet(f"{path}/headers")
+    text = F.replace(F.col("header").cast("string"), F.lit(old), F.lit(new))
+    heads.withColumn("header", text.cast("binary")).write.parquet(f"{other}/headers")
+    with pytest.raises(Exception, match=what):
+        archive.read_records(spark, other).collect()

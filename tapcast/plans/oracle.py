@@ -658,6 +658,7 @@ def all_sql() -> dict:
         "slot_grid_history": slot_grid_history_sql(),
         "blend_weights": blend_weights_sql(),
         "feature_screen": feature_screen_sql(),
+        "slots_by_ledger": slot_counts_sql(),
     }
     return out
 

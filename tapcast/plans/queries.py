@@ -4,6 +4,8 @@ results compare order-insensitively with the DuckDB oracle."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,11 @@ from tapcast.operators.sketches import device_sketches, standard_error, united,
 from tapcast.operators.validation import fold_sizes, out_of_fold
 from tapcast.plans import fixture as fx
 from tapcast.plans.features import round_doubles
-from tapcast.session import materialize
+from tapcast.session import ensure_checkpoint_dir, materialize
+from tapcast.sources import ledger
 from tapcast.sources.grid import slot_grid_history
 from tapcast.sources.sink import submission
+from tapcast.sources.taps import write_taps_csv
 
 KEYS = ["station_id", "service_date", "slot"]
 
@@ -241,6 +245,19 @@ def q_feature_screen(spark: SparkSession, sf: str) -> DataFrame:
     return feature_screen(fx.frames(spark, sf, want=("train",))[0], SCREENED)
 
 
+def q_slots_by_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The slot table kept by file: the taps as daily CSV files, the second
+    half of the month before the first, taken in by three updates."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgers/{uuid.uuid4().hex}"
+    taps, middle = fx.taps(spark, sf), F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (taps.where(F.col("time") >= middle), taps.where(F.col("time") < middle)):
+        write_taps_csv(part, f"{base}/files")
+        ledger.update(spark, f"{base}/files", f"{base}/table")
+    ledger.update(spark, f"{base}/files", f"{base}/table")  # nothing new
+    return ledger.slots(spark, f"{base}/table").select(
+        *KEYS, "weekday", "is_holiday", "day", "hour", "minute", "in_nums", "out_nums")
+
+
 def relational_queries() -> dict:
     q = {
         "slot_counts": q_slot_counts,
@@ -278,6 +295,7 @@ def relational_queries() -> dict:
         "slot_grid_history": q_slot_grid_history,
         "blend_weights": q_blend_weights,
         "feature_screen": q_feature_screen,
+        "slots_by_ledger": q_slots_by_ledger,
     }
     return q
 

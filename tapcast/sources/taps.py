@@ -18,7 +18,7 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.where(F.col("time").isNotNull() & F.col("station_id").isNotNull())
 
 
-def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return (spark.read.schema(RAW_TAP_CSV).option("header", True)
             .option("pathGlobFilter", "*.csv").csv(path))
 
@@ -39,8 +39,10 @@ def rejected_taps_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def read_taps_csv(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
-    """All daily tap files under ``path`` in one scan (no per-file loop).
+def read_taps_csv(spark: SparkSession, path: str | list[str], bad: str = "raise",
+                  file_col: str | None = None) -> DataFrame:
+    """All daily tap files under ``path`` in one scan (no per-file loop);
+    ``file_col`` adds each row's file.
 
     Text that does not parse as a time, station or status stops the read
     (``bad="raise"``) or leaves its row to ``rejected_taps_csv``
@@ -59,7 +61,16 @@ def read_taps_csv(spark: SparkSession, path: str, bad: str = "raise") -> DataFra
     return _clean(raw.where(~wrong).select(
         parsed["time"].alias("time"), F.col("lineID").alias("line_id"),
         parsed["stationID"].alias("station_id"), F.col("deviceID").alias("device_id"),
-        parsed["status"].alias("status")))
+        parsed["status"].alias("status"), *([F.col("_metadata.file_path").alias(file_col)] if file_col else [])))
+
+
+def write_taps_csv(taps: DataFrame, path: str, mode: str = "append") -> None:
+    """Daily tap files, as ``read_taps_csv`` reads them: one folder a day."""
+    (taps.select(F.date_format("time", TIME_FORMAT).alias("time"), F.col("line_id").alias("lineID"),
+                 F.col("station_id").alias("stationID"), F.col("device_id").alias("deviceID"), "status",
+                 F.lit(None).cast("string").alias("userID"), F.lit(None).cast("string").alias("payType"),
+                 service_date("time").alias("day"))
+     .repartition("day").write.mode(mode).option("header", True).partitionBy("day").csv(path))
 
 
 def write_taps_parquet(taps: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import claim, doc_columns, shared_path
+from tapcast.llm.common import doc_columns, shared_path, worker_task
 
 #: Text bytes of a block, and those that a bucket of blocks aims at.
 BLOCK, BUCKET = 16 << 20, 64 << 20
@@ -93,8 +93,8 @@ def blocks_of(docs: DataFrame, splitter: Callable, id_col: str = "doc_id", text_
     parts_wanted = parts_wanted or block_buckets(docs, text_col)
     n_buckets = 4 * parts_wanted  # several a task, to even them out
 
+    @worker_task()
     def cut(batches):
-        claim()
         part, seq, ids, parts, size, chunks = TaskContext.get().partitionId(), 0, [], [], 0, splitter()
 
         def row():

@@ -15,6 +15,7 @@ from hashlib import blake2b
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +46,34 @@ def claim(*names: str) -> None:
     for name, clear in _KEPT.items():
         if name not in names:
             clear()
+    release()
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the machine."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
     if trim is not None:
         trim(0)
 
 
+def worker_task(*names: str):
+    """For functions over a task's batches: the task claims these names as it
+    starts, and gives its free memory back as it ends, for workers wait for
+    their next task beside others."""
+
+    def decorated(run: Callable) -> Callable:
+        def task(batches):
+            claim(*names)
+            try:
+                yield from run(batches)
+            finally:
+                release()
+        return task
+    return decorated
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,9 +16,10 @@ Groups are never expanded into pairs: in each bucket all members are compared
 with one pivot, verified pairs become links, and components of links become
 classes; then a second pivot is taken from the members outside the first
 pivot's class. Whatever then still shares a bucket without sharing a class is
-compared pair by pair (buckets of many such members are first split by a second
-band in which they must agree). Every link is verified: signatures first (a
-loose bound), then the exact multiset similarity.
+compared inside tasks; a bucket of more such members than a task holds is dealt
+to blocks, and blocks are compared in twos. Links to pivots are verified by
+signatures first (a loose bound), then by the exact multiset similarity; links
+within blocks by exact overlap counts.
 
 Copies (equal word sequences) are one node throughout.
 
@@ -37,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import (SHINGLE, SIMILAR, claim, doc_columns, mix, multiset_similarity,
-                                shingle_hashes, word_hashes)
+from tapcast.llm.common import (SHINGLE, SIMILAR, doc_columns, mix, multiset_similarity, shingle_hashes,
+                                utf8, word_hashes, worker_task)
 from tapcast.llm.components import components
 from tapcast.session import materialize
 
@@ -147,8 +148,8 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """Every row's node (a digest of its words; of its bytes if it has none),
     band keys and signature. Wordless texts have no bands."""
 
+    @worker_task("words")
     def sign(batches):
-        claim("words")
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, batch.num_rows, 256):
@@ -194,8 +195,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
 
+    @worker_task("words")
     def exact(batches):
-        claim("words")
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("ta"), batch.column("tb")):
@@ -274,8 +275,8 @@ def _bucket_links(rest: DataFrame, texts: DataFrame, size: int, threshold: float
         return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.binary()),
                                            pa.array([nodes[y] for _, y in found], pa.binary())], names=["a", "b"])
 
+    @worker_task("words")
     def compared(batches):
-        claim("words")
         rows = None
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if rows is None else pa.concat_tables([rows, pa.Table.from_batches([batch])])
@@ -353,13 +354,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that head their class; of equal rows, one."""
-    firsts = classes(docs, id_col, text_col).where("is_first").select(
-        F.col("doc_id").alias("__id"), F.col("xh").alias("__xh"))
-    firsts = materialize(firsts)
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    twice = firsts.groupBy("__id", "__xh").count().where("count > 1").limit(1).count()
-    same = keyed[id_col].cast("long").eqNullSafe(firsts["__id"]) & (keyed["__h"] == firsts["__xh"])
+    firsts = materialize(classes(docs, id_col, text_col).where("is_first").select(
+        F.col("doc_id").alias("first_id"), "xh"))
+    # The row goes in one struct: none of its names can clash.
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"),
+                        F.xxhash64(utf8(F.col(text_col))).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("xh"))
     kept = keyed.join(firsts, same, "left_semi")
-    if twice:
-        kept = kept.dropDuplicates([id_col, "__h"])
-    return kept.drop("__h")
+    if firsts.groupBy("first_id", "xh").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["id", "h"])
+    return kept.select("row.*")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import doc_columns, token_encoder
+from tapcast.llm.common import doc_columns, token_encoder, worker_task
 
 #: Tokens a packing group aims at: its ids fit a Python worker many times over.
 GROUP_TOKENS = 1 << 22
@@ -80,6 +80,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("salt", pa.int64())])
 
+    @worker_task("tokens")
     def encoded(batches):
         enc, part, copies = token_encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         narrow = max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16

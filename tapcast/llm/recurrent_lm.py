@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import claim, doc_columns
+from tapcast.llm.common import doc_columns, worker_task
 from tapcast.session import materialize
 
 #: Text bytes of a batch.
@@ -71,8 +71,8 @@ def batches_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) ->
     doc_id): token numbers of each (little-endian
     int32), the batch's words, and how often its training texts hold them."""
 
+    @worker_task()
     def numbered(batches):
-        claim()
         part, seq = TaskContext.get().partitionId(), 0
         ids, held, parts, size, numbers = [], [], [], 0, _Numbers()
 

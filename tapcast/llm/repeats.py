@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tapcast.llm.common import claim, doc_columns, mix, ship_package, utf8
+from tapcast.llm.common import doc_columns, mix, ship_package, utf8, worker_task
 from tapcast.session import materialize
 
 #: Bytes of the string a sampled rank names: a power of two.
@@ -92,8 +92,8 @@ def _sample_rows(texts: DataFrame, length: int) -> DataFrame:
     (g, w) in a batch only the first competes further on; the others are
     settled repeats, and their g is a hash of the position instead."""
 
+    @worker_task()
     def sampled(batches):
-        claim()
         held, size = [], 0
 
         def flush():
@@ -254,6 +254,7 @@ def _edge_repeats(around: DataFrame, length: int) -> DataFrame:
                                            pa.array(start.astype(np.int32)),
                                            pa.array((start + b - a - 1).astype(np.int32))], schema=RANGES)
 
+    @worker_task()
     def compared(batches):
         held = None
         for batch in batches:
@@ -294,6 +295,7 @@ def _halves(rows: DataFrame, length: int) -> DataFrame:
     others are repeats (g null)."""
     span = length - SEED
 
+    @worker_task()
     def split(batches):
         for batch in batches:
             out, seen = [], set()
@@ -357,10 +359,11 @@ def merged(a: np.ndarray, b: np.ndarray, n: int, length: int) -> list[tuple[int,
 
 
 def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
-            with_text: bool = False) -> DataFrame:
+            with_text: bool = False, whole_characters: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
     ``with_text`` the kept bytes and ``rest``, a struct of the other columns of
-    ``docs``; ``h`` tells texts of one id apart (0 where ids are unique)."""
+    ``docs`` (with ``whole_characters`` less the bytes of characters that lost
+    some); ``h`` tells texts of one id apart (0 where ids are unique)."""
     if length < 2 * SEED:
         raise ValueError(f"strings must have {2 * SEED} bytes at least")
     texts = doc_columns(docs, id_col, text_col)
@@ -403,6 +406,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     if with_text:
         given.add(spread.schema["rest"])
 
+    @worker_task()
     def cut(batches):
         for batch in batches:
             out = []
@@ -414,7 +418,8 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
                 edges = [0, *[x for r in runs for x in r], len(data)]
                 kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
                 out.append((doc.as_py(), len(data), len(data) - len(kept), len(runs),
-                            hashlib.sha256(kept).hexdigest(), key.as_py()) + ((kept,) if with_text else ()))
+                            hashlib.sha256(kept).hexdigest(), key.as_py())
+                           + ((kept.decode("utf-8", "ignore").encode() if whole_characters else kept,) if with_text else ()))
             cols = list(zip(*out)) or [[]] * len(schema)
             cols = [pa.array(c, f.type) for c, f in zip(cols, schema)]
             yield pa.RecordBatch.from_arrays(cols + ([batch.column("rest")] if with_text else []),
@@ -427,15 +432,6 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``docs`` with its columns, the text being what is kept of it: whole
     characters only. Other columns stay as they are; a null text becomes an empty one."""
-    done = repeats(docs, length, id_col, text_col, with_text=True)
-    schema = done.schema
-
-    def decoded(batches):
-        for batch in batches:
-            text = [b.decode("utf-8", "ignore").encode() for b in batch.column("kept").to_pylist()]
-            at = batch.schema.get_field_index("kept")
-            yield batch.set_column(at, "kept", pa.array(text, pa.binary()))
-
-    done = done.mapInArrow(decoded, schema)
+    done = repeats(docs, length, id_col, text_col, with_text=True, whole_characters=True)
     return done.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col("rest")[c].alias(c)
                          for c in docs.columns])

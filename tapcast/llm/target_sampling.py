@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import claim, doc_columns, ship_package, utf8
+from tapcast.llm.common import doc_columns, ship_package, utf8, worker_task
 from tapcast.session import materialize
 
 BUCKETS, ORDER = 10_000, 2
@@ -85,8 +85,8 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKET
                   order: int = ORDER) -> np.ndarray:
     """Feature counts of all texts by bucket (``buckets`` numbers)."""
 
+    @worker_task()
     def counted(batches):
-        claim()
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for _, _, h in ngrams(batch.column("text").to_pylist(), order):

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tapcast.llm.blocks import (DOCUMENTS, Numbers, block_buckets, block_numbers, blocks_of, bucketed_words, joined,
                                 parted, whole_buckets)
-from tapcast.llm.common import _byte_chars, claim, keeps, mix, shared_path
+from tapcast.llm.common import _byte_chars, claim, keeps, mix, shared_path, worker_task
 from tapcast.session import materialize
 
 #: Pairs of a shard; slots of a vector's part; vectors summed at once.
@@ -339,8 +339,8 @@ def shard_of(keys: np.ndarray, b_size: int, shards: int) -> np.ndarray:
 def distinct_pairs(alignments: DataFrame) -> DataFrame:
     """All pairs that any chunk links, each once: (pair)."""
 
+    @worker_task()
     def run(batches):
-        claim()
         for batch in batches:
             links = [x for data in batch.column("links").to_pylist() for x in parted(data)]
             pairs = np.unique(np.frombuffer(b"".join(links), "<u4"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import doc_columns, ship_package, token_encoder
+from tapcast.llm.common import doc_columns, ship_package, token_encoder, worker_task
 
 BLOCK = 1024
 SEGMENT_IDS = 1 << 17
@@ -151,6 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     at the first document end past ``SEGMENT_IDS`` ids."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @worker_task("tokens")
     def segments(batches):
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         doc_ids, sizes, parts, held = [], [], [], 0

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapcast.llm.common import claim, doc_columns, mix, ship_package
+from tapcast.llm.common import doc_columns, mix, ship_package, worker_task
 from tapcast.session import materialize
 
 #: Most training documents of either class.
@@ -456,8 +456,8 @@ def counted(labelled: DataFrame) -> ToxicityModel:
     """An untrained model with the evidence of all rows (text, y). A task
     sends what it counted by bucket; the sums are bounded by the tables."""
 
+    @worker_task()
     def count(batches):
-        claim()
         own, some = ToxicityModel(), False
         for batch in batches:
             for a, b in pieces(batch.column("text")):
@@ -493,8 +493,8 @@ def chosen_cut(labelled: DataFrame, model: ToxicityModel) -> float:
     sent = labelled.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("y", pa.int32()), ("logit", pa.float64())])
 
+    @worker_task()
     def score(batches):
-        claim()
         for batch in batches:
             for a, b in pieces(batch.column("text")):
                 texts, y = (batch.column(c).slice(a, b - a).to_pylist() for c in ("text", "y"))
@@ -545,8 +545,8 @@ def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
     depends on."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @worker_task()
     def score(batches):
-        claim()
         for batch in batches:
             size = np.cumsum([len(t.as_buffer()) for t in batch.column("text")])
             a = 0
@@ -566,8 +566,8 @@ def kept(docs: DataFrame, model: ToxicityModel, text_col: str = "text", chunk: i
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @worker_task()
     def under(batches):
-        claim()
         for batch in batches:
             texts = [b"" if t is None else t for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             size = np.cumsum([len(t) for t in texts])

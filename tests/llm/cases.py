@@ -10,7 +10,7 @@ ROWS = [
     (4, "another text of the same id"), (5, "one two three four five six seven"),
     (2**53 + 1, "a large id"), (2**53 + 3, "another large id"), (6, "!!! ???"), (7, "für 漢字 ñandú 🙂 ½ it's"), (8, "word"), (9, " \t\n "), (None, None),
 ]
-CLASHING = ["h", "g", "node", "score", "shard", "slot", "start", "length", "label", "rest", "count", "k"]
+CLASHING = ["h", "g", "node", "score", "shard", "slot", "start", "length", "label", "rest", "count", "k", "__h", "row", "id", "xh", "salt"]
 
 
 def awkward(spark, rows=ROWS):

@@ -111,7 +111,7 @@ def test_awkward_rows_and_kept_rows(spark):
     kept = N.deduplicated(awkward(spark))
     assert kept.columns == ["doc_id", "text", *CLASHING]
     rows = kept.collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in rows) == [-1, 1, 3, 4, 4, 6, 7, 8, 9]
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in rows) == [-1, 1, 3, 4, 4, 6, 7, 8, 9, 2**53 + 1, 2**53 + 3]
     assert N.classes(empty(spark)).count() == 0
 
 

@@ -72,7 +72,7 @@ def _whole(data: bytes) -> np.ndarray:
 
 def block_numbers(counts: bytes, ranks: bytes) -> np.ndarray:
     """The numbers that ``packed_numbers`` packed."""
-    return np.argsort(-_whole(counts).astype(np.int64), kind="stable")[_whole(ranks)]
+    return np.argsort(-_whole(counts).astype(np.int64), kind="stable").astype(np.int32)[_whole(ranks)]
 
 
 def block_buckets(docs: DataFrame, text_col: str = "text") -> int:

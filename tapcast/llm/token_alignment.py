@@ -48,13 +48,13 @@ from pyspark.sql import functions as F
 
 from tapcast.llm.blocks import (DOCUMENTS, Numbers, block_buckets, block_numbers, blocks_of, bucketed_words, joined,
                                 parted, whole_buckets)
-from tapcast.llm.common import _byte_chars, claim, keeps, mix, shared_path, worker_task
+from tapcast.llm.common import _byte_chars, claim, keeps, mix, release, shared_path, worker_task
 from tapcast.session import materialize
 
 #: Pairs of a shard; slots of a vector's part; vectors summed at once.
 SHARD_PAIRS, PART, FAN = 4_000_000, 1 << 16, 32
 #: Bytes of chunks aligned side by side, and links that are sorted at a time.
-CHUNKS, LINKS = 1 << 20, 1_000_000
+CHUNKS, LINKS = 1 << 20, 500_000
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -295,14 +295,16 @@ class Block:
         self.numbers, self.doc_ids = block_numbers(row["counts"], row["ranks"]), row["doc_ids"]
         self.sizes = np.array(row["sizes"], np.int64)
         order = np.argsort(right.column("bucket").to_numpy(), kind="stable")
-        rows = [{c: right.column(c)[int(k)].as_py() for c in right.column_names} for k in order]
-        links = [x for r in rows for x in parted(r["links"])]
-        self.many = np.array([len(x) // 4 for x in links], np.int64)
-        self.links = np.frombuffer(b"".join(links), "<u4")
+        column = lambda c: (right.column(c)[int(k)].as_py() for k in order)
+        # A string's parts are their lengths, then their bytes.
+        links = [(np.frombuffer(x, "<u4", int.from_bytes(x[:4], "little"), 4),
+                  np.frombuffer(x, "<u4", -1, 4 + 4 * int.from_bytes(x[:4], "little"))) for x in column("links")]
+        self.many = np.concatenate([n for n, _ in links] or [np.zeros(0)]).astype(np.int64) // 4
+        self.links = np.concatenate([x for _, x in links] or [np.zeros(0, np.uint32)])
         self.first = np.cumsum(self.many) - self.many
-        pairs = [np.frombuffer(r["sizes"], "<u4").reshape(2, -1) for r in rows]
+        pairs = [np.frombuffer(x, "<u4").reshape(2, -1) for x in column("sizes")]
         self.n_a, self.n_b = (np.concatenate([x[k] for x in pairs] or [np.zeros(0)]).astype(np.int64) for k in (0, 1))
-        self.groups = [x for r in rows for x in parted(r["groups"])] if with_groups else None
+        self.groups = [x for data in column("groups") for x in parted(data)] if with_groups else None
         # A document with a chunk that isn't spelled has no tokens.
         self.ends = np.cumsum(self.sizes)
         bad = np.concatenate([[0], np.cumsum(self.n_a[self.numbers] == 0)]) if len(self.numbers) else np.zeros(1, np.int64)
@@ -358,6 +360,7 @@ def hashed_shards(pairs: DataFrame, b_size: int, shards: int) -> DataFrame:
             yield batch.append_column("shard", pa.array(shard_of(keys, b_size, shards)))
 
     def build(t: pa.Table) -> pa.Table:
+        claim()
         keys = t.column("pair").to_numpy().astype(np.uint64)
         h = PerfectHash.build(keys)
         by_slot = np.zeros(len(keys), "<u4")
@@ -396,6 +399,7 @@ def pair_counts(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size:
     leaves = max(1, blocks.count())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        claim()
         held = sent.value
         counts = np.zeros(-(-len(held.keys) // PART) * PART, np.int64)
         if left.num_rows:
@@ -405,8 +409,10 @@ def pair_counts(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size:
         rows = counts.reshape(-1, PART)
         at = np.nonzero(rows.any(axis=1))[0]
         leaf = np.full(len(at), int(mix(left.column("block")[0].as_py())) % leaves if left.num_rows else 0)
-        return pa.table([pa.array(at), pa.array(leaf), pa.array([rows[k].tobytes() for k in at], pa.binary())],
-                        names=["part", "leaf", "counts"])
+        out = pa.table([pa.array(at), pa.array(leaf), pa.array([rows[k].tobytes() for k in at], pa.binary())],
+                       names=["part", "leaf", "counts"])
+        release()
+        return out
 
     ddl = "part long, leaf long, counts binary"
     rows = materialize(blocks.select(*DOCUMENTS).groupBy("block")
@@ -436,6 +442,7 @@ def looked_up(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size: in
     sent = blocks.sparkSession.sparkContext.broadcast(shard)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        claim()
         if not left.num_rows:
             return DONE.empty_table()
         held, own = sent.value, Block(left, right, with_groups=True)
@@ -454,7 +461,10 @@ def looked_up(blocks: DataFrame, alignments: DataFrame, shard: Shard, b_size: in
         # A group of x and y tokens has x + y - 1 links.
         cols = [np.full(n, left.column("block")[0].as_py()), np.arange(n), own.doc_ids, a, b, a + b - links, links,
                 own.sums(best.astype(np.int64)), own.sums(total), groups]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, DONE)], schema=DONE)
+        out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, DONE)], schema=DONE)
+        own = cols = groups = None
+        release()
+        return out
 
     return (blocks.select(*DOCUMENTS).groupBy("block")
             .cogroup(alignments.groupBy("block"))

@@ -1,5 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling,
-trained in numpy, over all overlapping word windows of a whole text.
+trained in numpy, over overlapping word windows of a whole text: windows of
+``WINDOW`` words, one from every ``STRIDE``-th word and one at the end, so every
+word is scored, and every run of ``WINDOW - STRIDE + 1`` words in one piece.
 
 A word's input joins a word embedding, the mean embedding of its character
 4- and 5-grams, and three evidence values: how much more often the word and its

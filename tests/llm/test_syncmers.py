@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -105,3 +106,20 @@ def test_places_are_those_of_the_anchors_first_words(spark):
     assert got[1].places == chosen and got[2].places == [0] and got[3].places == []
     assert got[4].places == list(range(len(short) - k // 2 + 1))
     assert all(8 * len(r.edited_places) == len(r.edited_fingerprint) for r in got.values())
+
+
+def test_places_over_whole_real_texts_against_plain_python(spark):
+    """Every anchor of every text, by a plain search over its words."""
+    docs = texts()
+    words = {i: [w for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w] for i, t in docs.items()}
+    every = sorted({w for ws in words.values() for w in ws})
+    h, k = dict(zip(every, hashes(spark, every))), syncmers.K
+    df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.a_at for r in syncmers.with_anchors(df, "text", "a").select("doc_id", "a_at").collect()}
+    for i, ws in words.items():
+        own = [h[w] for w in ws]
+        want = [p for p in range(len(own) - k + 1) if min(own[p:p + k]) in (own[p], own[p + k - 1])]
+        if want:
+            assert got[i] == want
+        else:  # short texts have all their shorter runs
+            assert got[i] == list(range(max(0, len(ws) - k // 2 + 1) if len(ws) >= k else min(1, len(ws))))

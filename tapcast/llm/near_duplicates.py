@@ -316,7 +316,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return materialize(_verified(_agreeing(pairs, sigs), texts, size, threshold))
+        # Written in between, so that no task runs two Python steps (and two workers).
+        return materialize(_verified(materialize(_agreeing(pairs, sigs)), texts, size, threshold))
 
     links = links_of(shared.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     roots = materialize(components(links))

@@ -325,7 +325,8 @@ def _crowded_repeats(around: DataFrame, length: int) -> DataFrame:
     bytes occur once is dropped, small groups are compared, and the crowded
     ones halved again, down to single strings, so rows follow real matches."""
     place, found = F.struct("doc", "h", "at"), []
-    rows = around.withColumns({"first": F.lit(0), "last": F.lit(length - SEED)})
+    # Written first, so that no task runs two Python steps (and two workers).
+    rows = materialize(around).withColumns({"first": F.lit(0), "last": F.lit(length - SEED)})
     while rows.limit(1).count():
         halves = materialize(_halves(rows.select(*HALVES.names), length))
         found.append(halves.where("g is null").select(

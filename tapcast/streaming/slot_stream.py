@@ -2,7 +2,9 @@
 
 Daily tap files land in a folder; a file-source stream turns each new file
 into slot counts. Event time is the tap time, a watermark bounds the state,
-and a slot's counts are emitted once the watermark passes its end.
+and a slot's counts are emitted once the watermark passes its end. Taps that
+arrive later than ``lateness`` are dropped by the watermark; files that may come
+days late belong to ``sources.ledger``, which recomputes the dates they touch.
 """
 
 from __future__ import annotations

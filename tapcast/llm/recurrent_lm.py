@@ -384,9 +384,10 @@ class Network:
         h = np.zeros((len(docs), HIDDEN), np.float32)
         before = np.full(len(docs), self.START)
         wo, bo = self.p["wo"], self.p["bo"]
+        room = np.empty((len(docs), CLASSES), wo.dtype)
         for t, k in enumerate(active):
             h, _ = self.step(before[:k], h[:k])
-            e = h @ wo
+            e = np.matmul(h, wo, out=room[:k])
             e += bo
             target = flat[first[:k] + t]
             own = e[np.arange(k), target]

@@ -112,9 +112,13 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 def mix(a: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finalizer (splitmix), vectorised."""
     a = np.asarray(a, np.uint64)
-    a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return a ^ (a >> np.uint64(31))
+    b = a >> np.uint64(30)
+    b ^= a
+    b *= np.uint64(0xBF58476D1CE4E5B9)
+    b ^= b >> np.uint64(27)
+    b *= np.uint64(0x94D049BB133111EB)
+    b ^= b >> np.uint64(31)
+    return b
 
 
 class _WordHashes(dict):

@@ -58,8 +58,12 @@ _ODD = [np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF1750
 
 def _wait(seed: np.ndarray, rate: np.ndarray) -> np.ndarray:
     """Exponential waiting times from hashes."""
-    u = ((mix(seed ^ _ODD[0]) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    return -np.log(u) / rate
+    t = (mix(seed ^ _ODD[0]) >> np.uint64(11)).astype(np.float64)
+    t += 0.5
+    t *= 2.0**-53
+    np.negative(np.log(t, out=t), out=t)
+    t /= rate
+    return t
 
 
 def bag_minhash(item: np.ndarray, weight: np.ndarray, bag: np.ndarray, n_bags: int,
@@ -74,13 +78,22 @@ def bag_minhash(item: np.ndarray, weight: np.ndarray, bag: np.ndarray, n_bags: i
     limit[open_] = (np.log(m) + 3) / total[open_]
     with np.errstate(over="ignore"):
         while open_.any():
-            use = open_[bag]
+            use = np.flatnonzero(open_[bag] & (weight > 0))
             _run(item[use], weight[use].astype(np.int64), bag[use], limit, m, best, who)
             open_ = open_ & np.isinf(best.reshape(n_bags, m)).any(axis=1)
             limit[open_] *= 2
     return who.reshape(n_bags, m)
 
 
+def _tell(slot, t, point, m, best, who) -> None:
+    """Arrivals at the components that their points name, of bags whose
+    components start at ``slot``."""
+    at = slot + (point % np.uint64(m)).astype(np.int64)
+    np.minimum.at(best, at, t)
+    won = np.flatnonzero(best[at] == t)
+    who[at[won]] = point[won]
+
+
 def _run(item, weight, bag, limit, m, best, who) -> None:
     """All arrivals before each bag's limit."""
     # Roots: the levels below the weight.
@@ -95,38 +108,46 @@ def _run(item, weight, bag, limit, m, best, who) -> None:
     seed = mix(item * _G + lo.astype(np.uint64))
     t = _wait(seed, m * width)
     point, told = mix(seed ^ _ODD[1]), np.zeros(len(seed), bool)
-    while True:
-        live = t < limit[bag]
-        if not live.any():
-            return
+    units = []
+    while len(seed):
+        unit = width == 1
+        units.append(tuple(x[unit] for x in (seed, t, bag, point, told)))
+        wide = np.flatnonzero(~unit & (t < limit[bag]))
         seed, lo, width, weight, bag, t, point, told = (
-            x[live] for x in (seed, lo, width, weight, bag, t, point, told))
+            x[wide] for x in (seed, lo, width, weight, bag, t, point, told))
         inside = lo + width <= weight
-        tell = inside & ~told
-        at = bag[tell] * m + (point[tell] % np.uint64(m)).astype(np.int64)
-        np.minimum.at(best, at, t[tell])
-        won = best[at] == t[tell]
-        who[at[won]] = point[tell][won]
+        tell = np.flatnonzero(inside & ~told)
+        _tell(bag[tell] * m, t[tell], point[tell], m, best, who)
         told = told | inside
-        # A unit level waits for its next arrival.
-        unit = width == 1
-        nxt = mix(seed[unit] ^ _ODD[2])
-        out = [(nxt, lo[unit], width[unit], weight[unit], bag[unit], t[unit] + _wait(nxt, float(m)),
-                mix(nxt ^ _ODD[1]), np.zeros(len(nxt), bool))]
-        # A wider one splits: one half keeps the arrival, the other waits on.
-        wide = ~unit
-        half = width[wide] // 2
-        right_has = (mix(point[wide] ^ width[wide].astype(np.uint64)) & np.uint64(1)).astype(bool)
+        # It splits: one half keeps the arrival, the other waits on.
+        half, out = width // 2, []
+        right_has = (mix(point ^ width.astype(np.uint64)) & np.uint64(1)).astype(bool)
         for right in (False, True):
-            child = mix(seed[wide] ^ _ODD[3] ^ np.uint64(right))
+            child = mix(seed ^ _ODD[3] ^ np.uint64(right))
             has = right_has == right
-            t2 = np.where(has, t[wide], t[wide] + _wait(child, m * half))
-            start = lo[wide] + half * right
-            below = start < weight[wide]
+            t2 = np.where(has, t, t + _wait(child, m * half))
+            start = lo + half * right
+            below = start < weight
             out.append(tuple(x[below] for x in (
-                child, start, half, weight[wide], bag[wide], t2,
-                np.where(has, point[wide], mix(child ^ _ODD[1])), has & told[wide])))
+                child, start, half, weight, bag, t2,
+                np.where(has, point, mix(child ^ _ODD[1])), has & told)))
         seed, lo, width, weight, bag, t, point, told = (np.concatenate(x) for x in zip(*out))
+    if units:
+        _run_units(*(np.concatenate(x) for x in zip(*units)), limit, m, best, who)
+
+
+def _run_units(seed, t, bag, point, told, limit, m, best, who) -> None:
+    """As ``_run`` for unit levels, nearly all there are: they lie below the
+    weight and only wait for their next arrival."""
+    slot, limit = bag * m, limit[bag]
+    live = np.flatnonzero(t < limit)
+    tell = live[~told[live]]
+    _tell(slot[tell], t[tell], point[tell], m, best, who)
+    while len(live):
+        seed, t, slot, limit = mix(seed[live] ^ _ODD[2]), t[live], slot[live], limit[live]
+        t += _wait(seed, float(m))
+        live = np.flatnonzero(t < limit)
+        _tell(slot[live], t[live], mix(seed[live] ^ _ODD[1]), m, best, who)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tapcast.llm.common import (SHINGLE, SIMILAR, doc_columns, mix, multiset_similarity, shingle_hashes,
                                 utf8, word_hashes, worker_task)
 from tapcast.llm.components import components
-from tapcast.session import materialize
+from tapcast.session import materialize, scratch
 
 #: 24 bands of 4: a pair of similarity 0.8 shares none with probability 3e-6.
 BANDS, ROWS = 24, 4
@@ -376,8 +376,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that head their class; of equal rows, one."""
-    firsts = materialize(classes(docs, id_col, text_col).where("is_first").select(
-        F.col("doc_id").alias("first_id"), "xh"))
+    with scratch(docs.sparkSession):  # signatures, buckets and links are done with
+        firsts = materialize(classes(docs, id_col, text_col).where("is_first").select(
+            F.col("doc_id").alias("first_id"), "xh"), keep=True)
     # The row goes in one struct: none of its names can clash.
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"),
                         F.xxhash64(utf8(F.col(text_col))).alias("h"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,7 +66,28 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return fallback
 
 
-def materialize(df: DataFrame, sort_within: list | None = None) -> DataFrame:
+#: Paths of the tables written within a ``scratch`` block.
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes in this block (in its own thread)
+    are deleted as the block ends, but for those written with ``keep``. What
+    is read later must not depend on the deleted ones."""
+    paths: list = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+        for p in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)  # noqa: SLF001
+            path.getFileSystem(conf).delete(path, True)
+
+
+def materialize(df: DataFrame, sort_within: list | None = None, keep: bool = False) -> DataFrame:
     """Cut lineage: write the frame once as a Parquet table under the shared
     checkpoint folder and return a DataFrame reading it back.
 
@@ -76,6 +99,8 @@ def materialize(df: DataFrame, sort_within: list | None = None) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
+    if not keep and _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
     if sort_within:
         # Local sort (no exchange): row groups get narrow min/max ranges on
         # these columns, so later equality filters skip most of the file.

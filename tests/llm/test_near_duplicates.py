@@ -1,3 +1,4 @@
+import os
 import time
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ from tapcast.llm import near_duplicates as N
 from tapcast.llm import queries
 from tapcast.llm.common import multiset_similarity, shingle_hashes, word_hashes
 from tapcast.llm.components import components
+from tapcast.session import ensure_checkpoint_dir
 
 from .cases import CLASHING, ROWS, SF, awkward, empty, texts
 
@@ -209,3 +211,12 @@ def test_unit_levels_are_worked_off_faster_and_alike(monkeypatch):
     plain, plain_seconds = timed()
     assert (now == plain).all()
     assert seconds < 0.75 * plain_seconds
+
+
+def test_stage_leaves_only_the_rows_it_keeps(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:").rstrip("/") + "/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = near_copies(12)
+    kept = N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute(rows)})

@@ -49,9 +49,6 @@ ROUNDS = 2
 #: memory). Which documents share a piece follows the files' order.
 PIECE = 4_000_000
 RATE = 0.01
-#: Rows of a window whose classes, and documents whose states, are worked off
-#: together: their arrays stay in a core's cache.
-BLOCK, SIDE = 512, 512
 
 
 # -- counting ---------------------------------------------------------------
@@ -288,29 +285,19 @@ class Network:
                 h = state
         flat[...] = now.transpose(0, 2, 1)
         flat, on, at = flat.reshape(-1, k), live.reshape(-1), np.arange(rows)
-        own, size, hit = target.reshape(-1), np.empty(rows, x.dtype), np.empty(rows, x.dtype)
+        np.matmul(flat, p["wo"], out=e)
+        e += p["bo"]
+        if self.tall():
+            np.minimum(e, x.dtype.type(80), out=e)
+        np.exp(e, out=e)
+        own, size = target.reshape(-1), e.sum(axis=1)
+        loss = -(np.log(e[at, own] / size + 1e-30) * on).sum()
         weight = (on / max(1.0, float(on.sum()))).astype(x.dtype)
-        down, tall = p["wo"].T, self.tall()
-        back_flat, ones = room("back_flat", rows, k), np.ones(CLASSES, x.dtype)
-        for a in range(0, rows, BLOCK):
-            s = slice(a, a + BLOCK)
-            odds, mine, places = e[s], own[s], at[:min(BLOCK, rows - a)]
-            np.matmul(flat[s], p["wo"], out=odds)
-            odds += p["bo"]
-            if tall:
-                np.minimum(odds, x.dtype.type(80), out=odds)
-            np.exp(odds, out=odds)
-            np.matmul(odds, ones, out=size[s])
-            hit[s] = odds[places, mine]
-            odds[places, mine] -= size[s]
-            np.matmul(odds, down, out=back_flat[s])
-        loss = -(np.log(hit / size + 1e-30) * on).sum()
-        # A row's factor goes to the side of few columns.
-        weight /= size
-        back_flat *= weight[:, None]
-        flat *= weight[:, None]
-        g = {"wo": flat.T @ e, "bo": weight @ e}
-        top[...] = back_flat.reshape(t_max, b, k).transpose(0, 2, 1)
+        e *= (weight / size)[:, None]
+        e[at, own] -= weight
+        g = {"wo": flat.T @ e, "bo": e.sum(axis=0)}
+        np.matmul(e, p["wo"].T, out=flat)
+        top[...] = flat.reshape(t_max, b, k).transpose(0, 2, 1)
         z, r, qn = zr[:, :k], zr[:, k:], q[:, 2 * k:]
         # Factors that don't depend on the gradient that comes back:
         # (1 - z)(1 - nn), (was - n) z (1 - z), qn r (1 - r).
@@ -396,51 +383,26 @@ class Network:
         go forward side by side, each to its own end."""
         size = np.array([len(d) for d in docs])
         order = np.argsort(-size, kind="stable")
+        flat = np.frombuffer(b"".join(docs[i] for i in order), np.uint8)
+        length = size[order]
+        first = np.cumsum(length) - length
+        active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
         out = np.zeros(len(docs))
-        for a in range(0, len(order), SIDE):
-            some = order[a:a + SIDE]
-            out[some] = self._forward([docs[i] for i in some], size[some])
+        h = np.zeros((len(docs), HIDDEN), np.float32)
+        before = np.full(len(docs), self.START)
+        wo, bo = self.p["wo"], self.p["bo"]
+        room = np.empty((len(docs), CLASSES), wo.dtype)
+        for t, k in enumerate(active):
+            h, _ = self.step(before[:k], h[:k])
+            e = np.matmul(h, wo, out=room[:k])
+            e += bo
+            target = flat[first[:k] + t]
+            own = e[np.arange(k), target]
+            np.exp(np.minimum(e, np.float32(80), out=e), out=e)
+            out[order[:k]] += own - np.log(e.sum(axis=1))
+            before = target
         return out / np.log(10)
 
-    def _forward(self, docs: list[bytes], length: np.ndarray) -> np.ndarray:
-        """Log probabilities of documents that come longest first. The arrays
-        of a step are used again by the next."""
-        k, wi, u, wo, bo = HIDDEN, self.p["wi"], self.p["u"], self.p["wo"], self.p["bo"]
-        n, tall, at = len(docs), self.tall(), np.arange(len(docs))
-        flat = np.frombuffer(b"".join(docs), np.uint8)
-        first = np.cumsum(length) - length
-        active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        out, state, before = np.zeros(n), np.zeros((n, k), wi.dtype), np.full(n, self.START)
-        xs, qs = (np.empty((n, 3 * k), wi.dtype) for _ in range(2))
-        gates, news = np.empty((n, 2 * k), wi.dtype), np.empty((n, k), wi.dtype)
-        room, ones = np.empty((n, CLASSES), wo.dtype), np.ones(CLASSES, wo.dtype)
-        with np.errstate(over="ignore"):  # a gate of 0
-            for t, m in enumerate(active):
-                h, x, q, zr, new, e = state[:m], xs[:m], qs[:m], gates[:m], news[:m], room[:m]
-                np.take(wi, before[:m], axis=0, out=x, mode="clip")
-                np.matmul(h, u, out=q)
-                np.add(x[:, :2 * k], q[:, :2 * k], out=zr)
-                np.negative(zr, out=zr)
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                np.multiply(zr[:, k:], q[:, 2 * k:], out=new)
-                new += x[:, 2 * k:]
-                np.tanh(new, out=new)
-                h -= new
-                h *= zr[:, :k]
-                h += new
-                np.matmul(h, wo, out=e)
-                e += bo
-                target = flat[first[:m] + t]
-                own = e[at[:m], target]
-                if tall:
-                    np.minimum(e, np.float32(80), out=e)
-                np.exp(e, out=e)
-                out[:m] += own - np.log(e @ ones)
-                before = target
-        return out
-
 
 def trained(documents: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
     """Averaged weights of the passes over all training documents: each piece

@@ -4,11 +4,13 @@ Three tree presets stand in for the three booster libraries: absolute loss
 at depth 6 and depth 5, squared loss at depth 9. Per rolling origin a
 model is fitted on the rows before the origin and the round count with the
 lowest MAE on the origin day is kept (``evaluateEachIteration``); while the
-best round is the last one, the fit is repeated with twice the rounds, up to
-``max_rounds``. Each preset is then refitted once on every training row, with
-the most rounds that any origin chose; an origin's model is a prefix of its
-trees, for the first trees of a longer fit are those of a shorter one (same
-rows, same seed). Fold predictions are averaged; two presets can be blended.
+best round is the last one, twice the rounds are judged, up to ``max_rounds``.
+Each preset is then refitted once on every training row, with the most rounds
+that any origin chose; an origin's model is a prefix of its trees, for the
+first trees of a longer fit are those of a shorter one (same rows, same seed).
+For the same reason one fit stands for all doublings up to its own rounds:
+``next_rounds`` leaves out fits that cannot be the last. Fold predictions are
+averaged; two presets can be blended.
 """
 
 from __future__ import annotations
@@ -87,6 +89,33 @@ def prefix(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
     return GBTRegressionModel(cut)
 
 
+def settled_rounds(spec: BoosterSpec, errs: list) -> int | None:
+    """The rounds chosen from the errors of every round: the best of the first
+    ``max_iter``, of twice as many while the best is the last one, and so on
+    up to ``max_rounds``. None: more rounds than ``errs`` has are needed."""
+    cap = min(spec.max_iter, spec.max_rounds)
+    while cap <= len(errs):
+        best = min(range(cap), key=lambda i: errs[i])
+        if best + 1 < cap or cap >= spec.max_rounds:
+            return best + 1
+        cap = min(2 * cap, spec.max_rounds)
+    return None
+
+
+def next_rounds(spec: BoosterSpec, errs: list) -> int:
+    """Rounds of the fit after one that did not settle: a doubling, which only
+    the cost depends on. With absolute loss a leaf is a mean of signs, so a
+    round moves a prediction by less than ``step_size``, about half of it,
+    whatever the size of the label. While the error falls as fast as at first,
+    the first doubling that moves by the whole error is taken, not each one on
+    the way."""
+    cap, half = 2 * len(errs), len(errs) // 2
+    if spec.loss == "absolute" and errs[half] - errs[-1] > (errs[0] - errs[half]) / 2:
+        while cap < spec.max_rounds and cap * spec.step_size / 2 < errs[-1]:
+            cap *= 2
+    return min(cap, spec.max_rounds)
+
+
 def fit_best_rounds(spec: BoosterSpec, train: DataFrame, valid: DataFrame, label: str):
     """(rounds with the lowest valid MAE, that MAE, the model of so many
     rounds on train). Without rows on the origin day there is nothing to
@@ -97,28 +126,35 @@ def fit_best_rounds(spec: BoosterSpec, train: DataFrame, valid: DataFrame, label
     while True:
         model = spec.estimator(label, cap).fit(train)
         errs = model.evaluateEachIteration(valid, "absolute")
-        best = min(range(len(errs)), key=lambda i: errs[i])
-        if best + 1 < cap or cap >= spec.max_rounds:
-            return best + 1, float(errs[best]), prefix(model, best + 1)
-        cap = min(2 * cap, spec.max_rounds)
+        rounds = settled_rounds(spec, errs)
+        if rounds is not None:
+            return rounds, float(errs[rounds - 1]), prefix(model, rounds)
+        cap = next_rounds(spec, errs)
 
 
 def fit_fold_models(jobs, rows: DataFrame, refit: bool = True, workers: int = 4) -> dict:
     """Fit every (spec, label, origin) job; independent jobs are submitted
-    from driver threads so their Spark jobs overlap on the cluster.
+    from driver threads so their Spark jobs overlap on the cluster. A preset
+    and target is refitted as soon as its own origins have chosen.
     Returns {(spec name, label, origin): (model, rounds, valid MAE)}; rounds
     equal to the spec's ``max_rounds`` mean that the limit was reached."""
     jobs = list(jobs)
+
+    def refitted(s, lab, origins):
+        return s.estimator(lab, max(f.result()[0] for f in origins)).fit(rows)
+
     with ThreadPoolExecutor(max_workers=max(1, min(workers, len(jobs)))) as ex:
         futs = {(s, lab, o): ex.submit(fit_best_rounds, s, *fold(rows, o), lab) for s, lab, o in jobs}
+        full: dict = {}
+        if refit:
+            # Taken up in this order, after all of the choices: none waits for
+            # a choice that has not begun.
+            for s, lab in dict.fromkeys((s, lab) for s, lab, _ in jobs):
+                full[s, lab] = ex.submit(refitted, s, lab, [f for k, f in futs.items() if k[:2] == (s, lab)])
         chosen = {k: f.result() for k, f in futs.items()}
         if not refit:
             return {(s.name, lab, o): (m, n, err) for (s, lab, o), (n, err, m) in chosen.items()}
-        most: dict = {}
-        for (s, lab, _), (n, _, _) in chosen.items():
-            most[s, lab] = max(n, most.get((s, lab), 0))
-        futs = {(s, lab): ex.submit(s.estimator(lab, n).fit, rows) for (s, lab), n in most.items()}
-        full = {k: f.result() for k, f in futs.items()}
+        full = {k: f.result() for k, f in full.items()}
     return {(s.name, lab, o): (prefix(full[s, lab], n), n, err)
             for (s, lab, o), (n, err, _) in chosen.items()}
 
